@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from veilspark.llm import op1_topk
+from veilspark.llm import op1_topk, op2_simhash, op3_packing, op4_mixing, op5_quality_rules, op7_sharding
 
 QUERIES = {
     "op1_exact_topk": op1_topk.op1_exact_topk,
+    "op2_simhash_near_dedup": op2_simhash.op2_simhash_near_dedup,
+    "op3_packing": op3_packing.op3_packing,
+    "op4_mixing": op4_mixing.op4_mixing,
+    "op5_quality_rules": op5_quality_rules.op5_quality_rules,
+    "op7_sharding": op7_sharding.op7_sharding,
 }
 SQL = {"op1_exact_topk": op1_topk.SQL}
