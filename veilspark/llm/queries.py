@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilspark.llm import op1_topk, op2_simhash, op3_packing, op4_mixing, op5_quality_rules, op7_sharding
+from veilspark.llm import op1_topk, op2_simhash, op3_packing, op4_mixing, op5_quality_rules, op7_sharding, op8_substring_dedup
 
 QUERIES = {
     "op1_exact_topk": op1_topk.op1_exact_topk,
@@ -11,5 +11,6 @@ QUERIES = {
     "op4_mixing": op4_mixing.op4_mixing,
     "op5_quality_rules": op5_quality_rules.op5_quality_rules,
     "op7_sharding": op7_sharding.op7_sharding,
+    "op8_substring_dedup": op8_substring_dedup.op8_substring_dedup,
 }
 SQL = {"op1_exact_topk": op1_topk.SQL}
