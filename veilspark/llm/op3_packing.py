@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +25,25 @@ from veilspark.llm.common import materialise, small_batches, table
 
 #: Kept per Python worker: tokenizer and ids of words seen, by vocabulary file.
 _STATE: dict = {}
-CACHE = 250_000
-#: Python splits at these four, the vocabulary's rule does not: such a text is encoded as a whole.
-ODD = "\x1c\x1d\x1e\x1f"
+CACHE = 500_000
+#: Python splits at the first four, the vocabulary's rule does not; the last two change with their neighbours when
+#: lower-cased, or get longer. A text with one of them is encoded as a whole.
+ODD = "\x1c\x1d\x1e\x1f\u03a3\u0130"
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else the next after 255."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
 
 
 class WordTokenizer:
     """Ids of whole texts by a tokenizer whose pieces never cross white space, with a bounded memory of words.
 
     White space is dropped and letters are lower-cased by the vocabulary's own rules, so the ids of a text are
-    those of its words, one after another; words not seen lately are encoded together in one call.
+    those of its lower-cased words, one after another. A word of letters alone is a single piece and goes to the
+    merge rules at once; with one point or comma behind it, it is two pieces; all others take the full way.
     """
 
     def __init__(self, path: str):
@@ -41,44 +51,44 @@ class WordTokenizer:
 
         self.t = Tokenizer.from_file(path)
         self.t.encode_special_tokens = True
-        self.wide = self.t.get_vocab_size() > 1 << 16
+        self.merge, self.kind = self.t.model.tokenize, np.uint32 if self.t.get_vocab_size() > 1 << 16 else np.uint16
+        self.letters = str.maketrans(dict(enumerate(byte_letters())))
         self.known: dict[str, bytes] = {}
-        mark = self.t.encode("\x01", add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHE:
-            self.known.clear()
-        kind = np.uint32 if self.wide else np.uint16
-        plain = [w for w in words if "\x01" not in w] if self.mark is not None else []
-        if plain:
-            ids = np.array(self.t.encode(" \x01 ".join(plain), add_special_tokens=False).ids, kind)
-            cuts = np.flatnonzero(ids == self.mark)
-            if len(cuts) == len(plain) - 1:
-                raw, size = ids.tobytes(), ids.itemsize
-                edge = [0, *((cuts + 1) * size).tolist()], [*(cuts * size).tolist(), len(raw)]
-                self.known.update(zip(plain, [raw[s:e] for s, e in zip(*edge, strict=True)], strict=True))
-                words = [w for w in words if "\x01" in w]
-        for w, e in zip(words, self.t.encode_batch(words, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, kind).tobytes()
+
+    def _raw(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return self._raw(self.t.encode(text, add_special_tokens=False).ids)
+
+    def _word(self, w: str) -> bytes:
+        if w.isalpha():
+            spelled = w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
+            return self._raw([x.id for x in self.merge(spelled)])
+        if w[-1] in ".," and w[:-1].isalpha():
+            return self._of(w[:-1]) + self._of(w[-1])
+        return self._whole(w)
+
+    def _of(self, w: str) -> bytes:
+        found = self.known.get(w)
+        if found is None:
+            if len(self.known) >= CACHE:
+                self.known.clear()
+            found = self.known[w] = self._word(w)
+        return found
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         out = []
         for text in texts:
             text = text or ""
-            if any(c in text for c in ODD):
-                out.append(np.array(self.t.encode(text, add_special_tokens=False).ids, np.uint32 if self.wide else np.uint16).tobytes())
+            if any(c in text for c in ODD) or not is_normalized("NFC", text):
+                out.append(self._whole(text))
                 continue
-            words = text.split()
-            known = self.known
+            words, known = text.lower().split(), self.known
             try:
                 out.append(b"".join([known[w] for w in words]))
             except KeyError:
-                fresh = {w for w in words if w not in known}
-                if len(known) + len(fresh) > CACHE:
-                    fresh = set(words)
-                self._learn(list(fresh))
-                out.append(b"".join([self.known[w] for w in words]))
+                out.append(b"".join(map(self._of, words)))
         return out
 
 
@@ -96,13 +106,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, part, at = tokenizer(path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], np.uint32 if t.wide else np.uint16).tobytes()
+        end = np.array([end_id], t.kind).tobytes()
         for b in batches:
             ids = [x + end for x in t.ids(b.column(1).to_pylist())]
             n = np.fromiter((len(x) // len(end) for x in ids), np.int64, len(ids))
             before = at + np.cumsum(n) - n
             at += int(n.sum())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(n), pa.array(before), pa.array(np.full(len(n), part, np.int32)), pa.array(np.full(len(n), t.wide))], names=["doc_id", "ids", "n", "before", "part", "wide"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(n), pa.array(before), pa.array(np.full(len(n), part, np.int32)), pa.array(np.full(len(n), t.kind is np.uint32))], names=["doc_id", "ids", "n", "before", "part", "wide"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     tokens = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, f"doc_id {kind}, ids binary, n long, before long, part int, wide boolean"), "tokens")
