@@ -126,7 +126,7 @@ def _pieces(plan: Plan, cells: np.ndarray, *arrays: np.ndarray) -> Iterator[tupl
             yield (r, *[a[s:e] for a in arrays])
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13, unit_words: int = 2_000_000) -> DataFrame:
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13, unit_words: int = 1_000_000) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text: a row per document. kept_text is set only where a part was removed."""
     spark = docs.sparkSession
     small_batches(spark, 500)
