@@ -120,15 +120,20 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     pairs = materialise(pairs.where(free).select("doc_id", "th", "entity", "start", "end", "value", F.lower("value").alias("term")), "beside")
     once = pairs.select("entity", "term", "doc_id", "th").distinct()
     joint = once.groupBy("entity", "term", "th").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("joint"), F.count("*").alias("texts")).where(F.col("texts") >= support)
-    joint = materialise(joint, "joint")
-    wanted, n = joint.select("term").distinct(), base.count()
+    df_entity = base.where("around is not null").select(F.explode(F.array_distinct(F.transform("around", lambda a: a["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
+    n = base.count()
+    # df_term is at least the documents in which the term stands beside any finding: pairs that fall short even so
+    # need no count over the corpus. This leaves out nothing that could reach the threshold.
+    near = once.groupBy("term", "doc_id", "th").agg(F.lit(1)).groupBy("term").agg(F.count("*").alias("near"))
+    most = F.col("joint") * F.pow(n / F.col("df_entity"), F.lit(1 - threshold)) * (1 + 1e-9)
+    joint = materialise(joint.join(df_entity, "entity").join(near, "term").where(F.col("near") <= most).drop("near"), "joint")
+    wanted = joint.select("term").distinct()
     terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM), F.lit(0)))).alias("term"))
     if joint.count() <= small:  # the size is checked: so few terms are sent to the scan
         df_term = terms.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_term"))
     else:  # else counts are summed up before they meet
         df_term = terms.groupBy("term").agg(F.count("*").alias("df_term")).join(wanted, "term", "left_semi")
-    df_entity = base.where("around is not null").select(F.explode(F.array_distinct(F.transform("around", lambda a: a["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
-    known = joint.join(df_term, "term").join(df_entity, "entity")
+    known = joint.join(df_term, "term")
     disclosure = F.ln(F.col("joint") * n / (F.col("df_term") * F.col("df_entity"))) / F.ln(n / F.col("df_entity"))
     telling = known.where((F.col("df_entity") < n) & (disclosure >= threshold)).select("entity", "term")
     more = pairs.join(telling, ["entity", "term"], "left_semi").groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_set(F.struct("start", F.lit(4).alias("rank"), "end", "value")).alias("more"))
