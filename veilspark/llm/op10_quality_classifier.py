@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import small_batches, table
+from veilspark.llm.common import rows_of, small_batches, table
 
 BUCKETS = 1 << 14
 #: Buckets after the hashed ones, and how often a marker counts.
@@ -170,8 +170,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", least:
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.7) -> DataFrame:
     """The rows of docs that the classifier does not reject."""
-    out = scored(docs, fit(docs, labels, id_col, text_col), [F.col(c) for c in docs.columns], text_col)
-    return out.where(F.col("score") >= least).select(*docs.columns)
+    out = scored(docs, fit(docs, labels, id_col, text_col), [rows_of(docs)], text_col)
+    return out.where(F.col("score") >= least).select("_row.*")
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import dropped, materialise, partitions, small_batches, table
+from veilspark.llm.common import dropped, materialise, rows_of, small_batches, table
 
 BLOCK = 64
 
@@ -179,9 +179,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
     best = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("b")).select(F.col("b.doc_id").alias("_k"), F.col("b.th").alias("_t"))
     best = materialise(best, "kept")
-    own = docs.withColumn("_h", F.xxhash64(text_col))
-    out = own.join(best, own[id_col].eqNullSafe(best["_k"]) & (own["_h"] == best["_t"]), "left_semi")
-    return out.dropDuplicates([id_col, "_h"]).drop("_h")
+    own = docs.select(rows_of(docs), F.col(id_col).alias("_i"), F.xxhash64(text_col).alias("_h"))
+    out = own.join(best, F.col("_i").eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_t")), "left_semi")
+    return out.dropDuplicates(["_i", "_h"]).select("_row.*")
 
 
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import materialise, running_sum, table, word_count
+from veilspark.llm.common import materialise, rows_of, running_sum, table, word_count
 
 
 def targets(sizes: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
@@ -48,11 +48,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return named.join(taken, "rid", "left").select("rid", "doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("copies", F.lit(0)).cast("int").alias("copies"))
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The rows of docs as often as the mix takes them."""
-    kept = materialise(docs.withColumn("_rid", F.monotonically_increasing_id()), "to-mix")
-    plan = mix(kept, rid_col="_rid", **how).where("copies > 0").select(F.col("rid").alias("_rid"), F.col("copies").alias("_copies"))
-    return kept.join(plan, "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_rid", "_copies", "_copy")
+    kept = materialise(docs.select(rows_of(docs), F.monotonically_increasing_id().alias("_rid")), "to-mix")
+    plain = kept.select("_rid", *[F.col("_row")[c].alias(to) for c, to in ((id_col, "doc_id"), (text_col, "text"), (source_col, "source"))])
+    plan = mix(plain, rid_col="_rid", **how).where("copies > 0").select(F.col("rid").alias("_rid"), "copies")
+    return kept.join(plan, "_rid").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 from veilspark.llm.common import dropped, materialise, small_batches, table
 
 NOTHING = hashlib.sha256(b"").hexdigest()
+#: Columns of what a unit sends, and of what it decides.
+PART = ("kind", "unit", "range", "body")
+DONE = ("doc_id", "sha", "n_removed", "kept_sha", "kept_text")
 #: Odd multipliers of the two window hashes (fixed values).
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
@@ -91,6 +94,11 @@ def got(b: bytes) -> object:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(b))
 
 
+def framed(rows: list[tuple], names: tuple[str, ...]) -> pd.DataFrame:
+    """Of objects, so that a frame without rows converts like any other."""
+    return pd.DataFrame(rows, columns=list(names), dtype=object)
+
+
 class Plan:
     """How many units and cell ranges a corpus of so many words is dealt to."""
 
@@ -150,7 +158,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
             if i in ids and t is not None and (k := (i, hashlib.sha256(b" ".join(t.split())).digest())) in want:
                 chosen.setdefault(k, t)
         if not chosen:
-            return pd.DataFrame({"kind": [], "unit": [], "range": [], "body": []})
+            return framed([], PART)
         chosen = dict(sorted(chosen.items()))
         h, of, _ = plan.hashes(list(chosen.values()))
         cells = plan.cells(h)
@@ -162,7 +170,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         rows = [("text", int(key[0]), -1, put((list(chosen), list(chosen.values()))))]
         for r, c, m in _pieces(plan, cells, cells, many):
             rows.append(("cells", int(key[0]), r, put((squeezed(np.diff(c, prepend=np.uint64(0))), np.packbits(m).tobytes()))))
-        return pd.DataFrame(rows, columns=["kind", "unit", "range", "body"])
+        return framed(rows, PART)
 
     own = texts.where(F.col("doc_id").isNotNull()).withColumn("unit", unit)
     wanted = firsts.select("doc_id", "sha", unit)
@@ -188,7 +196,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         return np.concatenate([np.zeros(0, bool), *[np.unpackbits(np.frombuffer(got(b), np.uint8), count=n).astype(bool) for n, b in zip(back["size"], back.bits, strict=True)]])
 
     def exact(key: tuple, own: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"kind": [], "unit": [], "range": [], "body": []})
+        empty = framed([], PART)
         if not len(own) or not (marked := bitmap(back)).any():
             return empty
         keys, texts = got(own.body.iloc[0])
@@ -207,7 +215,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         h = h[edge]
         for r, a, b, i in _pieces(plan, plan.cells(h), h[:, 0], h[:, 1], least):
             rows.append(("hashes", int(key[0]), r, put((squeezed(np.ascontiguousarray(a)), squeezed(np.ascontiguousarray(b)), squeezed(i)))))
-        return pd.DataFrame(rows, columns=["kind", "unit", "range", "body"])
+        return framed(rows, PART)
 
     chosen = made.where("kind = 'text'").select("unit", "body").groupBy("unit").cogroup(marks.groupBy("unit")).applyInPandas(exact, "kind string, unit int, range int, body binary")
     chosen = materialise(chosen, "windows", "none", partition_by="kind")
@@ -229,7 +237,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
 
     def removed(key: tuple, own: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         if not len(own):
-            return pd.DataFrame({"doc_id": [], "sha": [], "n_removed": [], "kept_sha": [], "kept_text": []})
+            return framed([], DONE)
         keys, texts, of, at, group, least = got(own.body.iloc[0])
         of, at, group, least = unsqueezed(of, np.int32), unsqueezed(at, np.int32), unsqueezed(group, np.int32), unsqueezed(least, np.int64)
         ids = np.array([i for i, _ in keys], np.int64)
@@ -247,7 +255,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
             keep = np.cumsum(cover)[:-1] == 0
             kept = b" ".join([w for w, x in zip(words, keep.tolist(), strict=True) if x])
             rows.append((*keys[k], int((~keep).sum()), hashlib.sha256(kept).digest(), kept.decode("utf-8", "replace")))
-        return pd.DataFrame(rows, columns=["doc_id", "sha", "n_removed", "kept_sha", "kept_text"])
+        return framed(rows, DONE)
 
     last = chosen.where("kind = 'text'").select("unit", "body").groupBy("unit").cogroup(answers.groupBy("unit")).applyInPandas(removed, "doc_id long, sha binary, n_removed long, kept_sha binary, kept_text string")
     last = materialise(last, "removed")

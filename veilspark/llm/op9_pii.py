@@ -24,7 +24,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import materialise, table
+from veilspark.llm.common import materialise, rows_of, table
 
 #: Kinds in the order in which equal starts are listed (fixed values).
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -144,13 +144,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with findings generalised to their kind in brackets and disclosing terms removed."""
     found = find(docs, id_col, text_col, **how).where(F.size("spans") > 0).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("spans").alias("_s")).dropDuplicates(["_d", "_t"])
-    text, tags = F.col(text_col), F.array(*[F.lit(x) for x in ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "")])
+    text, tags = F.col("_text"), F.array(*[F.lit(x) for x in ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "")])
     start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit("").alias("out"))
     step = lambda a, x: F.when(x["start"] < a["upto"], a).otherwise(F.struct(x["end"].alias("upto"), F.concat(a["out"], F.substring(text, (a["upto"] + 1).cast("int"), (x["start"] - a["upto"]).cast("int")), F.element_at(tags, x["rank"] + 1)).alias("out")))
     fresh = F.aggregate("_s", start, step, lambda a: F.concat(a["out"], F.substring(text, (a["upto"] + 1).cast("int"), F.length(text))))
-    own = docs.withColumn("_h", F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))))
-    out = own.join(found, own[id_col].eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left")
-    return out.withColumn(text_col, F.when(F.col("_s").isNull(), text).otherwise(fresh)).drop("_h", "_d", "_t", "_s")
+    own = docs.select(rows_of(docs), F.col(id_col).alias("_i"), F.col(text_col).cast("string").alias("_text")).withColumn("_h", F.xxhash64(F.coalesce("_text", F.lit(""))))
+    out = own.join(found, F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left")
+    return out.select(F.col("_row").withField(text_col, F.when(F.col("_s").isNull(), text).otherwise(fresh)).alias("_row")).select("_row.*")
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
