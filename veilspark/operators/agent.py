@@ -1,0 +1,68 @@
+"""Agents and skills: allowlists, pins, look-alike names, capabilities and toxic flows, licences, configuration, risk classes."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Keyword roles (a selection by role), banned forms and config checks.
+SOURCES = ("read file", "read_file", "database", "credential", "password", "secret", "environment variable", "api key", "clipboard", "email")
+SINKS = ("http post", "upload", "send", "webhook", "publish", "external", "transmit")
+DESTRUCTIVE = ("delete", "remove", "drop table", "overwrite", "truncate", "format", "kill")
+RISK = (("deny", "delete|drop|destroy|remove|purge|truncate|kill"), ("escalate", "write|create|update|edit|insert|send|post|purchase|signup"), ("allow", "read|get|list|search|view|find|query|fetch|click"))
+CONFIG_CHECKS = (("$.gateway.bind", "0.0.0.0", "critical", "gateway listens on all addresses"), ("$.gateway.auth.mode", "none", "critical", "gateway has no authentication"), ("$.agents.defaults.sandbox.mode", "off", "high", "sandbox is off"), ("$.tools.profile", "full", "medium", "tools have the full profile"), ("$.tools.elevated.enabled", "true", "high", "elevated tools are on"), ("$.logging.redactSensitive", "off", "medium", "logs are not redacted"))
+
+
+def not_allowed(skills: DataFrame, allowlist: DataFrame, key: str = "skill_name") -> DataFrame:
+    return skills.join(allowlist, key, "left_anti")
+
+
+def content_hash(content: Column) -> Column:
+    """SHA-256 of the content without white space at its end."""
+    return F.sha2(F.regexp_replace(content, r"(?U)\s+\z", ""), 256)
+
+
+def verified(skills: DataFrame, pins: DataFrame) -> DataFrame:
+    """skill_name and its status: safe, tampered, or unknown without a pin. Of several pins the last holds."""
+    last = pins.groupBy("skill_name").agg(F.max_by("hash", "pinned_at").alias("hash"))
+    status = F.when(F.col("hash").isNull(), "unknown").when(F.col("hash") == content_hash(F.col("content")), "safe").otherwise("tampered")
+    return skills.join(last, "skill_name", "left").select("skill_name", status.alias("status"))
+
+
+def look_alikes(names: DataFrame, targets: DataFrame, most: int = 2) -> DataFrame:
+    """Names at 1 to `most` edits from a target; targets are a short fixed list."""
+    near = F.levenshtein("skill_name", "target", most)
+    return names.join(F.broadcast(targets), F.abs(F.length("skill_name") - F.length("target")) <= most).withColumn("distance", near).where("distance between 1 and 2").select("skill_name", "target", "distance")
+
+
+def capabilities(text: Column, keywords: tuple[str, ...]) -> Column:
+    """The keywords that stand in the text, in their order."""
+    low = F.lower(text)
+    return F.array_compact(F.array(*[F.when(low.contains(k), F.lit(k)) for k in keywords]))
+
+
+def toxic_flows(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs with sources, sinks, destructive and the flows: source and sink, or source and destruction, in one text."""
+    out = docs.withColumns({"sources": capabilities(F.col(text_col), SOURCES), "sinks": capabilities(F.col(text_col), SINKS), "destructive": capabilities(F.col(text_col), DESTRUCTIVE)})
+    has = F.size("sources") > 0
+    flows = F.array_compact(F.array(F.when(has & (F.size("sinks") > 0), F.lit("data_exfiltration")), F.when(has & (F.size("destructive") > 0), F.lit("destructive_access"))))
+    return out.withColumn("flows", flows)
+
+
+def license_of(text: Column) -> Column:
+    """The licence a text names, the first that holds."""
+    low = F.lower(text)
+    marks = (("affero", "AGPL"), ("server side public license", "SSPL"), ("gnu general public", "GPL"), ("gnu lesser", "LGPL"), ("apache license", "Apache-2.0"), ("mozilla public", "MPL-2.0"), ("mit license", "MIT"), ("bsd", "BSD"), ("license", "other"))
+    return F.coalesce(*[F.when(low.contains(m), F.lit(n)) for m, n in marks])
+
+
+def risk_class(name: Column) -> Column:
+    return F.coalesce(*[F.when(F.lower(name).rlike(p), F.lit(a)) for a, p in RISK], F.lit("escalate"))
+
+
+def config_findings(configs: DataFrame) -> DataFrame:
+    """agent, path, severity, message for each check that a configuration (JSON text) fails; unreadable ones give one finding."""
+    unreadable = F.expr("try_parse_json(config)").isNull()
+    checks = F.array(*[F.when(F.lower(F.get_json_object("config", p)) == v, F.struct(F.lit(p).alias("path"), F.lit(s).alias("severity"), F.lit(m).alias("message"))) for p, v, s, m in CONFIG_CHECKS])
+    broken = F.array(F.struct(F.lit("$").alias("path"), F.lit("medium").alias("severity"), F.lit("configuration can't be read").alias("message")))
+    return configs.select("agent", F.explode(F.when(unreadable, broken).otherwise(F.array_compact(checks))).alias("f")).select("agent", "f.*")
