@@ -51,5 +51,5 @@ def numbered(calls: DataFrame) -> DataFrame:
 def paired(before: DataFrame, after: DataFrame) -> DataFrame:
     """Latency of each call that has a result, by session and index."""
     b, a = before.select("session_id", "call_index", F.col("ts").alias("before_ts")), after.select("session_id", "call_index", F.col("ts").alias("after_ts"))
-    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
-    return b.join(a, ["session_id", "call_index"]).select("session_id", "call_index", (ms("after_ts") - ms("before_ts")).alias("latency_ms"))
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return b.join(a, ["session_id", "call_index"]).select("session_id", "call_index", ((us("after_ts") - us("before_ts")) / 1000).alias("latency_ms"))

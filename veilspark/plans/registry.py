@@ -1,4 +1,384 @@
-"""All queries of the engine's own operators, and their SQL."""
+"""All queries of the engine's own operators over the driver's tables, and the same in DuckDB's SQL.
 
-QUERIES = {}
-SQL = {}
+The tables hold no audit log, so events stand for tool calls: user_id is the session, event_type the tool, props.k
+an argument, value the tokens spent; odd event ids are results of the call before.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilspark.functions import detect, scoring
+from veilspark.operators import agent, audit, dataset, policy, scan, tools
+from veilspark.streaming import jobs
+
+RULES = (
+    policy.Rule("escalate-large-purchase", "escalate", "purchase", token_spent_gt=60, reason="large"),
+    policy.Rule("deny-errors", "deny", "^err", reason="error"),
+    policy.Rule("deny-nines", "deny", args={"k": "^9"}, any_tool=True, reason="nine"),
+)
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = t(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("call_id"), "ts", F.col("user_id").cast("string").alias("session_id"), F.col("event_type").alias("tool_name"), F.create_map(F.lit("k"), F.get_json_object("props", "$.k")).alias("arguments"), F.col("value").alias("token_spent"), F.array().cast("array<string>").alias("call_chain"))
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = policy.decide(calls(spark, sf_dir), RULES)
+    return d.withColumns({"phase": F.when(F.col("call_id") % 5 == 0, "after_call").otherwise("before_call"), "pii_count": F.when(F.col("call_id") % 10 == 0, F.col("arguments")["k"].cast("int") % 3), "timestamp": F.col("ts").cast("string")})
+
+
+C = "select event_id as call_id, ts, cast(user_id as varchar) as session_id, event_type as tool_name, json_extract_string(props, '$.k') as k, value as token_spent from events"
+D = f"select *, case when regexp_matches(tool_name, 'purchase') and token_spent > 60 then 'escalate' when regexp_matches(tool_name, '^err') then 'deny' when regexp_matches(coalesce(k, ''), '^9') then 'deny' else 'allow' end as decision, case when regexp_matches(tool_name, 'purchase') and token_spent > 60 then 'escalate-large-purchase' when regexp_matches(tool_name, '^err') then 'deny-errors' when regexp_matches(coalesce(k, ''), '^9') then 'deny-nines' end as policy_matched from ({C})"
+L = f"select *, case when call_id % 5 = 0 then 'after_call' else 'before_call' end as phase, case when call_id % 10 = 0 then cast(k as int) % 3 end as pii_count from ({D})"
+
+
+@query(f"select call_id, decision, policy_matched from ({D})")
+def guard_decisions(spark, d):
+    return policy.decide(calls(spark, d), RULES).select("call_id", "decision", "policy_matched")
+
+
+@query(f"select call_id, case when decision = 'deny' then 'allow' else decision end as decision, decision = 'deny' as would_deny, case when decision = 'deny' then '[dry-run] ' else '' end || case policy_matched when 'escalate-large-purchase' then 'large' when 'deny-errors' then 'error' when 'deny-nines' then 'nine' else '' end as reason from ({D})")
+def guard_dry_run(spark, d):
+    return policy.decide(calls(spark, d), RULES, dry_run=True).select("call_id", "decision", "would_deny", "reason")
+
+
+@query("with r as (select * from (values (1, 'views', 'allow', 'view'), (2, 'errors', 'deny', '^err'), (3, 'any', 'escalate', 'e')) r(o, name, action, p)), m as (select e.event_id, r.*, row_number() over (partition by e.event_id order by o) as n from events e join r on regexp_matches(e.event_type, r.p)) select e.event_id as call_id, coalesce(m.action, 'allow') as decision, m.name as policy_matched from events e left join m on m.event_id = e.event_id and m.n = 1")
+def guard_rule_table(spark, d):
+    rules = spark.createDataFrame([(1, "views", "allow", "view"), (2, "errors", "deny", "^err"), (3, "any", "escalate", "e")], "rule_order int, name string, action string, tool_pattern string")
+    return policy.decide_by_table(calls(spark, d), rules).select("call_id", "decision", "policy_matched")
+
+
+@query("select * from (values ('balanced', 1, 'deny'), ('balanced', 2, 'deny'), ('balanced', 3, 'escalate'), ('balanced', 4, 'allow'), ('balanced', 5, 'allow'), ('strict', 1, 'deny'), ('strict', 2, 'deny'), ('strict', 3, 'deny'), ('strict', 4, 'escalate'), ('strict', 5, 'deny'), ('permissive', 1, 'allow'), ('permissive', 2, 'allow'), ('permissive', 3, 'allow'), ('permissive', 4, 'allow'), ('permissive', 5, 'allow')) p(preset, call_id, decision)")
+def guard_presets(spark, d):
+    rows = [(1, "read_file", {"path": "/srv/.env"}, 0), (2, "run_command", {"command": "rm -rf /"}, 0), (3, "execute_sql", {"query": "drop table t"}, 0), (4, "write_file", {"path": "a"}, 0), (5, "list", {}, 60000)]
+    c = spark.createDataFrame([(*r, []) for r in rows], "call_id int, tool_name string, arguments map<string,string>, token_spent long, call_chain array<string>")
+    parts = [policy.decide(c, rules).select(F.lit(name).alias("preset"), "call_id", "decision") for name, rules in policy.PRESETS.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("with s as (select event_type as tool, ts as fetched_at, value / 10 as score from events where event_id % 7 = 0) select e.event_id as call_id, x.score, case when x.score < 3 or x.score is null then 'block' else 'allow' end as gate from events e left join (select e.event_id, arg_max(s.score, s.fetched_at) as score from events e join s on s.tool = e.event_type and s.fetched_at <= e.ts and e.ts < s.fetched_at + interval 2 hours group by 1) x using (event_id)")
+def trust_gate(spark, d):
+    scores = t(spark, d, "events").where("event_id % 7 = 0").select(F.col("event_type").alias("tool_name"), F.col("ts").alias("fetched_at"), (F.col("value") / 10).alias("score"))
+    return policy.trust_gate(calls(spark, d).select("call_id", "tool_name", "ts"), scores, "strict", 2).select("call_id", "score", "gate")
+
+
+@query(f"select count_if(phase = 'before_call') as total_calls, count_if(phase = 'before_call' and decision = 'allow') as allowed, count_if(phase = 'before_call' and decision = 'deny') as denied, count_if(phase = 'before_call' and decision = 'escalate') as escalated, count_if(phase = 'after_call' and pii_count > 0) as pii_detections from ({L})")
+def audit_stats(spark, d):
+    return audit.stats(log(spark, d))
+
+
+@query(f"select tool_name as key, count(*) as n from ({L}) where phase = 'before_call' and decision = 'deny' group by 1 order by n desc, min(call_id) limit 3")
+def audit_top_denied(spark, d):
+    return audit.top(audit.filtered(log(spark, d), phase="before_call", decision="deny"), "tool_name", 3)
+
+
+@query(f"select call_id, decision from ({L}) where ts >= (select max(ts) from events) - interval 48 hours and tool_name like '%c%' and decision <> 'allow' and decision = 'deny'")
+def audit_filter_last_hours(spark, d):
+    last = t(spark, d, "events").agg(F.max("ts").cast("timestamp").alias("as_of"))
+    rows = log(spark, d).crossJoin(F.broadcast(last))
+    return audit.filtered(rows, as_of=F.col("as_of"), last_hours=48, tool_name="c", decision="deny").select("call_id", "decision")
+
+
+@query(f"select call_id, decision from ({L}) where phase = 'before_call' order by ts desc, call_id desc limit 20")
+def audit_tail(spark, d):
+    return audit.filtered(log(spark, d), phase="before_call").orderBy(F.desc("ts"), F.desc("call_id")).limit(20).select("call_id", "decision")
+
+
+@query(f"with x as (select session_id, tool_name, count_if(decision = 'deny') as n from ({D}) group by 1, 2), w as (select session_id, tool_name, row_number() over (partition by session_id order by n desc, tool_name) as r from x where n > 0) select d.session_id, count(*) as total_calls, count_if(decision = 'allow') as allow_count, count_if(decision = 'deny') as deny_count, count_if(decision = 'escalate') as escalate_count, count(distinct d.tool_name) as unique_tools, any_value(w.tool_name) as top_denied_tool, min(ts) as started_at, max(ts) as ended_at from ({D}) d left join w on w.session_id = d.session_id and r = 1 group by 1")
+def session_summary(spark, d):
+    return audit.sessions(policy.decide(calls(spark, d), RULES))
+
+
+@query(f"select call_id, session_id, cast(row_number() over (partition by session_id order by ts, call_id) as int) as call_index from ({C})")
+def call_index(spark, d):
+    return audit.numbered(calls(spark, d)).select("call_id", "session_id", "call_index")
+
+
+@query(f"with n as (select *, row_number() over (partition by session_id order by ts, call_id) as r from ({C})), p as (select session_id, (r + r % 2) // 2 as i, r % 2 as odd, ts from n) select b.session_id, cast(b.i as int) as call_index, (epoch_us(a.ts) - epoch_us(b.ts)) / 1000 as latency_ms from p b join p a on a.session_id = b.session_id and a.i = b.i and b.odd = 1 and a.odd = 0")
+def before_after_latency(spark, d):
+    n = audit.numbered(calls(spark, d)).withColumn("odd", F.col("call_index") % 2).withColumn("call_index", ((F.col("call_index") + F.col("odd")) / 2).cast("int"))
+    return audit.paired(n.where("odd = 1"), n.where("odd = 0"))
+
+
+@query("select o_custkey, o_orderkey, lag(o_orderkey) over w as prev_scan_id, round_even(o_totalprice - lag(o_totalprice) over w, 1) as score_delta from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)")
+def timeline_deltas(spark, d):
+    return dataset.timeline(t(spark, d, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderkey", "o_totalprice")
+
+
+@query("select o_orderkey, coalesce(n, 0) as issues from orders left join (select l_orderkey, count(*) as n from lineitem where l_returnflag = 'R' group by 1) on l_orderkey = o_orderkey")
+def issue_count_per_scan(spark, d):
+    n = t(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    return t(spark, d, "orders").join(n, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("o_orderkey", F.coalesce("n", F.lit(0)).alias("issues"))
+
+
+@query("select case when s >= 9 then 'A' when s >= 7 then 'B' when s >= 5 then 'C' when s >= 3 then 'D' else 'F' end as rating, count(*) as n from (select (o_orderkey * 7 % 100) / 10.0 as s from orders) group by 1")
+def rating_distribution(spark, d):
+    s = t(spark, d, "orders").select(((F.col("o_orderkey") * 7 % 100) / 10).alias("s"))
+    return s.groupBy(scoring.grade(F.col("s")).alias("rating")).agg(F.count("*").alias("n"))
+
+
+@query("select p_type as category, count(*) as n from part group by 1 order by n desc, category limit 5")
+def top_categories(spark, d):
+    return t(spark, d, "part").groupBy(F.col("p_type").alias("category")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category").limit(5)
+
+
+@query("select count(*) as scans, count(distinct o_custkey) as unique_targets, count_if(o_orderstatus = 'F') as passing, count_if(o_orderstatus is not null) as labelled, coalesce(sum(case when o_totalprice > 1e12 then 1 end), 0) as fixed from orders")
+def filtered_counts(spark, d):
+    return t(spark, d, "orders").agg(F.count("*").alias("scans"), F.countDistinct("o_custkey").alias("unique_targets"), F.count_if(F.col("o_orderstatus") == "F").alias("passing"), F.count_if(F.col("o_orderstatus").isNotNull()).alias("labelled"), F.coalesce(F.sum(F.when(F.col("o_totalprice") > 1e12, 1)), F.lit(0)).alias("fixed"))
+
+
+@query("select user_id, event_type, arg_max(value, event_id) as status, arg_max(m, event_id) filter (where m is not null) as merged_at, arg_min(value, event_id) as submitted from (select *, case when value > 50 then value end as m from events) group by 1, 2")
+def pr_upsert(spark, d):
+    v = t(spark, d, "events").select("user_id", "event_type", "event_id", F.col("value").alias("status"), F.when(F.col("value") > 50, F.col("value")).alias("merged_at"), F.col("value").alias("submitted"))
+    return dataset.upserted(v, ["user_id", "event_type"], "event_id", ["status"], ["merged_at"], ["submitted"])
+
+
+@query("select source as pattern_name, count(*) as total_fires, count_if(toxic = 1) as confirmed_true, count_if(toxic = 0) as confirmed_false, count_if(toxic is null) as unreviewed, max(doc_id) as last_fired from documents left join labels using (doc_id) group by 1")
+def pattern_effectiveness(spark, d):
+    return dataset.effectiveness(t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left").select(F.col("source").alias("pattern_name"), (F.col("toxic") == 1).alias("review"), F.col("doc_id").alias("fired_at")))
+
+
+@query("select count(*) as total, count(quality) as labelled, count_if(quality = (case when n_chars > 300 then 1 else 0 end)) as correct, round_even(count_if(quality = (case when n_chars > 300 then 1 else 0 end)) * 100.0 / count(quality), 1) as accuracy from documents left join labels using (doc_id)")
+def calibration_report(spark, d):
+    rows = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left")
+    return dataset.calibration(rows.select(F.col("quality").alias("truth"), (F.col("n_chars") > 300).cast("int").alias("predicted")))
+
+
+@query("select p_partkey, r.low <= p_retailprice and p_retailprice <= r.high as passed from part join (select p_brand, avg(p_retailprice) - 100 as low, avg(p_retailprice) + 100 as high from part group by 1) r using (p_brand)")
+def benchmark_check(spark, d):
+    p = t(spark, d, "part")
+    r = p.groupBy("p_brand").agg((F.avg("p_retailprice") - 100).alias("low"), (F.avg("p_retailprice") + 100).alias("high"))
+    return p.join(r, "p_brand").select("p_partkey", F.col("p_retailprice").between(F.col("low"), F.col("high")).alias("passed"))
+
+
+SEV = "select l_orderkey, count_if(l_returnflag = 'R' and l_linestatus = 'F' and l_quantity > 45) as c, count_if(l_returnflag = 'R') as h, count_if(l_returnflag = 'A') as m, count_if(l_returnflag = 'N') as l, count(*) as n from lineitem group by 1"
+
+
+def severities(spark, d):
+    x = t(spark, d, "lineitem")
+    flag = lambda v: F.count_if(F.col("l_returnflag") == v)
+    return x.groupBy("l_orderkey").agg(F.count_if((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F") & (F.col("l_quantity") > 45)).alias("c"), flag("R").alias("h"), flag("A").alias("m"), flag("N").alias("l"), F.count("*").alias("n"))
+
+
+@query(f"select l_orderkey, greatest(0.0, least(10.0, 10.0 - (3 * c + 2 * h + m + 0.25 * l) + least(n / 5.0, 2.0))) as score from ({SEV})")
+def severity_penalty_score(spark, d):
+    return severities(spark, d).select("l_orderkey", scoring.security_score(*map(F.col, "chml"), scoring.architecture_bonus(F.col("n"))).alias("score"))
+
+
+@query(f"with s as (select *, greatest(0.0, 10.0 - (3 * c + 2 * h + m + 0.25 * l)) as sec, l_orderkey % 11 * 1.0 as des, l_orderkey % 7 * 1.0 as met, (['MIT', 'AGPL-3.0', 'SSPL-1.0', 'BSD'])[cast(l_orderkey % 4 + 1 as int)] as lic from ({SEV})), o as (select *, round_even(cast(des * 0.35 + sec * 0.35 + met * 0.3 as double), 4) as overall, case when c > 0 then 'critical_vulnerability' when n = 0 then 'no_tools' when lic in ('AGPL-3.0', 'SSPL-1.0') then 'license_banned' end as hard from s) select l_orderkey, overall, hard as hard_constraint, case when hard is null then case when overall >= 9 then 'A' when overall >= 7 then 'B' when overall >= 5 then 'C' when overall >= 3 then 'D' else 'F' end when hard = 'license_banned' and overall >= 4 then 'D' else 'F' end as grade from o")
+def composites_and_constraints(spark, d):
+    s = severities(spark, d)
+    license = F.element_at(F.array(*map(F.lit, ("MIT", "AGPL-3.0", "SSPL-1.0", "BSD"))), (F.col("l_orderkey") % 4 + 1).cast("int"))
+    s = s.withColumn("overall", scoring.half_even(scoring.weighted({"description": (F.col("l_orderkey") % 11).cast("double"), "security": scoring.security_score(*map(F.col, "chml")), "metadata": (F.col("l_orderkey") % 7).cast("double")}, scoring.LAYER_WEIGHTS), 4)).withColumn("hard_constraint", scoring.hard_constraint(F.col("c"), F.col("n"), license))
+    return s.select("l_orderkey", "overall", "hard_constraint", scoring.constrained_grade(F.col("overall"), F.col("hard_constraint")).alias("grade"))
+
+
+@query("select c_custkey, round_even(least(10.0, greatest(0.0, p * 0.4 + m * 0.35 + s * 0.25)), 2) as score from (select c_custkey, case when c_acctbal >= 9000 then 10.0 when c_acctbal >= 5000 then 7.0 when c_acctbal >= 0 then 4.0 else 1.0 end as p, case when c_nationkey <= 5 then 10.0 when c_nationkey <= 15 then 6.0 else 2.0 end as m, case when c_custkey % 1000 >= 900 then 9.0 when c_custkey % 1000 >= 100 then 5.0 else 2.0 end as s from customer)")
+def metadata_score(spark, d):
+    p = scoring.step(F.col("c_acctbal"), [(9000, 10.0), (5000, 7.0), (0, 4.0)], 1.0)
+    m = scoring.step(-F.col("c_nationkey"), [(-5, 10.0), (-15, 6.0)], 2.0)
+    s = scoring.step(F.col("c_custkey") % 1000, [(900, 9.0), (100, 5.0)], 2.0)
+    return t(spark, d, "customer").select("c_custkey", scoring.half_even(scoring.weighted({"provenance": p, "maintenance": m, "popularity": s}, scoring.METADATA_WEIGHTS), 2).alias("score"))
+
+
+PAT = {k: p for k, _, p in detect.PII}
+
+
+@query(f"select doc_id, len(regexp_extract_all(text, '{PAT['email']}')) as n_email, len(regexp_extract_all(text, '{PAT['phone']}')) as n_phone, len(regexp_extract_all(text, '{PAT['ip_address']}')) as n_ip from documents")
+def dlp_counts(spark, d):
+    n = lambda k: F.size(F.filter("f", lambda x: x["type"].isin(*k))).cast("long")
+    f = t(spark, d, "documents").select("doc_id", detect.findings(F.col("text"), ["email", "phone", "ip_address"]).alias("f"))
+    return f.select("doc_id", n(["email"]).alias("n_email"), n(["phone"]).alias("n_phone"), n(["ip_address", "ip_internal"]).alias("n_ip"))
+
+
+@query(f"with x as (select doc_id, unnest(regexp_extract_all(text, '{PAT['credit_card']}')) as v from documents), y as (select doc_id, list_transform(string_split(reverse(regexp_replace(v, '[^0-9]', '', 'g')), ''), lambda c: cast(c as int)) as g from x) select doc_id, count(*) as cards from y where len(g) >= 13 and list_sum(list_transform(g, lambda c, i: case when i % 2 = 1 then c else (c * 2) % 10 + (c * 2) // 10 end)) % 10 = 0 group by 1")
+def dlp_card_luhn(spark, d):
+    f = t(spark, d, "documents").select("doc_id", F.explode(detect.findings(F.col("text"), ["credit_card"])))
+    return f.groupBy("doc_id").agg(F.count("*").alias("cards"))
+
+
+@query(f"select doc_id, md5(regexp_replace(text, '{PAT['phone']}', '[REDACTED:phone]', 'g')) as digest from documents")
+def dlp_redact_phone(spark, d):
+    text = F.col("text")
+    return t(spark, d, "documents").select("doc_id", F.md5(detect.redacted(text, detect.without_overlaps(detect.findings(text, ["phone"])))).alias("digest"))
+
+
+def _acted(spark, d, action):
+    docs = t(spark, d, "documents").withColumn("f", detect.without_overlaps(detect.findings(F.col("text"))))
+    return docs.where(F.size("f") > 0).select("doc_id", F.size("f").alias("findings"), detect.acted(F.col("text"), F.col("f"), action).alias("text"))
+
+
+@query()
+def dlp_redact(spark, d):
+    return _acted(spark, d, "redact")
+
+
+@query()
+def dlp_mask(spark, d):
+    return _acted(spark, d, "mask")
+
+
+@query()
+def dlp_block(spark, d):
+    return _acted(spark, d, "block")
+
+
+@query("select doc_id, case when length(v) <= 12 then '****' else left(v, 4) || '****' || right(v, 4) end as preview from (select doc_id, regexp_extract(text, '[a-z]+ = \"[0-9a-f]{32,}\"') as v from documents) where v <> ''")
+def dlp_edge_profile(spark, d):
+    v = t(spark, d, "documents").select("doc_id", F.regexp_substr("text", F.lit('[a-z]+ = "[0-9a-f]{32,}"')).alias("v")).where("v is not null")
+    return v.select("doc_id", F.when(F.length("v") <= 12, "****").otherwise(F.concat(F.left("v", F.lit(4)), F.lit("****"), F.right("v", F.lit(4)))).alias("preview"))
+
+
+@query("select page_id, len(regexp_extract_all(replace(html, '&quot;', '\"'), '(?i)(?:password|secret|token|api_?key)\\s*=\\s*[\"''][^\"''\\s]{8,}[\"'']')) as n from pages where len(regexp_extract_all(replace(html, '&quot;', '\"'), '(?i)(?:password|secret|token|api_?key)\\s*=\\s*[\"''][^\"''\\s]{8,}[\"'']')) > 0")
+def hardcoded_credential(spark, d):
+    pages = t(spark, d, "pages").select("page_id", F.replace("html", F.lit("&quot;"), F.lit('"')).alias("content"))
+    return scan.issues(pages).where("category = 'hardcoded_credential'").groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query("with l as (select doc_id, unnest(string_split(text, chr(10))) as s, generate_subscripts(string_split(text, chr(10)), 1) as line from documents) select doc_id, cast(line as int) as line, 'hardcoded_credential' as category from l where regexp_matches(s, '(?i)(?:password|secret|token|api_?key)\\s*=\\s*[\"''][^\"''\\s]{8,}[\"'']')")
+def scan_issue_lines(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+    return scan.issues(docs).where("category = 'hardcoded_credential'").select("doc_id", "line", "category").distinct()
+
+
+TOK = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: length(w) > 2))"
+
+
+@query(f"with w as (select unnest({TOK.format('text')}) as word from documents), n as (select count(*) as n from documents) select word, count(*) as df from w group by 1 having count(*) > greatest(1, (select n from n) // 2)")
+def token_df_stopwords(spark, d):
+    return tools.stop_words(t(spark, d, "documents"), "doc_id", "text")
+
+
+@query(f"with s as (select item_id, {TOK.format('text')} as w from benchmark) select x.item_id as a, y.item_id as b, len(list_intersect(x.w, y.w)) / least(len(x.w), len(y.w)) as overlap from s x join s y on x.item_id < y.item_id where len(list_intersect(x.w, y.w)) / least(len(x.w), len(y.w)) > 0.12")
+def word_overlap(spark, d):
+    return tools.overlaps(t(spark, d, "benchmark"), "item_id", "text", 0.12)
+
+
+@query("with w as (select doc_id, text, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') as w from documents), s as (select doc_id, text, len(list_distinct(w)) / greatest(len(w), 1) as s from w) select doc_id, case when s >= 0.5 then 1.0 when s >= 0.3 then 0.7 else 0.3 end as density, case when length(text) < 20 then 0.0 when length(text) < 50 then 0.5 when length(text) < 80 then 0.8 when length(text) <= 500 then 1.0 else 0.7 end as length_step, regexp_matches(lower(text), 'error|fail|invalid|not found|raises|throws') as has_error_guidance from s")
+def description_measures(spark, d):
+    text = F.col("text")
+    return t(spark, d, "documents").select("doc_id", tools.density(text).alias("density"), tools.length_step(text).alias("length_step"), tools.flags(text)["has_error_guidance"].alias("has_error_guidance"))
+
+
+@query()
+def description_score(spark, d):
+    return t(spark, d, "documents").select("doc_id", tools.score(F.col("text")).alias("score"))
+
+
+@query(f"with b as (select item_id, unnest({TOK.format('text')}) as word from benchmark), i as (select word, ln((select count(*) from benchmark) / (count(*) + 1)) + 1 as idf from b group by 1), q as (select doc_id, unnest({TOK.format('text')}) as word from documents), s as (select doc_id, item_id, round_even(sum(idf), 6) as score from q join b using (word) join i using (word) group by 1, 2), r as (select *, row_number() over (partition by doc_id order by score desc, item_id) as n from s) select doc_id as intent_id, item_id as tool_id, score from r where n = 1")
+def intent_rank(spark, d):
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("intent_id"), F.col("text").alias("intent"))
+    return tools.ranked(docs, t(spark, d, "benchmark").select(F.col("item_id").alias("tool_id"), F.col("text").alias("description")))
+
+
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderkey % 13 = 0)")
+def allowlist_anti(spark, d):
+    return agent.not_allowed(t(spark, d, "customer").select("c_custkey"), t(spark, d, "orders").where("o_orderkey % 13 = 0").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("select p_partkey as skill_name, case when p_partkey % 3 = 0 then 'unknown' when p_partkey % 5 = 0 then 'tampered' else 'safe' end as status from part")
+def pin_verify(spark, d):
+    p = t(spark, d, "part")
+    skills = p.select(F.col("p_partkey").alias("skill_name"), F.concat("p_name", F.lit(" \n")).alias("content"))
+    pins = p.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("skill_name"), agent.content_hash(F.when(F.col("p_partkey") % 5 == 0, F.concat("p_name", F.lit("x"))).otherwise(F.col("p_name"))).alias("hash"), F.lit(1).alias("pinned_at"))
+    return agent.verified(skills, pins)
+
+
+@query("select distinct s.event_type || e as skill_name, x.target, levenshtein(s.event_type || e, x.target) as distance from (select distinct event_type from events) s, (values ('s'), ('er'), ('ful')) v(e), (values ('view'), ('views'), ('clicks'), ('error')) x(target) where levenshtein(s.event_type || e, x.target) between 1 and 2")
+def typosquat(spark, d):
+    names = t(spark, d, "events").select("event_type").distinct().select(F.explode(F.array(*[F.concat("event_type", F.lit(e)) for e in ("s", "er", "ful")])).alias("skill_name"))
+    return agent.look_alikes(names, spark.createDataFrame([(x,) for x in ("view", "views", "clicks", "error")], "target string")).select("skill_name", "target", F.col("distance").cast("long").alias("distance"))
+
+
+def _has(words, column="lower(text)"):
+    return "(" + " or ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+@query(f"select doc_id, {_has(agent.SOURCES)} and {_has(agent.SINKS)} as exfiltration, {_has(agent.SOURCES)} and {_has(agent.DESTRUCTIVE)} as destruction from documents")
+def keyword_flows(spark, d):
+    f = agent.toxic_flows(t(spark, d, "documents"), "text")
+    return f.select("doc_id", F.array_contains("flows", "data_exfiltration").alias("exfiltration"), F.array_contains("flows", "destructive_access").alias("destruction"))
+
+
+@query("select doc_id, case when contains(lower(text), 'affero') then 'AGPL' when contains(lower(text), 'server side public license') then 'SSPL' when contains(lower(text), 'gnu general public') then 'GPL' when contains(lower(text), 'gnu lesser') then 'LGPL' when contains(lower(text), 'apache license') then 'Apache-2.0' when contains(lower(text), 'mozilla public') then 'MPL-2.0' when contains(lower(text), 'mit license') then 'MIT' when contains(lower(text), 'bsd') then 'BSD' when contains(lower(text), 'license') then 'other' end as license from documents")
+def license_classify(spark, d):
+    return t(spark, d, "documents").select("doc_id", agent.license_of(F.col("text")).alias("license"))
+
+
+@query("select event_type, case when regexp_matches(lower(event_type), 'delete|drop|destroy|remove|purge|truncate|kill') then 'deny' when regexp_matches(lower(event_type), 'write|create|update|edit|insert|send|post|purchase|signup') then 'escalate' when regexp_matches(lower(event_type), 'read|get|list|search|view|find|query|fetch|click') then 'allow' else 'escalate' end as action, count(*) as n from events group by 1, 2")
+def tool_risk_class(spark, d):
+    return t(spark, d, "events").groupBy("event_type", agent.risk_class(F.col("event_type")).alias("action")).agg(F.count("*").alias("n"))
+
+
+@query("select case when regexp_matches(url, '^https?://[^/]*(?:test)') then 'test' else 'runtime' end as kind, count(*) as n, count_if(regexp_matches(html, 'https?://[^\\s/:@\"'']+:[^\\s/@\"'']+@')) as basic_auth from pages group by 1")
+def page_checks(spark, d):
+    auth = next(p for c, _, p in scan.RULES if c == "url_basic_auth")
+    return t(spark, d, "pages").groupBy(F.when(F.col("url").rlike("^https?://[^/]*(?:test)"), "test").otherwise("runtime").alias("kind")).agg(F.count("*").alias("n"), F.count_if(F.col("html").rlike(auth)).alias("basic_auth"))
+
+
+@query("select conv_id, turn, regexp_matches(text, '(?is)(?:ignore|disregard|forget)\\s+(?:all\\s+)?(?:previous|prior|all|above|your)\\s+(?:instructions?|prompts?|rules?|constraints?|guidelines?)') as injected from conversations")
+def prompt_injection(spark, d):
+    return t(spark, d, "conversations").select("conv_id", "turn", (F.size(detect.findings(F.col("text"), ["ignore_instructions"])) > 0).alias("injected"))
+
+
+@query("select 'c' as agent, '$.gateway.bind' as path, 'critical' as severity, 'gateway listens on all addresses' as message union all select 'c', '$.tools.profile', 'medium', 'tools have the full profile' union all select 'x', '$', 'medium', 'configuration can''t be read'")
+def config_checks(spark, d):
+    return agent.config_findings(spark.createDataFrame([("c", '{"gateway": {"bind": "0.0.0.0"}, "tools": {"profile": "full"}}'), ("x", "{nope"), ("ok", "{}")], "agent string, config string"))
+
+
+@query()
+def sarif_export(spark, d):
+    e = t(spark, d, "events").select(F.col("user_id").alias("target"), F.col("event_type").alias("rule_id"), F.when(F.col("value") > 80, "critical").otherwise("low").alias("severity"), F.col("props").alias("message"))
+    return dataset.sarif_results(e)
+
+
+@query()
+def json_export(spark, d):
+    return dataset.export_json({n: t(spark, d, n) for n in ("nation", "region", "supplier")})
+
+
+@query(f"select time_bucket(interval 1 hour, ts) as hour, session_id, count(*) as total_calls, count_if(decision = 'deny') as deny_count from ({D}) group by 1, 2")
+def hourly_sessions(spark, d):
+    rows = policy.decide(calls(spark, d), RULES)
+    return rows.groupBy(F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("hour"), "session_id").agg(F.count("*").alias("total_calls"), F.count_if(F.col("decision") == "deny").alias("deny_count"))
+
+
+def _scratch(spark) -> str:
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="veilspark-")
+    return f"{shared}/streams/{uuid.uuid4().hex}"
+
+
+@query(f"select call_id, decision, policy_matched from ({D})")
+def stream_guard(spark, d):
+    """The decisions of guard_decisions, made by a stream over the same rows."""
+    schema, at = t(spark, d, "events").schema, _scratch(spark)
+    e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    c = e.select(F.col("event_id").alias("call_id"), F.col("event_type").alias("tool_name"), F.create_map(F.lit("k"), F.get_json_object("props", "$.k")).alias("arguments"), F.col("value").alias("token_spent"), F.array().cast("array<string>").alias("call_chain"))
+    jobs.run_available(jobs.guard(c, RULES).select("call_id", "decision", "policy_matched"), f"{at}/out", f"{at}/state")
+    return spark.read.schema("call_id long, decision string, policy_matched string").parquet(f"{at}/out")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_stats(spark, sf_dir)
