@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions import detect, scoring
-from veilspark.operators import agent, audit, dataset, policy, scan, tools
+from veilspark.operators import agent, audit, dataset, policy, scan, skills, tools
 from veilspark.streaming import jobs
 
 RULES = (
@@ -122,9 +122,9 @@ def before_after_latency(spark, d):
     return audit.paired(n.where("odd = 1"), n.where("odd = 0"))
 
 
-@query("select o_custkey, o_orderkey, lag(o_orderkey) over w as prev_scan_id, round_even(o_totalprice - lag(o_totalprice) over w, 1) as score_delta from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)")
+@query("select o_custkey, o_orderkey, lag(o_orderkey) over w as prev_scan_id, round_even(s - lag(s) over w, 1) as score_delta from (select *, floor(o_totalprice) / 10 as s from orders) window w as (partition by o_custkey order by o_orderdate, o_orderkey)")
 def timeline_deltas(spark, d):
-    return dataset.timeline(t(spark, d, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderkey", "o_totalprice")
+    return dataset.timeline(t(spark, d, "orders").withColumn("score", F.floor("o_totalprice") / 10), "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderkey", "score")
 
 
 @query("select o_orderkey, coalesce(n, 0) as issues from orders left join (select l_orderkey, count(*) as n from lineitem where l_returnflag = 'R' group by 1) on l_orderkey = o_orderkey")
@@ -226,7 +226,8 @@ def dlp_redact_phone(spark, d):
 
 
 def _acted(spark, d, action):
-    docs = t(spark, d, "documents").withColumn("f", detect.without_overlaps(detect.findings(F.col("text"))))
+    # a generator is evaluated once, where a filter on a projected column would repeat the whole detection
+    docs = t(spark, d, "documents").select("doc_id", "text", F.explode(F.array(detect.without_overlaps(detect.findings(F.col("text"))))).alias("f"))
     return docs.where(F.size("f") > 0).select("doc_id", F.size("f").alias("findings"), detect.acted(F.col("text"), F.col("f"), action).alias("text"))
 
 
@@ -365,6 +366,29 @@ def hourly_sessions(spark, d):
     return rows.groupBy(F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("hour"), "session_id").agg(F.count("*").alias("total_calls"), F.count_if(F.col("decision") == "deny").alias("deny_count"))
 
 
+@query("select page_id as skill_name, regexp_matches(html, '(?i)chmod\\s+777|--dangerously|sudo\\s') as broad, case when regexp_matches(html, '(?i)https?://[^\\s]+\\.(?:exe|dmg|sh|ps1)\\b') or regexp_matches(html, '(?i)chmod\\s+777|--dangerously|sudo\\s') then 'suspicious' else 'safe' end as verdict from pages")
+def skill_verdicts(spark, d):
+    rows = t(spark, d, "pages").select(F.col("page_id").alias("skill_name"), F.col("html").alias("content"))
+    return skills.scanned(rows).select("skill_name", F.array_contains("hits", "broad_permissions").alias("broad"), "verdict")
+
+
+@query("select * from (values ('a.py', 'read_it'), ('a.py', 'write_it'), ('b.ts', 'fetch-url')) x(path, tool_name)")
+def tool_extraction(spark, d):
+    rows = [("a.py", "py", "@mcp.tool()\nasync def read_it(x):\n  pass\n@tool\ndef write_it():\n  pass\n@tool\ndef write_it():\n  pass"), ("b.ts", "ts", 'server.tool("fetch-url", {})'), ("c.txt", "txt", "tool")]
+    return skills.extracted_tools(spark.createDataFrame(rows, "path string, ext string, content string"))
+
+
+@query()
+def template_rewrites(spark, d):
+    x = t(spark, d, "part").select(F.concat_ws("_", F.lit("get"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_")))).alias("name"), F.col("p_name").alias("description"))
+    return skills.accepted_rewrites(skills.rewritten(x))
+
+
+@query("select source as target, count_if(regexp_matches(text, '(?i)error')) as errors, round_even(avg(n_chars), 3) as mean_chars from documents group by 1")
+def target_coverage(spark, d):
+    return t(spark, d, "documents").groupBy(F.col("source").alias("target")).agg(F.count_if(F.col("text").rlike("(?i)error")).alias("errors"), F.bround(F.avg("n_chars"), 3).alias("mean_chars"))
+
+
 def _scratch(spark) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="veilspark-")
     return f"{shared}/streams/{uuid.uuid4().hex}"

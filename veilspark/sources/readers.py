@@ -12,7 +12,8 @@ AUDIT = "timestamp string, phase string, session_id string, agent_id string, too
 
 def audit_log(spark: SparkSession, folder: str) -> DataFrame:
     """JSON lines of all files; blank and malformed lines are left out."""
-    rows = spark.read.schema(AUDIT).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("pathGlobFilter", "*.jsonl").json(folder)
+    lines = spark.read.text(folder, pathGlobFilter="*.jsonl").where(F.trim("value") != "")
+    rows = lines.select(F.from_json("value", AUDIT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("r.*")
     return rows.where("_corrupt_record is null").drop("_corrupt_record")
 
 
