@@ -276,6 +276,20 @@ def test_disclosing_terms(spark):
     assert text[0] == "the report of  was sent by [EMAIL] to all people number one" and text[10] == rows[4][1]
 
 
+def test_an_entity_in_all_documents_discloses_nothing(spark):
+    rows = [(i, f"mail me at all@corp.example please number {i}") for i in range(5)]
+    found = op9_pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all([x.rank for x in r.spans] == [0] for r in found)
+
+
+def test_candidates_keep_clear_of_base_findings():
+    text = " ".join(f'token = "{"0a1b2c3d4e5f" * 3}" plain{i}word{i}plain{i}' for i in range(20))
+    base = op6_secret_scan.base_spans(text)
+    got = op6_secret_scan.candidates(text, base)
+    assert [text[s:e] for s, e in got] == [f"plain{i}word{i}plain{i}" for i in range(20) if len(f"plain{i}word{i}plain{i}") >= 16]
+    assert not any(s < f and b < e for s, e in got for b, _, f in base)
+
+
 def test_classifier(spark, docs, none):
     r = np.random.default_rng(4)
     clean, junk = [words(60, int(s)) for s in r.integers(0, 9999, 150)], [" | ".join(words(40, int(s)).split()) for s in r.integers(0, 9999, 150)]

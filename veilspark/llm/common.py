@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,7 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a folder of our own only where the setting is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="veilspark-")
+        own = tempfile.mkdtemp(prefix="veilspark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = "file://" + own
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -77,7 +81,6 @@ def running_sum(df: DataFrame, group: str, order: list[str], value: str, name: s
     group) and added. Null groups form one group. Rows that tie in `order` count one after the other.
     """
     import pyarrow as pa
-    import pyarrow.compute as pc
     from pyspark import TaskContext
     from pyspark.sql import types as T
 

@@ -134,7 +134,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     else:  # else counts are summed up before they meet
         df_term = terms.groupBy("term").agg(F.count("*").alias("df_term")).join(wanted, "term", "left_semi")
     known = joint.join(df_term, "term")
-    disclosure = F.ln(F.col("joint") * n / (F.col("df_term") * F.col("df_entity"))) / F.ln(n / F.col("df_entity"))
+    disclosure = F.try_divide(F.ln(F.col("joint") * n / (F.col("df_term") * F.col("df_entity"))), F.ln(n / F.col("df_entity")))
     telling = known.where((F.col("df_entity") < n) & (disclosure >= threshold)).select("entity", "term")
     more = pairs.join(telling, ["entity", "term"], "left_semi").groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_set(F.struct("start", F.lit(4).alias("rank"), "end", "value")).alias("more"))
     out = base.join(more, base.doc_id.eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left")
