@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veilspark.functions import detect, scoring
 from veilspark.operators import agent, audit, dataset, policy, scan, skills, tools
@@ -389,6 +390,47 @@ def target_coverage(spark, d):
     return t(spark, d, "documents").groupBy(F.col("source").alias("target")).agg(F.count_if(F.col("text").rlike("(?i)error")).alias("errors"), F.bround(F.avg("n_chars"), 3).alias("mean_chars"))
 
 
+@query("with r as (select * from (values (1, 'view', 'allow'), (2, 'cl*', 'escalate'), (3, '*', 'deny')) r(o, p, action)) select e.event_id as call_id, arg_min(action, o) as action from events e join r on e.event_type = r.p or (r.p like '%*' and starts_with(e.event_type, replace(r.p, '*', ''))) group by 1")
+def server_policy(spark, d):
+    """Exact or prefix rules, the first that fits; a policy's rules are few."""
+    rules = spark.createDataFrame([(1, "view", "allow"), (2, "cl*", "escalate"), (3, "*", "deny")], "o int, p string, action string")
+    fits = "tool_name = p or (endswith(p, '*') and startswith(tool_name, replace(p, '*', '')))"
+    return calls(spark, d).join(F.broadcast(rules), F.expr(fits)).groupBy("call_id").agg(F.min_by("action", "o").alias("action"))
+
+
+@query("select event_type as pattern, coalesce(code, 'TS-X000') as code, count(*) as n from events left join (values ('error', 'TS-E001'), ('purchase', 'TS-W002'), ('signup', 'TS-C003')) c(name, code) on name = event_type where event_type <> 'view' group by 1, 2")
+def issue_codes(spark, d):
+    """Findings with their codes, less an ignore set."""
+    codes = spark.createDataFrame([("error", "TS-E001"), ("purchase", "TS-W002"), ("signup", "TS-C003")], "pattern string, code string")
+    found = t(spark, d, "events").select(F.col("event_type").alias("pattern"))
+    kept = found.join(F.broadcast(spark.createDataFrame([("view",)], "pattern string")), "pattern", "left_anti")
+    return kept.join(F.broadcast(codes), "pattern", "left").groupBy("pattern", F.coalesce("code", F.lit("TS-X000")).alias("code")).agg(F.count("*").alias("n"))
+
+
+@query("select left(sha256(string_agg(event_type, '|' order by event_type)), 16) as pattern_set_hash from (select distinct event_type from events)")
+def pattern_set_hash(spark, d):
+    names = t(spark, d, "events").select("event_type").distinct().agg(F.array_join(F.array_sort(F.collect_set("event_type")), "|").alias("names"))
+    return names.select(F.left(F.sha2("names", 256), F.lit(16)).alias("pattern_set_hash"))
+
+
+@query("select page_id, regexp_extract(url, '^https?://([^/]+)', 1) as owner, regexp_replace(regexp_extract(url, '([^/]+)/?$', 1), '[.]git$', '') as repo from pages")
+def slug_parse(spark, d):
+    return t(spark, d, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("owner"), F.regexp_replace(F.regexp_extract("url", "([^/]+)/?$", 1), "[.]git$", "").alias("repo"))
+
+
+@query("select user_id, event_type, min(event_id) as first_seen, row_number() over (partition by user_id order by min(event_id)) as position from events group by 1, 2")
+def first_seen_tools(spark, d):
+    first = t(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_seen"))
+    return first.withColumn("position", F.row_number().over(Window.partitionBy("user_id").orderBy("first_seen")).cast("long"))
+
+
+@query("with g as (select *, case when ts <= lag(ts) over w + interval 30 minutes then 0 else 1 end as new from events window w as (partition by user_id order by ts, event_id)), s as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as n from g) select user_id, min(ts) as started, count(*) as calls from s group by user_id, n")
+def session_windows(spark, d):
+    e = t(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    w = e.groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.min("ts").cast("timestamp_ntz").alias("started"), F.count("*").alias("calls"))
+    return w.select("user_id", "started", "calls")
+
+
 def _scratch(spark) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="veilspark-")
     return f"{shared}/streams/{uuid.uuid4().hex}"
