@@ -1,38 +1,214 @@
-"""Source scans: pattern rules over whole files with line numbers, file contexts, and severity-weighted scores."""
+"""Source scans: pattern rules over whole files with line numbers, file contexts, hardening, and severity-weighted scores."""
 
 from __future__ import annotations
 
+import ast
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.functions import patterns as p
 from veilspark.functions.detect import matches
+from veilspark.functions.scoring import clamp
+
+#: category, severity, pattern and the sources meant: all, py (not scripts) or js (scripts alone).
+RULES = tuple((c, s, "(?i)" + x, "py" if c in p.PYTHON_ONLY else "all") for c, s, xs in p.COMMON for x in xs) + tuple((c, s, x, "js") for c, s, xs in p.SCRIPT for x in xs)
+VALIDATES = r"(?i)validate|sanitize|check_|_check\b|_valid|raise\s+(?:ValueError|TypeError)|isinstance\s*\(|len\s*\(.*[<>]|not\s+\w+\s+or\s+len\s*\("
+WEIGHTS = {"critical": 3.0, "high": 2.0, "medium": 1.0, "low": 0.25, "info": 0.1}
+# Hardening categories with the line that shows each.
+HARDENING = {"credential": r"os\.environ|os\.getenv|process\.env", "path_traversal": r"open\(|Path\(", "sql_injection": r"execute\(.*f[\"']", "truncation": r"fetchall|SELECT", "read_only": r"INSERT|UPDATE|DELETE|DROP"}
+
+
+def line_number(text: Column, start: Column) -> Column:
+    before = F.left(text, start.cast("int"))
+    return (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("int")
+
+
+def _validated(rest: pd.Series) -> pd.Series:
+    """Whether the body of a function, whose text after the match is given, checks its input: indentation decides where it ends."""
+    import re
+
+    wanted, quotes = re.compile(VALIDATES), ('"""', "'''")
+
+    def body(text: str) -> str:
+        kept, indent, open_quote = [], None, False
+        for line in text.split("\n"):
+            bare = line.lstrip()
+            if open_quote:
+                open_quote = not any(q in bare for q in quotes)
+            elif indent is None and (not bare or bare.startswith("#")):
+                continue
+            elif indent is None and bare.startswith(quotes):
+                open_quote = bare.count(bare[:3]) < 2
+            else:
+                indent = len(line) - len(bare) if indent is None else indent
+                if bare and len(line) - len(bare) < indent:
+                    break
+                kept.append(bare)
+                if bare and len(kept) >= 30:
+                    break
+        return "\n".join(kept)
 
-# Rules as category, severity and pattern.
-RULES = (
-    ("hardcoded_credential", "high", r"(?i)(?:password|secret|token|api_?key)\s*=\s*[\"'][^\"'\s]{8,}[\"']"),
-    ("dangerous_eval", "critical", r"\b(?:eval|exec)\s*\("),
-    ("shell_injection", "critical", r"subprocess\.(?:run|call|Popen)\([^)]*shell\s*=\s*True|os\.system\("),
-    ("unsafe_deserialization", "high", r"pickle\.loads?\(|yaml\.load\((?![^)]*SafeLoader)"),
-    ("url_basic_auth", "high", r"https?://[^\s/:@\"']+:[^\s/@\"']+@"),
-    ("insecure_tls", "medium", r"verify\s*=\s*False|rejectUnauthorized\s*:\s*false"),
-)
-CONTEXTS = (("test", r"(?i)(?:^|/)(?:tests?|__tests__|spec)(?:/|$)|(?:^|/)test_|\.(?:test|spec)\."), ("build", r"(?i)(?:^|/)(?:build|scripts|ci|\.github)(?:/|$)|(?:^|/)setup\.py$"), ("benchmark", r"(?i)(?:^|/)bench"), ("migration", r"(?i)(?:^|/)migrations?(?:/|$)"), ("cli", r"(?i)(?:^|/)cli(?:/|\.)"))
+    return rest.map(lambda text: text is not None and wanted.search(body(text)) is not None)
 
 
 def issues(files: DataFrame, text_col: str = "content", rules=RULES) -> DataFrame:
-    """files' other columns, category, severity, line and matched text: a row per match of a rule."""
-    text = F.col(text_col)
-    line = lambda at: F.length(F.substring(text, F.lit(1), at.cast("int"))) - F.length(F.replace(F.substring(text, F.lit(1), at.cast("int")), F.lit("\n"), F.lit(""))) + 1
-    shaped = lambda c, s, p: F.when(text.rlike(p), F.transform(matches(text, p), lambda m: F.struct(F.lit(c).alias("category"), F.lit(s).alias("severity"), line(m["start"]).alias("line"), m["value"].alias("matched"))))
-    kind = "array<struct<category:string,severity:string,line:int,matched:string>>"
-    every = F.concat(*[F.coalesce(shaped(c, s, p).cast(kind), F.array().cast(kind)) for c, s, p in rules])
-    rest = [c for c in files.columns if c != text_col]
-    return files.select(*rest, F.explode(every).alias("m")).select(*rest, "m.*")
+    """files' other columns, category, severity, line, confidence and matched text: a row per match of each pattern.
+
+    Rules for scripts or Python alone look at column ext if there is one. A first pass tests which patterns hold at
+    all; only those are matched with places. Matches beside a harmless form are left out, and confidence is low where
+    the file has a safer form. Null texts have no issues.
+    """
+    text, rest = F.col(text_col), [c for c in files.columns if c != text_col]
+    js = F.col("ext").isin("ts", "js") if "ext" in files.columns else F.lit(None).cast("boolean")
+    meant = {"all": F.lit(True), "py": F.coalesce(~js, F.lit(True)), "js": F.coalesce(js, F.lit(False))}
+    used = [r for r in rules if r[3] != "js" or "ext" in files.columns]
+    held = F.array_compact(F.array(*[F.when(meant[scope] & text.rlike(x), F.lit(i)) for i, (_, _, x, scope) in enumerate(used)]))
+    table = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(s).alias("severity"), F.lit(x).alias("pattern"), F.lit(scope).alias("scope")) for c, s, x, scope in used])
+    hit = files.withColumn("_i", F.explode(held)).withColumn("_r", F.element_at(table, F.col("_i") + 1))
+    hit = hit.withColumn("_m", F.explode(matches(text, F.col("_r.pattern"))))
+    start, end = F.col("_m.start").cast("int"), F.col("_m.end").cast("int")
+    cut = lambda a, n: F.substring(text, (a + 1).cast("int"), n.cast("int"))
+    last_line = lambda c: F.element_at(F.split(c, "\n"), -1)
+    early = F.greatest(start - 200, F.lit(0))
+    window = F.concat(last_line(F.left(text, early)), cut(early, end + 500 - early))
+    around = F.when(F.col("_r.scope") == "js", window).otherwise(F.concat(last_line(F.left(text, start)), F.col("_m.value"), F.substring_index(cut(end, F.length(text) - end), "\n", 1)))
+    any_of = lambda xs: "|".join(f"(?:{x})" for x in xs)
+    category = F.col("_r.category")
+    harmless = F.coalesce(*[F.when(category == c, around.rlike("(?i)" + any_of(xs))) for c, xs in p.HARMLESS.items()], F.lit(False))
+    safer = F.coalesce(*[F.when(category == c, text.rlike(any_of(xs))) for c, xs in p.SAFER.items()], F.lit(False))
+    out = hit.where(~harmless).withColumn("_rest", F.when(category == "no_input_validation", cut(end, F.length(text) - end)))
+    if any(r[0] == "no_input_validation" for r in used):
+        out = out.withColumn("_ok", F.pandas_udf(_validated, "boolean")("_rest")).where(~F.col("_ok"))
+    return out.select(*rest, "_r.category", "_r.severity", line_number(text, start).alias("line"), F.when(safer, "low").otherwise("medium").alias("confidence"), F.col("_m.value").alias("matched"))
 
 
 def file_context(path: Column) -> Column:
-    return F.coalesce(*[F.when(path.rlike(p), F.lit(c)) for c, p in CONTEXTS], F.lit("runtime"))
+    """test, build, benchmark, ctf, migration, platform, cli or runtime: the first whose folder or file name fits."""
+    parts, name = F.split(path, "[/\\\\]"), F.lower(F.element_at(F.split(path, "[/\\\\]"), -1))
+    fits = lambda dirs, x: (F.arrays_overlap(parts, F.array(*map(F.lit, dirs))) if dirs else F.lit(False)) | (name.rlike(x) if x else F.lit(False))
+    found = [F.when(fits(dirs, x) | (F.lower(path).rlike("damn[-_]vulnerable") if c == "ctf" else F.lit(False)), F.lit(c)) for c, dirs, x in p.CONTEXTS]
+    return F.coalesce(*found, F.lit("runtime"))
+
+
+def is_excluded(path: Column) -> Column:
+    return F.arrays_overlap(F.split(path, "[/\\\\]"), F.array(*map(F.lit, p.EXCLUDED_FOLDERS))) | F.element_at(F.split(path, "[/\\\\]"), -1).rlike(p.EXCLUDED_NAMES)
+
+
+def scoped(files: DataFrame, inside: str) -> DataFrame:
+    """files (target, path): where a target has over 50 of them, those whose path fits `inside`, unless these are none or 80% or more."""
+    per = files.groupBy("target").agg(F.count("*").alias("_n"), F.count_if(F.col("path").rlike(inside)).alias("_in"))
+    narrow = (F.col("_n") > 50) & (F.col("_in") > 0) & (F.col("_in") < 0.8 * F.col("_n"))
+    return files.join(per, "target").where(~narrow | F.col("path").rlike(inside)).drop("_n", "_in")
 
 
 def severity_counts(found: DataFrame, key: str) -> DataFrame:
     return found.groupBy(key).agg(*[F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "high", "medium", "low")])
+
+
+def security_scores(files: DataFrame, found: DataFrame) -> DataFrame:
+    """Per target 10 less its issues' weights, to one place; 5 for a target without a source (null path)."""
+    weight = F.coalesce(*[F.when(F.col("severity") == s, F.lit(w)) for s, w in WEIGHTS.items()], F.lit(0.25))
+    loss = found.groupBy("target").agg(F.sum(weight).alias("loss"))
+    sources = files.groupBy("target").agg(F.count("path").alias("sources"))
+    score = F.when(F.col("sources") == 0, 5.0).otherwise(F.bround(clamp(10.0 - F.coalesce("loss", F.lit(0.0))), 1))
+    return sources.join(loss, "target", "left").select("target", score.alias("security_score"))
+
+
+def hardening(files: DataFrame, read_only: bool = False, limit: int = 100) -> DataFrame:
+    """path, category and code: whole-file predicates that ask for hardening, with the lines around the first that shows it."""
+    text = F.col("content")
+    upper = F.upper(text)
+    has = lambda *xs: [text.contains(x) for x in xs]
+    env, fetch = has("os.environ", "os.getenv", "process.env"), text.contains("fetchall") | upper.contains("SELECT")
+    asked = {
+        "credential": env[0] | env[1] | env[2],
+        "path_traversal": text.rlike(HARDENING["path_traversal"]) & ~text.contains("..") & ~text.contains("resolve") & ~text.contains("is_relative_to"),
+        "sql_injection": text.rlike(HARDENING["sql_injection"]),
+        "truncation": fetch & ~upper.contains("LIMIT") & ~text.contains(str(limit)),
+        "read_only": F.lit(read_only) & text.rlike("(?i)INSERT|UPDATE|DELETE|DROP|ALTER|TRUNCATE|CREATE") & ~text.contains("read_only") & ~text.contains("readonly"),
+    }
+    lines = F.split(text, "\r?\n")
+    numbered = F.transform(lines, lambda x, i: F.struct((i + 1).alias("n"), x.alias("line")))
+    found = files.where(~F.col("path").rlike("node_modules|__pycache__")).withColumn("category", F.explode(F.array_compact(F.array(*[F.when(q, F.lit(c)) for c, q in asked.items()]))))
+    shows = lambda x: F.coalesce(*[F.when(F.col("category") == c, x.rlike("(?i)" + y)) for c, y in HARDENING.items()])
+    code = F.array_join(F.transform(F.filter(numbered, lambda x: x["n"].between(F.col("_at") - 3, F.col("_at") + 6)), lambda x: F.concat(x["n"].cast("string"), F.lit(": "), x["line"])), "\n")
+    return found.withColumn("_at", F.try_element_at(F.transform(F.filter(numbered, lambda x: shows(x["line"])), lambda x: x["n"]), F.lit(1))).select("path", "category", F.coalesce(code, F.lit("")).alias("code"))
+
+
+def reported_issues(reports: DataFrame) -> DataFrame:
+    """path, line, category, severity, message from analysers' JSON reports (column report), each place and category once; unreadable ones give none."""
+    kind = "struct<results:array<struct<check_id:string,path:string,start:struct<line:int>,extra:struct<severity:string,message:string,metadata:struct<category:string,severity_level:string>>>>>"
+    r = reports.select(F.explode(F.from_json("report", kind)["results"]).alias("r")).select("r.*")
+    category = F.coalesce(F.nullif("extra.metadata.category", F.lit("")), F.replace(F.regexp_replace(F.substring_index("check_id", ".", -1), "^mcp-", ""), F.lit("-"), F.lit("_")))
+    level = F.lower(F.coalesce(F.nullif("extra.metadata.severity_level", F.lit("")), F.when(F.col("extra.severity") == "ERROR", "high").when(F.col("extra.severity") == "INFO", "low").otherwise("medium")))
+    shaped = r.select("path", F.col("start.line").alias("line"), category.alias("category"), F.when(level.isin(*WEIGHTS), level).otherwise("medium").alias("severity"), F.col("extra.message").alias("message")).where("category <> ''")
+    return shaped.groupBy("path", "line", "category").agg(F.min_by(F.struct("severity", "message"), F.struct("severity", "message")).alias("x")).select("path", "line", "category", "x.*")
+
+
+def _called(node: ast.Call) -> str:
+    """The dotted name of what is called; a call inside the chain stands for its last name."""
+    names, at = [], node.func
+    while isinstance(at, ast.Attribute):
+        names.append(at.attr)
+        at = at.value
+    if isinstance(at, ast.Name):
+        names.append(at.id)
+    elif names and isinstance(at, ast.Call):
+        inner = _called(at).rsplit(".", 1)[-1]
+        names += [inner] if inner else []
+    return ".".join(reversed(names))
+
+
+def _roles(tree: ast.AST) -> tuple[list[str], list[str], list[str]]:
+    """Labels of sources, sinks and destructive calls anywhere below a node, each once, in the order met."""
+    found: tuple[dict, dict, dict] = ({}, {}, {})
+    environ = lambda x: isinstance(x, ast.Attribute) and x.attr == "environ" and isinstance(x.value, ast.Name) and x.value.id == "os"
+
+    def visit(node: ast.AST) -> None:
+        if isinstance(node, ast.Call):
+            name = _called(node)
+            for into, calls in zip(found, (p.CALL_SOURCES, p.CALL_SINKS, p.CALL_DESTRUCTIVE)):
+                key = next((k for k in calls if name == k or name.endswith("." + k)), None)
+                if key:
+                    into[calls[key] or f"{key}()"] = None
+        elif isinstance(node, ast.Subscript) and environ(node.value):
+            found[0]["os.environ[]"] = None
+        elif environ(node):
+            found[0]["os.environ"] = None
+        for child in ast.iter_child_nodes(node):
+            visit(child)
+
+    visit(tree)
+    return tuple(map(list, found))  # type: ignore[return-value]
+
+
+def function_flows(files: DataFrame) -> DataFrame:
+    """path, function, flow, sources, targets: Python functions (and the module's own statements) that read data and send or destroy it.
+
+    Sources that can't be parsed, null ones among them, have none. Syntax trees need Python; batches pass by Arrow.
+    """
+    schema = "path string, function string, flow string, sources array<string>, targets array<string>"
+
+    def of(text: str | None):
+        try:
+            tree = ast.parse(text or "")
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return
+        parts = [(n.name, n) for n in ast.walk(tree) if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef)]
+        loose = [n for n in tree.body if not isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef)]
+        for name, node in [*parts, *([("<module>", ast.Module(body=loose, type_ignores=[]))] if loose else [])]:
+            sources, sinks, destructive = _roles(node)
+            if sources and sinks:
+                yield name, "exfiltration", sources, sinks
+            other = [s for s in sources if "subprocess" not in s]
+            if other and destructive:
+                yield name, "destructive", sources, destructive
+
+    def batches(frames):
+        for frame in frames:
+            rows = [(path, *flow) for path, text in zip(frame["path"], frame["content"]) for flow in of(text)]
+            yield pd.DataFrame(rows, columns=["path", "function", "flow", "sources", "targets"])
+
+    return files.select("path", "content").mapInPandas(batches, schema)

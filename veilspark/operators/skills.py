@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Hits as name, severity and pattern; tool declarations by file extension; verbs for descriptions.
-HITS = (
-    ("remote_shell", "malicious", r"(?i)(?:curl|wget)[^\n|]*\|\s*(?:ba|z)?sh\b"),
-    ("reverse_shell", "malicious", r"(?i)/dev/tcp/|\bnc\s+-e|bash\s+-i"),
-    ("base64_exec", "malicious", r"(?i)base64\s+(?:-d|--decode)[^\n]*\|\s*(?:ba)?sh"),
-    ("credential_theft", "malicious", r"(?i)(?:cat|read|cp)\s+[^\n]*(?:\.ssh/|\.aws/credentials|/etc/shadow)"),
-    ("instruction_override", "malicious", r"(?i)ignore\s+(?:all\s+)?(?:previous|prior)\s+instructions"),
-    ("hidden_text", "suspicious", r"[\u200b\u200c\u200d\u2060\ufeff]"),
-    ("broad_permissions", "suspicious", r"(?i)chmod\s+777|--dangerously|sudo\s"),
-    ("download_binary", "suspicious", r"(?i)https?://[^\s]+\.(?:exe|dmg|sh|ps1)\b"),
-)
+from veilspark.functions import patterns as p
+from veilspark.functions.scoring import clamp, step
+from veilspark.operators import agent
+
+# Tool declarations by file extension.
 TOOLS = {
     "py": r"@(?:\w+\.)?tool(?:\([^)]*\))?\s+(?:async\s+)?def\s+(\w+)",
     "ts": r"\.(?:tool|registerTool)\(\s*[\"'`]([\w-]+)[\"'`]",
@@ -26,22 +23,76 @@ TOOLS = {
     "rb": r"tool_name\s+[\"']([\w-]+)[\"']",
 }
 
+MANIFESTS = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "requirements.txt", "poetry.lock", "Pipfile.lock", "uv.lock", "pyproject.toml", "setup.py", "setup.cfg", "package.json")
+
+
+def _without_taught_fences(text: pd.Series) -> pd.Series:
+    """The text without fenced blocks that teaching words in the three lines before introduce; which fence opens depends on all before."""
+    import re
+
+    taught = re.compile(p.TEACHING)
+
+    def strip(t: str) -> str:
+        lines, out, i = t.split("\n"), [], 0
+        fence = lambda k: lines[k].strip().startswith("```")
+        while i < len(lines):
+            if fence(i) and taught.search("\n".join(lines[max(0, i - 3) : i])):
+                i = next((k for k in range(i + 1, len(lines)) if fence(k)), len(lines))
+                out.append(" ")
+            else:
+                out.append(lines[i])
+            i += 1
+        return "\n".join(out)
+
+    return text.map(strip, na_action="ignore")
+
 
 def without_documentation(text: Column) -> Column:
-    """The text without fenced blocks that an example line introduces, inline code, and checklist lines."""
-    out = F.regexp_replace(text, r"(?im)^[^\n]*(?:example|for instance|such as|detects?)[^\n]*\n+```[\s\S]*?```", "")
-    return F.regexp_replace(F.regexp_replace(out, r"`[^`\n]+`", ""), r"(?m)^\s*[-*]\s*\[[ xX]\][^\n]*$", "")
+    """The text without what describes attacks: taught fences, inline code, teaching bullets, checklist sections."""
+    out = F.when(text.contains("```"), F.pandas_udf(_without_taught_fences, "string")(text)).otherwise(text)
+    for pattern in (r"`[^`\n]{1,80}`", p.TEACHING_LINE, p.CHECKLIST):
+        out = F.regexp_replace(out, pattern, " ")
+    return out
+
+
+def shell_without_need(content: Column) -> Column:
+    """Whether a skill asks for interpreters but speaks of no shell, script or code."""
+    bins = F.lower(F.regexp_extract(content, r"requires:\s*\n\s*bins:\s*\[([^\]]*)\]", 1))
+    asked = F.transform(F.split(bins, ","), lambda b: F.regexp_replace(F.trim(b), "^[\"']|[\"']$", ""))
+    shells = F.array(*map(F.lit, ("bash", "sh", "zsh", "python", "python3", "node", "ruby", "perl")))
+    return F.arrays_overlap(asked, shells) & ~F.lower(content).rlike("shell|terminal|command|execute|script|code")
+
+
+def _in_install(content: Column, pattern: str) -> Column:
+    """Whether the last heading before the first match speaks of installing; a match in the stripped text stands in the whole one too."""
+    before = F.left(content, F.call_function("instr", content, F.regexp_substr(content, F.lit(pattern))) - 1)
+    heading = F.lower(F.try_element_at(F.regexp_extract_all(before, F.lit(r"(?m)^#{1,3}\s+(.+)$"), F.lit(1)), F.lit(-1)))
+    return F.coalesce(heading.rlike("|".join(p.INSTALL_WORDS)), F.lit(False))
 
 
 def scanned(skills: DataFrame, ignored: tuple[str, ...] = ()) -> DataFrame:
-    """skill_name, hits and verdict of each skill (skill_name, content); null content is unknown."""
-    text = without_documentation(F.col("content"))
-    hit = lambda n, s, p: F.when(text.rlike(p), F.struct(F.lit(n).alias("name"), F.lit(s).alias("severity")))
-    hits = F.array_compact(F.array(*[hit(n, s, p) for n, s, p in HITS if n not in ignored]))
-    rows = skills.select("skill_name", "content", F.explode(F.array(hits)).alias("hits"))
-    has = lambda s: F.exists("hits", lambda h: h["severity"] == s)
-    verdict = F.when(F.col("content").isNull(), "unknown").when(has("malicious"), "malicious").when(has("suspicious"), "suspicious").otherwise("safe")
-    return rows.select("skill_name", F.transform("hits", lambda h: h["name"]).alias("hits"), verdict.alias("verdict"))
+    """skill_name, hits (names in order) and verdict of each skill (skill_name, content).
+
+    Null content is unknown; a name known as bad is malicious without a look at its content. Empty content is safe.
+    """
+    raw, name = F.col("content"), F.col("skill_name").cast("string")
+    rows = skills.select(name.alias("skill_name"), raw, F.explode(F.array(without_documentation(raw))).alias("_plain"))  # evaluated once
+
+    def hit(kind: str, pattern: str) -> Column:
+        held = F.col("_plain" if kind in p.IN_CONTEXT else "content").rlike("(?i)" + pattern)
+        return held & ~_in_install(raw, "(?i)" + pattern) if kind in p.IN_INSTALL else held
+
+    near = [F.levenshtein(F.col("skill_name"), F.lit(x), 2).between(1, 2) for x in p.POPULAR_SLUGS]
+    flows = agent.flows_of(raw)
+    tests = [(n, hit(n, x)) for n, _, x in p.SKILL_HITS]
+    tests += [("typosquat", reduce(Column.__or__, near)), ("excessive_permissions", shell_without_need(raw))]
+    tests += [(f"toxic_flow_{k}", F.array_contains(flows, k)) for k in ("exfiltration", "destructive")]
+    hits = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in tests if n not in ignored]))
+    known = F.col("skill_name").isin(*p.BAD_SLUGS)
+    found = rows.select("skill_name", "content", F.explode(F.array(F.when(known, F.array(F.lit("malicious_slug"))).when(raw.isNull(), F.array().cast("array<string>")).otherwise(hits))).alias("hits"))
+    malicious = F.array(*[F.lit(n) for n in ("malicious_slug", *(n for n, s, _ in p.SKILL_HITS if s == "malicious"))])
+    verdict = F.when(F.arrays_overlap("hits", malicious), "malicious").when(F.col("content").isNull(), "unknown").when(F.size("hits") > 0, "suspicious").otherwise("safe")
+    return found.select("skill_name", "hits", verdict.alias("verdict"))
 
 
 def extracted_tools(files: DataFrame) -> DataFrame:
@@ -51,24 +102,57 @@ def extracted_tools(files: DataFrame) -> DataFrame:
     return files.select("path", F.explode(F.array_distinct(found)).alias("tool_name"))
 
 
-def agent_score(hits: DataFrame) -> DataFrame:
-    """Per skill 10 less 4 for each malicious and 1.5 for each suspicious hit, at least 0."""
-    weight = F.create_map(*[F.lit(x) for n, s, _ in HITS for x in (n, 4.0 if s == "malicious" else 1.5)])
-    return hits.select("skill_name", "verdict", F.greatest(F.lit(0.0), 10.0 - F.aggregate("hits", F.lit(0.0), lambda a, h: a + weight[h])).alias("score"))
+def agent_score(findings: DataFrame, key: str = "agent") -> DataFrame:
+    """Per agent 10 less 3, 2, 1 or 0.25 for each finding (severity, or verdict: malicious, tampered, suspicious), 0 to 10."""
+    s = F.col("severity")
+    loss = F.when(s.isin("critical", "malicious"), 3.0).when(s.isin("high", "tampered"), 2.0).when(s.isin("medium", "suspicious"), 1.0).when(s == "low", 0.25).otherwise(0.0)
+    return findings.groupBy(key).agg(F.bround(F.greatest(F.lit(0.0), 10.0 - F.sum(loss)), 1).alias("score"), F.count_if(s.isin("critical", "malicious")).alias("critical"), F.count_if(s.isin("high", "tampered")).alias("high"))
 
 
 def architecture(files: DataFrame) -> DataFrame:
-    """Per target (target, path, content) tests, error handling, types, readme and their sum, 0 to 10."""
-    n, share = F.count("*"), lambda c: F.count_if(c) / F.count("*")
-    code = files.groupBy("target").agg(
-        n.alias("files"), F.count_if(F.col("path").rlike(r"(?i)(?:^|/)(?:tests?/|test_)|\.test\.")).alias("tests"),
-        share(F.col("content").rlike(r"\btry\b|\bcatch\b|\bexcept\b|Result<")).alias("errors"),
-        share(F.col("content").rlike(r"->\s*\w|:\s*(?:str|int|string|number|boolean)\b")).alias("types"),
-        F.max(F.when(F.col("path").rlike(r"(?i)(?:^|/)readme"), F.length("content"))).alias("readme"),
+    """Per target (target, path, content) the parts of the architecture score and their sum, 0 to 10.
+
+    Tests by number of files; error handling and type hints by share of sources; readme by length; dependencies by
+    number of manifests; environment by a template file or the readme's words. Paths are relative to the target.
+    """
+    path, text = F.col("path"), F.col("content")
+    name, code = F.element_at(F.split(path, "/"), -1), path.rlike(r"\.(?:py|ts|js)$")
+    py, ts = path.endswith(".py"), path.endswith(".ts")
+    handled = text.contains("try:") | text.contains("try {") | text.contains("catch")
+    hinted = text.rlike(r"def \w+\([\s\S]*?\)\s*->") | text.rlike(r":\s*(?:str|int|float|bool|list|dict|tuple|Path|Optional)\b")
+    readme, manifest = path.rlike(r"^(?i:readme\.md|readme\.rst|readme)$"), path.isin(*MANIFESTS)
+    in_tests = path.rlike(r"(?:^|/)(?:tests?|__tests__|spec)/.*\.(?:py|ts|js|go)$") & ~name.isin("__init__.py", "conftest.py")
+    per = files.groupBy("target").agg(
+        F.count_if(name.rlike(r"^test_.*\.py$|_test\.py$|\.(?:test|spec)\.(?:ts|js)$")).alias("named"), F.count_if(in_tests).alias("placed"),
+        F.count_if(code).alias("n"), F.count_if(code & handled).alias("handled"), F.count_if(py).alias("py"), F.count_if(ts).alias("ts"), F.count_if(py & hinted).alias("hinted"),
+        F.max(F.when(readme, F.length(text))).alias("readme"), F.count_if(manifest).alias("manifests"),
+        F.count_if(path.isin(".env.example", ".env.template", ".env.sample", "env.example")).alias("env"), F.count_if(readme & text.rlike(r"(?i)(?:environment|env|config).{0,20}(?:variable|setting|key)")).alias("told"),
     )
-    step = lambda c, steps: F.coalesce(*[F.when(c >= a, F.lit(b)) for a, b in steps], F.lit(0.0))
-    score = step(F.col("tests"), [(5, 3.0), (1, 1.5)]) + step(F.col("errors"), [(0.5, 3.0), (0.2, 1.5)]) + step(F.col("types"), [(0.5, 2.0), (0.2, 1.0)]) + step(F.coalesce("readme", F.lit(0)), [(1000, 2.0), (200, 1.0)])
-    return code.select("target", "tests", score.alias("architecture_score"))
+    tests = F.when(F.col("named") > 0, F.col("named")).otherwise(F.col("placed"))
+    share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
+    errors, types = share("handled", "n"), share("hinted", "py")
+    parts = {
+        "tests": step(tests, [(5, 3.0), (2, 2.0), (1, 1.0)], 0.0),
+        "error_handling": F.when(errors == 0, 0.0).otherwise(step(errors, [(0.6, 2.5), (0.25, 1.5)], 1.0)),
+        "readme": F.when(F.col("readme").isNull(), 0.0).otherwise(step(F.col("readme"), [(1000, 1.5), (200, 1.0)], 0.5)),
+        "type_hints": F.when((F.col("ts") > 0) & (F.col("py") == 0), 1.5).when(types == 0, 0.0).otherwise(step(types, [(0.7, 1.5), (0.3, 1.0)], 0.5)),
+        "dependencies": step(F.col("manifests"), [(2, 1.0), (1, 0.5)], 0.0),
+        "environment": F.when(F.col("env") > 0, 0.5).when(F.col("told") > 0, 0.3).otherwise(0.0),
+    }
+    scored = per.select("target", *[c.alias(k) for k, c in parts.items()])
+    return scored.withColumn("architecture_score", F.bround(clamp(reduce(Column.__add__, [F.col(k) for k in parts])), 1))
+
+
+def readme_tools(readmes: DataFrame) -> DataFrame:
+    """target, name, description of tools that a readme (target, content) lists in its tools section, as bullets or table rows; the first of a name holds."""
+    section = F.regexp_extract("content", r"(?ims)^#{1,3}\s+(?:Tools|Commands|Available Tools|API|Functions)[^\n]*\n(.*?)(?=\n#{1,3}\s|\z)", 1)
+    bullet, row = r"(?m)^\s*[-*]?\s*(?:`([a-zA-Z_][\w-]*)`|\*\*([a-zA-Z_][\w-]*)\*\*)\s*[-:–—]\s*(.+)", r"\|\s*`?([a-zA-Z_][\w-]*)`?\s*\|\s*([^|]+)\|"
+    got = lambda x, k: F.regexp_extract_all("_s", F.lit(x), F.lit(k))
+    bullets = F.transform(F.arrays_zip(got(bullet, 1).alias("a"), got(bullet, 2).alias("b"), got(bullet, 3).alias("c")), lambda x: F.struct(F.concat(x["a"], x["b"]).alias("name"), F.trim(x["c"]).alias("description")))
+    rows = F.transform(F.arrays_zip(got(row, 1).alias("a"), got(row, 2).alias("c")), lambda x: F.struct(x["a"].alias("name"), F.trim(x["c"]).alias("description")))
+    heads = F.filter(rows, lambda x: ~F.lower(x["name"]).isin("tool", "name", "command", "function"))
+    listed = readmes.select("target", section.alias("_s")).select("target", F.posexplode(F.concat(bullets, heads)).alias("_at", "_t")).where(F.length("_t.name") > 1)
+    return listed.groupBy("target", F.col("_t.name").alias("name")).agg(F.min_by("_t.description", "_at").alias("description"))
 
 
 def rewritten(tools: DataFrame) -> DataFrame:
@@ -78,10 +162,3 @@ def rewritten(tools: DataFrame) -> DataFrame:
     lead = F.when(F.lower("description").startswith(verb), F.col("description")).otherwise(F.concat(F.initcap(verb), F.lit(" "), rest, F.lit(". "), F.col("description")))
     more = F.when(F.lower("description").rlike("use (?:this )?when"), F.lit("")).otherwise(F.concat(F.lit(" Use when you need to "), verb, F.lit(" "), rest, F.lit(".")))
     return tools.select("name", "description", F.concat(lead, more).alias("rewritten"))
-
-
-def accepted_rewrites(pairs: DataFrame) -> DataFrame:
-    """pairs (description, rewritten) with the first reason against a rewrite, null if there is none."""
-    d, r = F.col("description"), F.col("rewritten")
-    reason = F.when(r.isNull() | (F.trim(r) == ""), "empty").when(r == d, "unchanged").when(F.length(r) < 20, "too_short").when(F.length(r) > 500, "too_long").when(F.length(r) < F.length(d) * 0.5, "lost_content").when(r.rlike(r"(?i)as an ai|i cannot|here is"), "chatter").when(r.rlike(r"```|<[a-z]+>"), "markup")
-    return pairs.withColumn("rejected", reason)

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilspark.functions import detect, scoring
-from veilspark.operators import agent, audit, dataset, policy, scan, skills, tools
+from veilspark.functions import detect, patterns, scoring
+from veilspark.operators import agent, audit, dataset, gates, policy, rating, rpc, scan, skills, tools
 from veilspark.streaming import jobs
 
 RULES = (
@@ -196,7 +196,7 @@ def composites_and_constraints(spark, d):
     return s.select("l_orderkey", "overall", "hard_constraint", scoring.constrained_grade(F.col("overall"), F.col("hard_constraint")).alias("grade"))
 
 
-@query("select c_custkey, round_even(least(10.0, greatest(0.0, p * 0.4 + m * 0.35 + s * 0.25)), 2) as score from (select c_custkey, case when c_acctbal >= 9000 then 10.0 when c_acctbal >= 5000 then 7.0 when c_acctbal >= 0 then 4.0 else 1.0 end as p, case when c_nationkey <= 5 then 10.0 when c_nationkey <= 15 then 6.0 else 2.0 end as m, case when c_custkey % 1000 >= 900 then 9.0 when c_custkey % 1000 >= 100 then 5.0 else 2.0 end as s from customer)")
+@query("select c_custkey, cast(round_even(least(10.0, greatest(0.0, p * 0.4 + m * 0.35 + s * 0.25)), 2) as double) as score from (select c_custkey, case when c_acctbal >= 9000 then 10.0 when c_acctbal >= 5000 then 7.0 when c_acctbal >= 0 then 4.0 else 1.0 end as p, case when c_nationkey <= 5 then 10.0 when c_nationkey <= 15 then 6.0 else 2.0 end as m, case when c_custkey % 1000 >= 900 then 9.0 when c_custkey % 1000 >= 100 then 5.0 else 2.0 end as s from customer)")
 def metadata_score(spark, d):
     p = scoring.step(F.col("c_acctbal"), [(9000, 10.0), (5000, 7.0), (0, 4.0)], 1.0)
     m = scoring.step(-F.col("c_nationkey"), [(-5, 10.0), (-15, 6.0)], 2.0)
@@ -253,19 +253,29 @@ def dlp_edge_profile(spark, d):
     return v.select("doc_id", F.when(F.length("v") <= 12, "****").otherwise(F.concat(F.left("v", F.lit(4)), F.lit("****"), F.right("v", F.lit(4)))).alias("preview"))
 
 
-@query("select page_id, len(regexp_extract_all(replace(html, '&quot;', '\"'), '(?i)(?:password|secret|token|api_?key)\\s*=\\s*[\"''][^\"''\\s]{8,}[\"'']')) as n from pages where len(regexp_extract_all(replace(html, '&quot;', '\"'), '(?i)(?:password|secret|token|api_?key)\\s*=\\s*[\"''][^\"''\\s]{8,}[\"'']')) > 0")
+# RE2 has no lookahead: a line holds a credential if it assigns one and names no placeholder after that
+CREDENTIAL = "regexp_matches({0}, '(?i)^[^#]*(?:api_key|token|secret|password)\\s*=\\s*[\"''][^\"'']{{8,}}') and not regexp_matches({0}, '(?i)(?:api_key|token|secret|password)\\s*=\\s*[\"''].*(?:example|placeholder|your_|changeme|xxxxxx|<[A-Z_]+>)')"
+
+
+@query(f"select page_id, count(*) as n from (select page_id, unnest(string_split(regexp_replace(replace(html, '&quot;', '\"'), '<[^>]*>', ' ', 'g'), chr(10))) as s from pages) where {CREDENTIAL.format('s')} group by 1")
 def hardcoded_credential(spark, d):
-    pages = t(spark, d, "pages").select("page_id", F.replace("html", F.lit("&quot;"), F.lit('"')).alias("content"))
-    return scan.issues(pages).where("category = 'hardcoded_credential'").groupBy("page_id").agg(F.count("*").alias("n"))
+    pages = t(spark, d, "pages").select("page_id", F.regexp_replace(F.replace("html", F.lit("&quot;"), F.lit('"')), "<[^>]*>", " ").alias("content"))
+    return scan.issues(pages, rules=[r for r in scan.RULES if r[0] == "hardcoded_credential"]).groupBy("page_id").agg(F.count("*").alias("n"))
 
 
-@query("with l as (select doc_id, unnest(string_split(text, chr(10))) as s, generate_subscripts(string_split(text, chr(10)), 1) as line from documents) select doc_id, cast(line as int) as line, 'hardcoded_credential' as category from l where regexp_matches(s, '(?i)(?:password|secret|token|api_?key)\\s*=\\s*[\"''][^\"''\\s]{8,}[\"'']')")
+@query(f"with l as (select doc_id, unnest(string_split(text, chr(10))) as s, generate_subscripts(string_split(text, chr(10)), 1) as line from documents) select doc_id, cast(line as int) as line, 'hardcoded_credential' as category from l where {CREDENTIAL.format('s')}")
 def scan_issue_lines(spark, d):
     docs = t(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
     return scan.issues(docs).where("category = 'hardcoded_credential'").select("doc_id", "line", "category").distinct()
 
 
-TOK = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: length(w) > 2))"
+@query()
+def scan_all_issues(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", F.col("text").alias("content"), F.when(F.col("doc_id") % 2 == 0, "py").otherwise("ts").alias("ext"))
+    return scan.issues(docs).groupBy("category", "severity", "confidence").agg(F.count("*").alias("n"))
+
+
+TOK = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[ \\t\\n\\x0b\\f\\r]+'), lambda w: length(w) > 2))"
 
 
 @query(f"with w as (select unnest({TOK.format('text')}) as word from documents), n as (select count(*) as n from documents) select word, count(*) as df from w group by 1 having count(*) > greatest(1, (select n from n) // 2)")
@@ -278,7 +288,10 @@ def word_overlap(spark, d):
     return tools.overlaps(t(spark, d, "benchmark"), "item_id", "text", 0.12)
 
 
-@query("with w as (select doc_id, text, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') as w from documents), s as (select doc_id, text, len(list_distinct(w)) / greatest(len(w), 1) as s from w) select doc_id, case when s >= 0.5 then 1.0 when s >= 0.3 then 0.7 else 0.3 end as density, case when length(text) < 20 then 0.0 when length(text) < 50 then 0.5 when length(text) < 80 then 0.8 when length(text) <= 500 then 1.0 else 0.7 end as length_step, regexp_matches(lower(text), 'error|fail|invalid|not found|raises|throws') as has_error_guidance from s")
+FILL = "[" + ", ".join(f"'{w}'" for w in tools.FILLERS) + "]"
+
+
+@query(f"with w as (select doc_id, text, regexp_extract_all(lower(text), '[a-zA-Z_][a-zA-Z0-9_]*') as w from documents), s as (select *, list_filter(list_distinct(w), lambda x: length(x) > 1) as u from w), c as (select *, least(len(list_filter(u, lambda x: not list_contains({FILL}, x))) / len(u), len(list_distinct(w)) / len(w)) as s from s) select doc_id, case when len(w) < 3 then 1e0 when len(u) = 0 then 0.3e0 when s >= 0.4 then 1e0 when s >= 0.25 then 0.7e0 else 0.3e0 end as density, case when length(text) < 20 then 0.2e0 when length(text) < 50 then 0.5e0 when length(text) < 80 then 0.7e0 when length(text) <= 500 then 1e0 else 0.7e0 end as length_step, regexp_matches(text, '(?i)fails?\\s+(?:with|if|when|on)|error\\s+(?:if|when|code|message)|(?:if|when)\\s+.*(?:fail|invalid|error|not found)|(?:raise|throw)s?\\s+\\w*(?:Error|Exception)|common\\s+issue|troubleshoot') as has_error_guidance from c")
 def description_measures(spark, d):
     text = F.col("text")
     return t(spark, d, "documents").select("doc_id", tools.density(text).alias("density"), tools.length_step(text).alias("length_step"), tools.flags(text)["has_error_guidance"].alias("has_error_guidance"))
@@ -314,29 +327,30 @@ def typosquat(spark, d):
     return agent.look_alikes(names, spark.createDataFrame([(x,) for x in ("view", "views", "clicks", "error")], "target string")).select("skill_name", "target", F.col("distance").cast("long").alias("distance"))
 
 
-def _has(words, column="lower(text)"):
-    return "(" + " or ".join(f"contains({column}, '{w}')" for w in words) + ")"
+def _any(phrases):
+    return "(" + " or ".join(f"regexp_matches(lower(text), '{x}')" for x, _ in phrases) + ")"
 
 
-@query(f"select doc_id, {_has(agent.SOURCES)} and {_has(agent.SINKS)} as exfiltration, {_has(agent.SOURCES)} and {_has(agent.DESTRUCTIVE)} as destruction from documents")
+@query(f"select doc_id, {_any(patterns.TEXT_SOURCES)} and {_any(patterns.TEXT_SINKS)} as exfiltration, {_any(patterns.TEXT_SOURCES)} and {_any(patterns.TEXT_DESTRUCTIVE)} as destruction from documents")
 def keyword_flows(spark, d):
     f = agent.toxic_flows(t(spark, d, "documents"), "text")
-    return f.select("doc_id", F.array_contains("flows", "data_exfiltration").alias("exfiltration"), F.array_contains("flows", "destructive_access").alias("destruction"))
+    return f.select("doc_id", F.array_contains("flows", "exfiltration").alias("exfiltration"), F.array_contains("flows", "destructive").alias("destruction"))
 
 
-@query("select doc_id, case when contains(lower(text), 'affero') then 'AGPL' when contains(lower(text), 'server side public license') then 'SSPL' when contains(lower(text), 'gnu general public') then 'GPL' when contains(lower(text), 'gnu lesser') then 'LGPL' when contains(lower(text), 'apache license') then 'Apache-2.0' when contains(lower(text), 'mozilla public') then 'MPL-2.0' when contains(lower(text), 'mit license') then 'MIT' when contains(lower(text), 'bsd') then 'BSD' when contains(lower(text), 'license') then 'other' end as license from documents")
+@query("select doc_id, case when contains(l, 'mit license') or contains(l, 'permission is hereby granted, free of charge') then 'MIT' when contains(l, 'apache license') and contains(l, 'version 2.0') then 'Apache-2.0' when contains(l, 'bsd') and contains(l, 'redistribution') then 'BSD' when contains(l, 'gpl') or contains(l, 'gnu general public license') then case when contains(l, 'lesser') or contains(l, 'lgpl') then 'LGPL' when contains(l, 'affero') or contains(l, 'agpl') then 'AGPL' else 'GPL' end when contains(l, 'isc license') then 'ISC' when contains(l, 'unlicense') or contains(l, 'public domain') then 'Unlicense' else 'Unknown' end as license from (select doc_id, lower(text) as l from documents)")
 def license_classify(spark, d):
     return t(spark, d, "documents").select("doc_id", agent.license_of(F.col("text")).alias("license"))
 
 
-@query("select event_type, case when regexp_matches(lower(event_type), 'delete|drop|destroy|remove|purge|truncate|kill') then 'deny' when regexp_matches(lower(event_type), 'write|create|update|edit|insert|send|post|purchase|signup') then 'escalate' when regexp_matches(lower(event_type), 'read|get|list|search|view|find|query|fetch|click') then 'allow' else 'escalate' end as action, count(*) as n from events group by 1, 2")
+@query("select n as tool_name, case when regexp_matches(n, '(?:^|[-_])(delete|remove|drop|destroy|purge|clear|reset|revoke|terminate|kill|truncate)(?:[-_]|$)') then 'deny' when c and regexp_matches(n, '(?:^|[-_])(create|update|write|set|put|insert|add|post|send|push|upload|save|modify|edit|patch)(?:[-_]|$)') then 'escalate' when q < 3 then 'escalate' else 'allow' end as action from (select p_partkey, (['get', 'drop', 'update', 'run'])[p_partkey % 4 + 1] || '_' || p_partkey as n, p_partkey % 3 = 0 as c, p_size % 10 as q from part)")
 def tool_risk_class(spark, d):
-    return t(spark, d, "events").groupBy("event_type", agent.risk_class(F.col("event_type")).alias("action")).agg(F.count("*").alias("n"))
+    name = F.concat(F.element_at(F.array(*map(F.lit, ("get", "drop", "update", "run"))), (F.col("p_partkey") % 4 + 1).cast("int")), F.lit("_"), F.col("p_partkey").cast("string"))
+    return t(spark, d, "part").select(name.alias("tool_name"), agent.risk_class(name, F.col("p_partkey") % 3 == 0, F.col("p_size") % 10)[1].alias("action"))
 
 
-@query("select case when regexp_matches(url, '^https?://[^/]*(?:test)') then 'test' else 'runtime' end as kind, count(*) as n, count_if(regexp_matches(html, 'https?://[^\\s/:@\"'']+:[^\\s/@\"'']+@')) as basic_auth from pages group by 1")
+@query("select case when regexp_matches(url, '^https?://[^/]*(?:test)') then 'test' else 'runtime' end as kind, count(*) as n, count_if(regexp_matches(html, '(?im)^[^#\n]*[\"'']https?://[^/\\s\"'']*:[^/\\s@\"'']+@[^/\\s\"'']+')) as basic_auth from pages group by 1")
 def page_checks(spark, d):
-    auth = next(p for c, _, p in scan.RULES if c == "url_basic_auth")
+    auth = next(x for c, _, x, _ in scan.RULES if c == "basic_auth_in_url")
     return t(spark, d, "pages").groupBy(F.when(F.col("url").rlike("^https?://[^/]*(?:test)"), "test").otherwise("runtime").alias("kind")).agg(F.count("*").alias("n"), F.count_if(F.col("html").rlike(auth)).alias("basic_auth"))
 
 
@@ -345,9 +359,13 @@ def prompt_injection(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", (F.size(detect.findings(F.col("text"), ["ignore_instructions"])) > 0).alias("injected"))
 
 
-@query("select 'c' as agent, '$.gateway.bind' as path, 'critical' as severity, 'gateway listens on all addresses' as message union all select 'c', '$.tools.profile', 'medium', 'tools have the full profile' union all select 'x', '$', 'medium', 'configuration can''t be read'")
+@query("select * from (values ('c', 'gateway.bind', 'critical', true), ('c', 'gateway.no_auth', 'critical', true), ('c', 'sandbox.not_configured', 'high', true), ('c', 'tools.full_no_deny', 'high', true), ('c', 'channels.open_dm', 'high', true), ('x', 'config.unreadable', 'medium', false), ('ok', 'logging.redact_off', 'medium', true)) c(agent, check_id, severity, fixable)")
 def config_checks(spark, d):
-    return agent.config_findings(spark.createDataFrame([("c", '{"gateway": {"bind": "0.0.0.0"}, "tools": {"profile": "full"}}'), ("x", "{nope"), ("ok", "{}")], "agent string, config string"))
+    rows = [
+        ("c", '{"gateway": {"bind": "0.0.0.0"}, "tools": {"profile": "full"}, "channels": {"a": {"dmPolicy": "pairing"}, "b": {"dmPolicy": "open", "allowFrom": ["*"]}}}'), ("x", "{nope"),
+        ("ok", '{"gateway": {"auth": {"mode": "token", "token": "0123456789abcdef0123"}}, "agents": {"defaults": {"sandbox": {"mode": "all"}}}, "logging": {"redactSensitive": false}}'),
+    ]
+    return agent.config_findings(spark.createDataFrame(rows, "agent string, config string"))
 
 
 @query()
@@ -367,10 +385,19 @@ def hourly_sessions(spark, d):
     return rows.groupBy(F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("hour"), "session_id").agg(F.count("*").alias("total_calls"), F.count_if(F.col("decision") == "deny").alias("deny_count"))
 
 
-@query("select page_id as skill_name, regexp_matches(html, '(?i)chmod\\s+777|--dangerously|sudo\\s') as broad, case when regexp_matches(html, '(?i)https?://[^\\s]+\\.(?:exe|dmg|sh|ps1)\\b') or regexp_matches(html, '(?i)chmod\\s+777|--dangerously|sudo\\s') then 'suspicious' else 'safe' end as verdict from pages")
-def skill_verdicts(spark, d):
+WHOLE = ("known_c2_ip", "malicious_domain", "password_protected_archive", "pastebin_exfil")
+HITS = {n: x for n, _, x in patterns.SKILL_HITS}
+
+
+@query("select page_id as skill_name, " + ", ".join(f"regexp_matches(html, '(?i){HITS[n]}') as {n}" for n in WHOLE) + " from pages")
+def skill_hits(spark, d):
     rows = t(spark, d, "pages").select(F.col("page_id").alias("skill_name"), F.col("html").alias("content"))
-    return skills.scanned(rows).select("skill_name", F.array_contains("hits", "broad_permissions").alias("broad"), "verdict")
+    return skills.scanned(rows).select(F.col("skill_name").cast("long").alias("skill_name"), *[F.array_contains("hits", n).alias(n) for n in WHOLE])
+
+
+@query()
+def skill_verdicts(spark, d):
+    return skills.scanned(t(spark, d, "documents").select(F.col("doc_id").alias("skill_name"), F.col("text").alias("content"))).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
 @query("select * from (values ('a.py', 'read_it'), ('a.py', 'write_it'), ('b.ts', 'fetch-url')) x(path, tool_name)")
@@ -382,7 +409,68 @@ def tool_extraction(spark, d):
 @query()
 def template_rewrites(spark, d):
     x = t(spark, d, "part").select(F.concat_ws("_", F.lit("get"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_")))).alias("name"), F.col("p_name").alias("description"))
-    return skills.accepted_rewrites(skills.rewritten(x))
+    return gates.gated_rewrites(skills.rewritten(x).withColumnRenamed("name", "tool_name")).select("tool_name", "description", "rejected", "score")
+
+
+@query("select 'p' || p_partkey as tool_name, case when p_partkey % 3 = 0 then 'empty suggestion' when p_partkey % 5 = 0 then 'code fix too short' end as rejected from part")
+def fix_gate(spark, d):
+    k = F.col("p_partkey")
+    x = t(spark, d, "part").select(F.concat(F.lit("p"), k.cast("string")).alias("tool_name"), F.lit("truncation").alias("category"), F.lit("").alias("original"), F.when(k % 3 == 0, " ").otherwise("Add a limit to the query").alias("suggestion"), F.when(k % 5 == 0, "x=1").otherwise("rows = cursor.fetchmany(100)").alias("code"))
+    return gates.gated_fixes(x).select("tool_name", "rejected")
+
+
+@query()
+def tool_scores(spark, d):
+    """A source's documents stand for a server's tools."""
+    docs = t(spark, d, "documents").select(F.col("source").alias("server"), F.col("doc_id").alias("tool_name"), F.col("text").alias("description"))
+    return tools.scored(docs.where(F.length("description") <= 500)).select("server", "tool_name", "disambiguation_score", "overall_score")
+
+
+@query()
+def tool_selection(spark, d):
+    """Benchmark items stand for tools of one server, conversations for intents."""
+    b = t(spark, d, "benchmark").select(F.lit("s").alias("server"), F.concat(F.lit("find_"), F.split("text", " ")[0]).alias("tool_name"), F.col("text").alias("description"), F.col("item_id").alias("position"))
+    c = t(spark, d, "conversations").select(F.lit("s").alias("server"), F.concat_ws("-", "conv_id", "turn").alias("intent_id"), F.col("text").alias("intent"))
+    return tools.selected(c, b)
+
+
+@query()
+def skill_dimensions(spark, d):
+    return t(spark, d, "documents").select("doc_id", *[c.alias(k) for k, c in rating.skill_dimensions(F.col("text")).items()])
+
+
+@query("select c_custkey, least(10e0, 5 + case when c_custkey % 3 > 0 then 2 else 0 end + case when s > 100 then 1 else 0 end) as provenance, least(10e0, case when s >= 5000 then 9.5e0 when s >= 1000 then 8e0 when s >= 500 then 7e0 when s >= 100 then 6e0 when s >= 50 then 5e0 when s >= 10 then 3.5e0 else 2e0 end + case when f >= 100 then 1e0 when f >= 20 then 0.5e0 else 0e0 end) as popularity, case when g < 30 then 9e0 when g < 90 then 7.5e0 when g < 180 then 6e0 when g < 365 then 4e0 else 2e0 end as maintenance from (select c_custkey, cast(abs(c_acctbal) as int) as s, c_custkey % 150 as f, c_custkey % 500 as g from customer)")
+def repository_metadata(spark, d):
+    k = F.col("c_custkey")
+    repos = t(spark, d, "customer").select("c_custkey", F.bround(F.abs("c_acctbal")).cast("int").alias("stars"), (k % 150).alias("forks"), F.date_sub(F.lit("2024-06-01").cast("date"), (k % 500).cast("int")).cast("string").alias("last_commit"), F.lit(None).cast("string").alias("description"), F.when(k % 3 > 0, "MIT").otherwise("NOASSERTION").alias("license"))
+    return rating.metadata(repos, F.lit("2024-06-01")).select("c_custkey", "provenance", "popularity", "maintenance")
+
+
+@query("select event_id, event_type as tool_name, json_extract_string(props, '$.k') as k from events where event_id % 2 = 0")
+def rpc_calls(spark, d):
+    e = t(spark, d, "events")
+    method = F.when(F.col("event_id") % 2 == 0, "tools/call").otherwise("ping")
+    line = F.concat(F.lit('{"jsonrpc":"2.0","id":'), F.col("event_id").cast("string"), F.lit(',"method":"'), method, F.lit('","params":{"name":"'), "event_type", F.lit('","arguments":'), "props", F.lit("}}"))
+    return rpc.parsed_calls(e.select("event_id", line.alias("line"))).where("tool_name is not null").select("event_id", "tool_name", F.col("arguments")["k"].alias("k"))
+
+
+@query("select doc_id from documents where regexp_matches(text, '[0-9]') and contains(text, 'token = \"')")
+def redacted_payloads(spark, d):
+    """Documents whose assignments of tokens are redacted inside a map."""
+    docs = t(spark, d, "documents").where("contains(text, 'token = \"')").select("doc_id", F.create_map(F.lit("path"), F.lit("a"), F.lit("body"), F.col("text")).alias("arguments"))
+    return rpc.redacted_arguments(docs, ["generic_secret"]).where("argument_findings > 0 and contains(arguments['body'], '[REDACTED:generic_secret]')").select("doc_id")
+
+
+@query()
+def hardening(spark, d):
+    docs = t(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.col("text").alias("content"))
+    return scan.hardening(docs, read_only=True).select("path", "category")
+
+
+@query("select * from (values ('a.py', 'f', 'exfiltration'), ('a.py', '<module>', 'destructive')) x(path, function, flow)")
+def function_flows(spark, d):
+    rows = [("a.py", "import os, requests\ndef f():\n    requests.post('u', data=open('x').read())\nos.remove(os.environ['P'])\n"), ("b.py", "def g(:\n")]
+    return scan.function_flows(spark.createDataFrame(rows, "path string, content string")).select("path", "function", "flow")
 
 
 @query("select source as target, count_if(regexp_matches(text, '(?i)error')) as errors, round_even(avg(n_chars), 3) as mean_chars from documents group by 1")
