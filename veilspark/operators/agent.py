@@ -109,10 +109,41 @@ def generated_policies(tools: DataFrame) -> DataFrame:
     return rules.select("server", F.concat(F.lit("server: "), "server", F.lit("\nrules:\n"), F.array_join(F.transform("r", lambda x: x["rule"]), "\n"), F.lit("\n")).alias("policy"))
 
 
+def issue_code(name: Column) -> Column:
+    """The code of a pattern or check, null where it has none."""
+    return F.coalesce(*[F.when(name == n, F.lit(c)) for n, c in p.CODES.items()])
+
+
+def ignored_names(wanted: list[str]) -> set[str]:
+    """Names meant by a list of codes and names; unknown ones mean nothing."""
+    named = {c: n for n, c in p.CODES.items()}
+    return {named.get(w.strip(), w.strip()) for w in wanted} & set(p.CODES)
+
+
+def coded(findings: DataFrame, column: str, ignored: list[str] | None = None) -> DataFrame:
+    """findings with their code, less those ignored by code or name."""
+    out = findings.withColumn("code", issue_code(F.col(column)))
+    names = ignored_names(ignored or [])
+    return out.where(~F.coalesce(F.col(column).isin(*names), F.lit(False))) if names else out
+
+
+def verdict_counts(scanned: DataFrame, key: str) -> DataFrame:
+    """Per agent its skills by verdict, and the exit code of a check: 2 if tampered, 1 if malicious, else 0."""
+    n = lambda v: F.count_if(F.col("verdict") == v)
+    code = F.when(n("tampered") > 0, 2).when(n("malicious") > 0, 1).otherwise(0)
+    return scanned.groupBy(key).agg(F.count("*").alias("skills"), n("safe").alias("safe"), n("suspicious").alias("suspicious"), n("malicious").alias("malicious"), code.alias("exit_code"))
+
+
+def current_pins(changes: DataFrame) -> DataFrame:
+    """skill_name, hash, pinned_at: the last change (skill_name, hash, pinned_at) of each skill, those unpinned (null hash) left out."""
+    last = changes.groupBy("skill_name").agg(F.max_by(F.struct("hash", "pinned_at"), "pinned_at").alias("x"))
+    return last.select("skill_name", "x.*").where("hash is not null")
+
+
 def config_findings(configs: DataFrame) -> DataFrame:
     """agent, check_id, severity, fixable: the checks that a configuration (JSON text) fails, at most one of each kind.
 
-    Column dir_mode, if there, holds the folder's permission bits. Texts that aren't an object give one finding.
+    Column dir_mode, if there, holds the folder's permission bits. Null and texts that aren't an object give one finding.
     """
     at = lambda x: F.get_json_object("config", x)
     found = lambda cases: F.coalesce(*[F.when(c, F.struct(F.lit(i).alias("check_id"), F.lit(s).alias("severity"), F.lit(f).alias("fixable"))) for c, i, s, f in cases])
@@ -136,7 +167,7 @@ def config_findings(configs: DataFrame) -> DataFrame:
     if "dir_mode" in configs.columns:
         kinds.append([(F.col("dir_mode").bitwiseAND(6) > 0, "fs.permissions", "critical", True)])
     unreadable = F.coalesce(F.schema_of_variant(F.expr("try_parse_json(config)")), F.lit("")).startswith("OBJECT") == F.lit(False)
-    broken = F.array(found([(F.lit(True), "config.unreadable", "medium", False)]))
+    broken = F.array(found([(F.col("config").isNull(), "config.not_found", "high", False), (F.lit(True), "config.parse_error", "medium", False)]))
     return configs.select("agent", F.explode(F.when(unreadable, broken).otherwise(F.array_compact(F.array(*map(found, kinds))))).alias("f")).select("agent", "f.*")
 
 

@@ -89,8 +89,8 @@ def scanned(skills: DataFrame, ignored: tuple[str, ...] = ()) -> DataFrame:
     tests += [(f"toxic_flow_{k}", F.array_contains(flows, k)) for k in ("exfiltration", "destructive")]
     hits = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in tests if n not in ignored]))
     known = F.col("skill_name").isin(*p.BAD_SLUGS)
-    found = rows.select("skill_name", "content", F.explode(F.array(F.when(known, F.array(F.lit("malicious_slug"))).when(raw.isNull(), F.array().cast("array<string>")).otherwise(hits))).alias("hits"))
-    malicious = F.array(*[F.lit(n) for n in ("malicious_slug", *(n for n, s, _ in p.SKILL_HITS if s == "malicious"))])
+    found = rows.select("skill_name", "content", F.explode(F.array(F.when(known, F.array(F.lit("known_malicious_slug"))).when(raw.isNull(), F.array().cast("array<string>")).otherwise(hits))).alias("hits"))
+    malicious = F.array(*[F.lit(n) for n in ("known_malicious_slug", *(n for n, s, _ in p.SKILL_HITS if s == "malicious"))])
     verdict = F.when(F.arrays_overlap("hits", malicious), "malicious").when(F.col("content").isNull(), "unknown").when(F.size("hits") > 0, "suspicious").otherwise("safe")
     return found.select("skill_name", "hits", verdict.alias("verdict"))
 

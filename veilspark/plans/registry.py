@@ -359,7 +359,7 @@ def prompt_injection(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", (F.size(detect.findings(F.col("text"), ["ignore_instructions"])) > 0).alias("injected"))
 
 
-@query("select * from (values ('c', 'gateway.bind', 'critical', true), ('c', 'gateway.no_auth', 'critical', true), ('c', 'sandbox.not_configured', 'high', true), ('c', 'tools.full_no_deny', 'high', true), ('c', 'channels.open_dm', 'high', true), ('x', 'config.unreadable', 'medium', false), ('ok', 'logging.redact_off', 'medium', true)) c(agent, check_id, severity, fixable)")
+@query("select * from (values ('c', 'gateway.bind', 'critical', true), ('c', 'gateway.no_auth', 'critical', true), ('c', 'sandbox.not_configured', 'high', true), ('c', 'tools.full_no_deny', 'high', true), ('c', 'channels.open_dm', 'high', true), ('x', 'config.parse_error', 'medium', false), ('ok', 'logging.redact_off', 'medium', true)) c(agent, check_id, severity, fixable)")
 def config_checks(spark, d):
     rows = [
         ("c", '{"gateway": {"bind": "0.0.0.0"}, "tools": {"profile": "full"}, "channels": {"a": {"dmPolicy": "pairing"}, "b": {"dmPolicy": "open", "allowFrom": ["*"]}}}'), ("x", "{nope"),
@@ -486,13 +486,38 @@ def server_policy(spark, d):
     return calls(spark, d).join(F.broadcast(rules), F.expr(fits)).groupBy("call_id").agg(F.min_by("action", "o").alias("action"))
 
 
-@query("select event_type as pattern, coalesce(code, 'TS-X000') as code, count(*) as n from events left join (values ('error', 'TS-E001'), ('purchase', 'TS-W002'), ('signup', 'TS-C003')) c(name, code) on name = event_type where event_type <> 'view' group by 1, 2")
+@query("select c.name as pattern, c.code, count(*) as n from events join (values ('error', 'typosquat', 'TS-W007'), ('purchase', 'reverse_shell', 'TS-E004'), ('signup', 'gateway.bind', 'TS-C004'), ('click', 'odd', null)) c(type, name, code) on c.type = event_type group by 1, 2")
 def issue_codes(spark, d):
-    """Findings with their codes, less an ignore set."""
-    codes = spark.createDataFrame([("error", "TS-E001"), ("purchase", "TS-W002"), ("signup", "TS-C003")], "pattern string, code string")
-    found = t(spark, d, "events").select(F.col("event_type").alias("pattern"))
-    kept = found.join(F.broadcast(spark.createDataFrame([("view",)], "pattern string")), "pattern", "left_anti")
-    return kept.join(F.broadcast(codes), "pattern", "left").groupBy("pattern", F.coalesce("code", F.lit("TS-X000")).alias("code")).agg(F.count("*").alias("n"))
+    """Findings with their codes, less those ignored, one by code."""
+    name = F.col("event_type")
+    pattern = F.when(name == "error", "typosquat").when(name == "purchase", "reverse_shell").when(name == "signup", "gateway.bind").when(name == "view", "pin_tampered").otherwise("odd")
+    found = agent.coded(t(spark, d, "events").select(pattern.alias("pattern")), "pattern", ["TS-P002", "TS-X999"])
+    return found.groupBy("pattern", "code").agg(F.count("*").alias("n"))
+
+
+@query("select 'events' as name, count(*) as n from events union all select 'orders', count(*) from orders union all select 'part', count(*) from part")
+def dataset_totals(spark, d):
+    return dataset.totals({n: t(spark, d, n) for n in ("orders", "part", "events")})
+
+
+@query("with s as (select p_brand as target, max_by(p_size / 5e0, p_partkey) as score from part group by 1) select b.target, s.score, case when b.target like '%1' then s.score >= 3 and s.score <= 10 else s.score >= 0 and s.score <= 8 end as passed from (select distinct p_brand as target from part) b left join s using (target)")
+def benchmark_ranges(spark, d):
+    p = t(spark, d, "part")
+    low = F.col("p_brand").endswith("1")
+    b = p.select("p_brand").distinct().select(F.col("p_brand").alias("target"), F.when(low, 3.0).alias("min_score"), F.when(~low, 8.0).alias("max_score"))
+    return dataset.benchmarked(b, p.select(F.col("p_brand").alias("target"), (F.col("p_size") / 5).alias("score"), F.col("p_partkey").alias("scan_id"))).select("target", "score", "passed")
+
+
+@query("select cast(user_id as varchar) as skill_name, max_by(event_type, event_id) as hash from events group by 1 having max_by(event_type, event_id) <> 'view'")
+def current_pins(spark, d):
+    e = t(spark, d, "events").select(F.col("user_id").cast("string").alias("skill_name"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("hash"), F.col("event_id").alias("pinned_at"))
+    return agent.current_pins(e).select("skill_name", "hash")
+
+
+@query("with g as (select 's' || (p_partkey % 20) as server, 'get_' || p_partkey as n, p_partkey from part) select server, count(*) as rules from g group by 1")
+def generated_policies(spark, d):
+    x = t(spark, d, "part").select(F.concat(F.lit("s"), (F.col("p_partkey") % 20).cast("string")).alias("server"), F.concat(F.lit("get_"), F.col("p_partkey").cast("string")).alias("tool_name"), F.lit(False).alias("critical"), F.lit(9.0).alias("score"))
+    return agent.generated_policies(x).select("server", F.size(F.regexp_extract_all("policy", F.lit("- tool: "), F.lit(0))).cast("long").alias("rules"))
 
 
 @query("select left(sha256(string_agg(event_type, '|' order by event_type)), 16) as pattern_set_hash from (select distinct event_type from events)")

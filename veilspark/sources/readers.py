@@ -45,16 +45,43 @@ def configs(spark: SparkSession, path: str) -> DataFrame:
     return text.withColumn("config", F.regexp_replace(F.regexp_replace(plain, r"([{,]\s*)([A-Za-z_]\w*)\s*:", r'$1"$2":'), r"'([^'\"]*)'", r'"$1"'))
 
 
-def policy(text: str) -> tuple[Rule, ...]:
-    """Rules of a policy file (YAML, or JSON where no YAML reader is installed)."""
+def _loaded(text: str):
+    """A document in YAML, or in JSON where no YAML reader is installed."""
     try:
         import yaml
-
-        data = yaml.safe_load(text)
     except ImportError:
         import json
 
-        data = json.loads(text)
+        return json.loads(text)
+    return yaml.safe_load(text)
+
+
+def policy_errors(text: str) -> list[str]:
+    """All that is wrong with a policy file, by rule; none if it's valid."""
+    data = _loaded(text)
+    if not isinstance(data, dict) or "policies" not in data:
+        return ["no policies at the top"]
+    if not isinstance(data["policies"], list):
+        return ["policies isn't a list"]
+    errors = []
+    for n, rule in enumerate(data["policies"], 1):
+        if not isinstance(rule, dict):
+            errors.append(f"rule {n}: not a mapping")
+            continue
+        match = rule.get("match") or {}
+        tests = (("name" not in rule, "no name"), ("action" not in rule, "no action"), (rule.get("action", "deny") not in ("allow", "deny", "escalate"), f"unknown action {rule.get('action')!r}"), (not (match.get("tool") or match.get("any_tool")), "matches no tool"))
+        errors += [f"rule {n}: {message}" for bad, message in tests if bad]
+    return errors
+
+
+def scenarios(text: str) -> list[tuple[str, str]]:
+    """intent, expected tool of each scenario in a file."""
+    return [(x["intent"], x["expected_tool"]) for x in (_loaded(text) or {}).get("scenarios", [])]
+
+
+def policy(text: str) -> tuple[Rule, ...]:
+    """Rules of a policy file."""
+    data = _loaded(text)
     rules = []
     for p in data.get("policies", []):
         match, condition = p.get("match", {}), p.get("condition", {})
