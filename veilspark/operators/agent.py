@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,24 +43,31 @@ def look_alikes(names: DataFrame, targets: DataFrame, most: int = 2) -> DataFram
     return names.join(F.broadcast(targets), F.abs(F.length("skill_name") - F.length("target")) <= most).withColumn("distance", near).where("distance between 1 and 2").select("skill_name", "target", "distance")
 
 
-def capabilities(text: Column, phrases: tuple[tuple[str, str], ...]) -> Column:
-    """Labels of the phrases that stand in the text, each once, in their order."""
-    low = F.lower(text)
-    return F.array_distinct(F.array_compact(F.array(*[F.when(low.rlike(x), F.lit(label)) for x, label in phrases])))
+def _stands(low: Column, phrase: str) -> Column:
+    """Whether a phrase stands in a text in lower case; one that opens with a word is tried only where that word stands."""
+    word = re.match(r"\\b([a-z]+)", phrase)
+    return low.contains(word[1]) & low.rlike(phrase) if word else low.rlike(phrase)
 
 
-def flows_of(text: Column) -> Column:
-    """exfiltration: a source and a sink in one text; destructive: a source and destruction. A null text has none."""
-    low = F.lower(text)
-    any_of = lambda phrases: low.rlike("|".join(f"(?:{x})" for x, _ in phrases))
+def capabilities(low: Column, phrases: tuple[tuple[str, str], ...]) -> Column:
+    """Labels of the phrases that stand in the text (in lower case), each once, in their order."""
+    return F.array_distinct(F.array_compact(F.array(*[F.when(_stands(low, x), F.lit(label)) for x, label in phrases])))
+
+
+def flows_of(low: Column) -> Column:
+    """exfiltration: a source and a sink in one text (in lower case); destructive: a source and destruction. A null text has none."""
+    any_of = lambda phrases: reduce(Column.__or__, [_stands(low, x) for x, _ in phrases])
     reads = any_of(p.TEXT_SOURCES)
-    return F.array_compact(F.array(F.when(reads & any_of(p.TEXT_SINKS), F.lit("exfiltration")), F.when(reads & any_of(p.TEXT_DESTRUCTIVE), F.lit("destructive"))))
+    return F.array_compact(F.array(F.when(any_of(p.TEXT_SINKS) & reads, F.lit("exfiltration")), F.when(any_of(p.TEXT_DESTRUCTIVE) & reads, F.lit("destructive"))))
 
 
 def toxic_flows(docs: DataFrame, text_col: str) -> DataFrame:
     """docs with labels of sources, sinks and destructive phrases, and the flows they make."""
-    text = F.col(text_col)
-    return docs.withColumns({"sources": capabilities(text, p.TEXT_SOURCES), "sinks": capabilities(text, p.TEXT_SINKS), "destructive": capabilities(text, p.TEXT_DESTRUCTIVE), "flows": flows_of(text)})
+    low = F.col("_low")
+    found = docs.withColumn("_low", F.lower(text_col)).withColumn("_x", F.explode(F.array(F.struct(capabilities(low, p.TEXT_SOURCES).alias("sources"), capabilities(low, p.TEXT_SINKS).alias("sinks"), capabilities(low, p.TEXT_DESTRUCTIVE).alias("destructive")))))
+    has = lambda c: F.size(f"_x.{c}") > 0
+    flows = F.array_compact(F.array(F.when(has("sources") & has("sinks"), F.lit("exfiltration")), F.when(has("sources") & has("destructive"), F.lit("destructive"))))
+    return found.withColumns({"sources": F.col("_x.sources"), "sinks": F.col("_x.sinks"), "destructive": F.col("_x.destructive"), "flows": flows}).drop("_low", "_x")
 
 
 def license_of(text: Column) -> Column:

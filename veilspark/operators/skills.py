@@ -83,7 +83,7 @@ def scanned(skills: DataFrame, ignored: tuple[str, ...] = ()) -> DataFrame:
         return held & ~_in_install(raw, "(?i)" + pattern) if kind in p.IN_INSTALL else held
 
     near = [F.levenshtein(F.col("skill_name"), F.lit(x), 2).between(1, 2) for x in p.POPULAR_SLUGS]
-    flows = agent.flows_of(raw)
+    flows = agent.flows_of(F.lower(raw))
     tests = [(n, hit(n, x)) for n, _, x in p.SKILL_HITS]
     tests += [("typosquat", reduce(Column.__or__, near)), ("excessive_permissions", shell_without_need(raw))]
     tests += [(f"toxic_flow_{k}", F.array_contains(flows, k)) for k in ("exfiltration", "destructive")]
