@@ -227,6 +227,28 @@ def test_tool_scores_and_selection(spark):
     assert spark.range(1).select(tools.fuzzy_match(F.lit("Send-Mail now"), names), tools.fuzzy_match(F.lit("zzz"), names)).first()[:] == ("send_mail", "zzz")
 
 
+def test_tool_scores_of_whole_tables(spark, tmp_path):
+    """Each document counts, long and null ones too; overlaps equal brute force."""
+    from veilspark.plans import registry
+
+    r = __import__("random").Random(4)
+    vocabulary = [f"word{k}" for k in range(60)]
+    texts = [" ".join(r.choices(vocabulary, k=r.choice((3, 8, 120)))) for _ in range(40)]
+    texts += [texts[0], texts[1] + " more of it", None, "", " ".join(f"long{k}" for k in range(300)), " ".join(f"long{k}" for k in range(200))]
+    rows = [(i, x, f"s{i % 2}") for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for s in ("s0", "s1"):
+        sets = {i: {w for w in (x or "").split()} for i, x, y in rows if y == s}
+        df = __import__("collections").Counter(w for x in sets.values() for w in x)
+        sets = {i: {w for w in x if df[w] <= len(sets) // 2 and len(w) > 2} for i, x in sets.items()}
+        for i, x in sets.items():
+            most = max(len(x & y) / min(len(x), len(y)) if x and y else 0 for j, y in sets.items() if i != j)
+            want[i] = round(1 - most if most > 0.5 else 1, 2)
+    got = {x.tool_name: x.disambiguation_score for x in registry.tool_scores(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 0.011 for i in want)
+
+
 def test_rating(spark):
     servers = spark.createDataFrame([("a", 9.0, 9.0, 9.0, 0, 3, "MIT"), ("b", 9.0, 9.0, 9.0, 0, 3, "AGPL-3.0"), ("c", 9.0, 9.0, 9.0, 1, 3, "MIT")], "server string, description double, security double, metadata double, critical_count int, tool_count int, license string")
     got = {r.server: json.loads(r.rating) for r in rating.documents(servers).collect()}

@@ -423,7 +423,7 @@ def fix_gate(spark, d):
 def tool_scores(spark, d):
     """A source's documents stand for a server's tools."""
     docs = t(spark, d, "documents").select(F.col("source").alias("server"), F.col("doc_id").alias("tool_name"), F.col("text").alias("description"))
-    return tools.scored(docs.where(F.length("description") <= 500)).select("server", "tool_name", "disambiguation_score", "overall_score")
+    return tools.scored(docs).select("server", "tool_name", "disambiguation_score", "overall_score")
 
 
 @query()
