@@ -80,6 +80,33 @@ def test_simhash(docs, none):
     assert op2_simhash.simhash_components(none).count() == 0
 
 
+def test_near_copies_of_the_pipeline(spark, docs, none):
+    """Copies at 0.8 or more are found, texts below it stay, and groups are those of brute force."""
+    import corpus_pipeline
+
+    r, rows = np.random.default_rng(8), []
+    for k in range(40):
+        w = words(300, 1000 + k).split()
+        rows.append(" ".join(w))
+        for changed in (1, 3, 5, 12):  # about 0.97, 0.9, 0.85 and 0.67
+            x = list(w)
+            for at in np.linspace(10, 280, changed).astype(int) + int(r.integers(10)):
+                x[at] = "changed"
+            rows.append(" ".join(x))
+    rows += ["", None, "a b", "A  b"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (x or "").lower().split()) else set() for x in rows]
+    group = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            old, new = max(group[i], group[j]), min(group[i], group[j])
+            group = [new if g == old else g for g in group]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = {x.doc_id for x in corpus_pipeline.near_dedup(spark, df, "").collect()}
+    assert {i for i in kept if i % 5 == 4 and i < 200} >= {i for i in set(group) if i % 5 == 4 and i < 200}
+    assert set(group) <= kept and len(kept - set(group)) <= 0.03 * len(rows)
+    assert corpus_pipeline.near_dedup(spark, docs, "").columns == docs.columns and corpus_pipeline.near_dedup(spark, none, "").count() == 0
+
+
 def test_simhash_links_many_near_copies():
     r = np.random.default_rng(1)
     base = r.integers(0, 2**63, 40, dtype=np.uint64)

@@ -15,7 +15,7 @@ no rows. Texts of any length are read whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,27 +28,34 @@ from veilspark.llm.common import dropped, materialise, rows_of, small_batches, t
 BLOCK = 64
 
 
-def fingerprint(text: bytes, size: int, seed: int) -> int:
-    """SimHash of one text: lower-cased in A-Z, words split at white space of ASCII, shingles of `size` words."""
+def shingle_hashes(words: list[bytes], size: int, seed: int) -> np.ndarray:
+    """Hashes of all runs of `size` words, in order; of all words where there are fewer."""
     import xxhash
 
-    words = text.lower().split()
-    if not words:
-        return 0
     one = b" ".join(words)
     if len(words) <= size:
-        return xxhash.xxh64_intdigest(one, seed)
+        return np.array([xxhash.xxh64_intdigest(one, seed)] if words else [], np.uint64)
     length = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(length + 1) - 1
     starts, ends = (ends - length)[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist()
-    h, over = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    hashes = np.array([h(one[s:e], seed) for s, e in zip(starts, ends, strict=True)], np.uint64)
+    h = xxhash.xxh64_intdigest
+    return np.array([h(one[s:e], seed) for s, e in zip(starts, ends, strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    over = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         bits = np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         over += np.add.reduce(bits, axis=0, dtype=np.uint16)
     return int.from_bytes(np.packbits(2 * over > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: bytes, size: int, seed: int) -> int:
+    """SimHash of one text: lower-cased in A-Z, words split at white space of ASCII, shingles of `size` words."""
+    return majority(shingle_hashes(text.lower().split(), size, seed))
+
+
 def fingerprints(docs: DataFrame, keep: list, text_col: str = "text", size: int = 4, seed: int = 42) -> DataFrame:
     """The columns `keep` (strings or columns) and fp, the fingerprint as a signed long."""
     small_batches(docs.sparkSession)
@@ -177,13 +184,128 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs with one document of each component: the smallest id, and of equal ids the smallest text hash."""
     found = simhash_components(docs, id_col, text_col, **how)
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
-    best = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("b")).select(F.col("b.doc_id").alias("_k"), F.col("b.th").alias("_t"))
+    return _firsts(docs, found.select(group.alias("g"), "doc_id", "th"), id_col, text_col)
+
+
+def _firsts(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that come first in their group; found has g, doc_id, th."""
+    best = found.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("b")).select(F.col("b.doc_id").alias("_k"), F.col("b.th").alias("_t"))
     best = materialise(best, "kept")
     own = docs.select(rows_of(docs), F.col(id_col).alias("_i"), F.xxhash64(text_col).alias("_h"))
     out = own.join(best, F.col("_i").eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_t")), "left_semi")
     return out.dropDuplicates(["_i", "_h"]).select("_row.*")
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Further bits of the same hashes (the finisher of splitmix64)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _by_text(df: DataFrame, schema: str, make: Callable[[list[bytes]], tuple]) -> DataFrame:
+    """df without its last column, a text, and with what `make` says of the text's words."""
+    import pyspark.sql.types as T
+
+    new = T.StructType.fromDDL(schema)
+    kinds = [pa.list_(pa.int64()) if isinstance(f.dataType, T.ArrayType) else pa.int64() for f in new]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [make((x or b"").lower().split()) for x in b.column(b.num_columns - 1).to_pylist()]
+            more = [pa.array([x[k] for x in made], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *more], names=[*b.schema.names[:-1], *new.names])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields[:-1], *new.fields]))
+
+
+def near_pairs(nodes: DataFrame, radius: int, wide: int, least: float, tile: int, first: bool) -> DataFrame:
+    """u, v: pairs of nodes (node, fp, fp2, k, core) of different cores whose fingerprints differ in at most `radius`
+    bits, both fingerprints in at most `wide`, and whose counts of shingles k allow a similarity of `least`.
+    With `first`, in each pair of tiles only the first partner of a node."""
+    ones = F.bit_count(F.col("fp")).cast("int")
+    subs = {r["ones"]: -(-r["count"] // tile) for r in nodes.groupBy(ones.alias("ones")).count().collect()}  # 65 rows at most
+    of = F.create_map(*[F.lit(x) for kv in (subs or {0: 1}).items() for x in kv])
+    dealt = nodes.withColumn("p", ones).withColumn("s", F.pmod(F.xxhash64("node", F.lit(7)), of[F.col("p")]).cast("int"))
+    tiles = dealt.groupBy("p", "s").agg(F.collect_list(F.struct("node", "fp", "fp2", "k", "core")).alias("rows"))
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p, s, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                body, me = np.stack([c.to_numpy(zero_copy_only=False) for c in rows.values.flatten()]).astype(np.int64).tobytes(), (p, s)
+                for q in range(p - radius, p + radius + 1):
+                    for other in ((q, t) for t in range(subs.get(q, 0))):
+                        (p1, s1), (p2, s2) = min(me, other), max(me, other)
+                        yield pa.RecordBatch.from_pydict({"p1": pa.array([p1], pa.int32()), "s1": pa.array([s1], pa.int32()), "p2": pa.array([p2], pa.int32()), "s2": pa.array([s2], pa.int32()), "first": [me <= other], "rows": [body]})
+
+    def compare(g: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.frombuffer(x, np.int64).reshape(5, -1) for x in g.sort_values("first", ascending=False)["rows"]]
+        same, a, b = len(parts) == 1, parts[0], parts[-1]
+        fa, fb, out, met = a[1].view(np.uint64), b[1].view(np.uint64), [], np.zeros(b.shape[1], bool)
+        for at in range(0, a.shape[1], 64):
+            low = at if same else 0
+            i, j = np.nonzero(np.bitwise_count(fa[at : at + 64, None] ^ fb[None, low:]) <= radius)
+            i, j = i + at, j + low
+            ok = np.bitwise_count((fa[i] ^ fb[j])) + np.bitwise_count((a[2][i] ^ b[2][j]).view(np.uint64)) <= wide
+            ok &= (np.minimum(a[3][i], b[3][j]) >= least * np.maximum(a[3][i], b[3][j]) - 1e-9) & (a[4][i] != b[4][j])
+            if same:
+                ok &= i < j
+            i, j = i[ok], j[ok]
+            if first:
+                j, at_j = np.unique(j, return_index=True)
+                i, new = i[at_j], ~met[j]
+                met[j] = True
+                i, j = i[new], j[new]
+            out.append(np.stack([a[0][i], b[0][j]]))
+        u, v = np.concatenate([np.zeros((2, 0), np.int64), *out], 1)
+        return pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)})
+
+    pairs = tiles.mapInArrow(pair, "p1 int, s1 int, p2 int, s2 int, first boolean, rows binary")
+    return pairs.groupBy("p1", "s1", "p2", "s2").applyInPandas(compare, "u long, v long").distinct()
+
+
+def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, radius: int = 16, wide: int = 32, core: int = 6, tile: int = 16384, small: int = 2_000_000) -> DataFrame:
+    """The rows of docs with one document of each group of near copies, as near_dedup returns them.
+
+    Near copies share at least `least` of the shingles that either has (Jaccard, `size` words). Candidates come from
+    the tiled comparison, wide enough for that, and from a second fingerprint; each link is then counted exactly.
+    Texts of the same words are one node. Close links (`core`), one a node and pair of tiles, are counted before
+    the others, so that a large group isn't met in all its pairs: pairs inside what they join are left out.
+    """
+    small_batches(docs.sparkSession)
+    text = F.col(text_col).cast("string").cast("binary").alias("_text")
+
+    def signature(words: list[bytes]) -> tuple:
+        import xxhash
+
+        h = np.unique(shingle_hashes(words, size, 42))
+        signed = np.array([xxhash.xxh64_intdigest(b" ".join(words), 1), majority(h), majority(_mixed(h))], np.uint64).view(np.int64)
+        return *signed.tolist(), len(h)
+
+    base = materialise(_by_text(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), text), "wh long, fp long, fp2 long, k long", signature), "signatures")
+    nodes = materialise(base.groupBy("wh").agg(F.min("th").alias("node"), *[F.min(c).alias(c) for c in ("fp", "fp2", "k")]), "nodes")
+    told = nodes.where("k > 0").select("node", "fp", "fp2", "k", F.col("node").alias("core"))
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        """The pairs that are near copies."""
+        pairs = materialise(pairs, "pairs")
+        wanted = materialise(pairs.select(F.explode(F.array("u", "v")).alias("th")).distinct(), "wanted")
+        if wanted.count() <= small:  # the size is checked: texts stay where they are
+            wanted = F.broadcast(wanted)
+        own = docs.select(F.xxhash64(text_col).alias("th"), text).join(wanted, "th", "left_semi")
+        sets = materialise(_by_text(own.select("th", "_text"), "sh array<long>", lambda w: (np.unique(shingle_hashes(w, size, 42)).view(np.int64),)).dropDuplicates(["th"]), "shingles")
+        both = pairs.join(sets.select(F.col("th").alias("u"), F.col("sh").alias("a")), "u").join(sets.select(F.col("th").alias("v"), F.col("sh").alias("b")), "v")
+        both = both.select("u", "v", (F.size("a") + F.size("b")).alias("n"), F.size(F.array_intersect("a", "b")).alias("common"))
+        return materialise(both.where(F.col("common") >= least * (F.col("n") - F.col("common")) - 1e-9).select("u", "v"), "links")
+
+    close = exact(near_pairs(told, core, wide, least, tile, True))
+    joined = components(close)
+    cored = told.drop("core").join(joined.withColumnRenamed("u", "node"), "node", "left").select("node", "fp", "fp2", "k", F.coalesce("v", "node").alias("core"))
+    roots = components(close.union(exact(near_pairs(cored, radius, wide, least, tile, False))))
+    named = nodes.select("wh", "node").join(roots.withColumnRenamed("u", "node"), "node", "left").select("wh", F.coalesce("v", "node").alias("g"))
+    return _firsts(docs, base.join(named, "wh").select("g", "doc_id", "th"), id_col, text_col)
+
+
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
