@@ -303,6 +303,18 @@ def test_disclosing_terms(spark):
     assert text[0] == "the report of  was sent by [EMAIL] to all people number one" and text[10] == rows[4][1]
 
 
+def test_disclosing_terms_anywhere_in_the_document(spark):
+    """Further off than a line, in repeats, as short names and as user ids; where the entity isn't, they stay."""
+    far = "\n".join(f"all people read the report number {i} of this long list" for i in range(8))
+    rows = [(i, f"note {w} by Zebulon to z@corp.example\n{far}\nBo and zeb77 wrote this, Zebulon") for i, w in enumerate(["one", "two", "three", "four"])]
+    rows += [(10 + i, f"note by all people wrote this {far} and number {i}") for i in range(200)] + [(None, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in op9_pii.find(df).where("size(spans) > 0").collect():
+        assert [x.value for x in r.spans] == ["Zebulon", "z@corp.example", "Bo", "zeb77", "Zebulon"], r.doc_id
+    clean = {r.doc_id: r.text for r in op9_pii.sanitised(df).collect()}
+    assert not any(w in clean[i] for i in (None, 0, 1, 2, 3) for w in ("Zebulon", "Bo", "zeb77", "@")) and clean[10] == rows[4][1]
+
+
 def test_an_entity_in_all_documents_discloses_nothing(spark):
     rows = [(i, f"mail me at all@corp.example please number {i}") for i in range(5)]
     found = op9_pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()

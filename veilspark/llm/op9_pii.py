@@ -1,15 +1,16 @@
 """PII: base patterns, and information-theoretic sanitisation of the terms that reveal them. DataFrame and SQL functions only.
 
 Base findings (email, ip, card, phone) are found with their places by marking matches and splitting at the
-marks. The protected entities are the values so found. A term - a lower-cased run of four or more letters on
-the same line, at most `reach` characters from a finding - co-occurs with the entity. Over all documents,
+marks. The protected entities are the values so found. A term - a lower-cased run of four or more letters, of
+letters with digits (three or more), or of two or three letters that begin with a capital, outside the findings -
+co-occurs with the entities of its document, wherever both stand. Over all documents,
 
     disclosure(term, entity) = PMI(term; entity) / information content of the entity
                              = ln(joint * n / (df_term * df_entity)) / ln(n / df_entity),
 
 which is 1 when the term occurs nowhere without the entity and 0 when it says nothing about it. A term whose
-disclosure reaches `threshold`, seen with the entity in at least `support` different texts, is reported where it
-stands beside the entity (kind "term"). Counts are of documents; support is of different texts, so that copies of
+disclosure reaches `threshold`, seen with the entity in at least `support` different texts, is reported everywhere
+in the documents that hold the entity (kind "term"). Counts are of documents; support is of different texts, so that copies of
 one text reveal nothing by themselves. In sanitised texts findings are generalised to their kind and such terms
 are removed.
 
@@ -40,7 +41,8 @@ PATTERNS = {
 #: What a text must hold for the pattern to be tried.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-TERM = r"\p{L}{4,}"
+#: Runs end where letters and digits do, and each is met once, so long ones cost no more than that.
+TERM = r"(?<![\p{L}\p{N}])(?:(?=\p{N}*+\p{L})(?=\p{L}*+\p{N})[\p{L}\p{N}]{3,}+|\p{L}{4,}+|\p{Lu}\p{L}{1,2}+(?![\p{L}\p{N}]))"
 SPAN = "array<struct<start:long,rank:int,end:long,value:string>>"
 MARKS = "\u0001\u0002"
 
@@ -91,44 +93,35 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat(F.element_at(names, x["rank"] + 1), F.lit(":"), x["start"], F.lit(":"), x["end"])), ",")
 
 
-def contexts(text: Column, spans: Column, reach: int) -> Column:
-    """Each finding's entity and what stands before and after it on its line, as far as `reach`, in whole words."""
-
-    def around(x: Column) -> Column:
-        first = F.greatest(x["start"] - reach, F.lit(0))
-        before = F.substring_index(F.substring(text, (first + 1).cast("int"), (x["start"] - first).cast("int")), "\n", -1)
-        after = F.substring_index(F.substring(text, (x["end"] + 1).cast("int"), F.lit(reach)), "\n", 1)
-        clean = lambda s: F.translate(s, MARKS, "\u0003\u0003")
-        kept = F.when(F.length(before) == reach, F.regexp_replace(before, r"^\S++", "")).otherwise(before)
-        to = F.when(F.length(after) == reach, F.regexp_replace(after, r"(?<!\S)\S++$", "")).otherwise(after)
-        entity = F.concat_ws(":", x["rank"].cast("string"), F.lower(x["value"]))
-        return F.struct(entity.alias("entity"), F.array(F.struct((x["start"] - F.length(kept)).cast("long").alias("at"), clean(kept).alias("text")), F.struct(x["end"].cast("long").alias("at"), clean(to).alias("text"))).alias("sides"))
-
-    return F.transform(spans, around)
-
-
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 48, support: int = 3, threshold: float = 0.9, small: int = 100_000) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, threshold: float = 0.9, small: int = 100_000) -> DataFrame:
     """doc_id, th (hash of the text), base, spans: a row per document; both arrays of start, rank, end, value."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), base_spans(text).alias("base"), text.alias("t"))
-    base = base.select("doc_id", "th", "base", F.when(F.size("base") > 0, contexts(F.col("t"), F.col("base"), reach)).alias("around"))
+    entities = F.array_distinct(F.transform("base", lambda x: F.concat_ws(":", x["rank"].cast("string"), F.lower(x["value"]))))
+    base = base.select("doc_id", "th", "base", F.when(F.size("base") > 0, entities).alias("entities"), F.when(F.size("base") > 0, F.col("t")).alias("t"))
     base = materialise(base, "findings")
-    beside = base.where("around is not null").select("doc_id", "th", "base", F.explode("around").alias("a"))
-    pairs = beside.select("doc_id", "th", "base", "a.entity", F.explode("a.sides").alias("s"))
-    pairs = pairs.withColumn("m", F.explode(located(F.col("s.text"), TERM))).select("doc_id", "th", "base", "entity", (F.col("s.at") + F.col("m.start")).alias("start"), (F.col("s.at") + F.col("m.end")).alias("end"), F.col("m.value").alias("value"))
+    held = base.where("entities is not null").select("doc_id", "th", F.explode("entities").alias("entity")).distinct()
+    # an entity in fewer different texts than `support` can have no term: what stands in its documents isn't counted
+    known = held.select("entity", "th").distinct().groupBy("entity").agg(F.count("*").alias("texts")).where(F.col("texts") >= support).select("entity")
+    held = materialise(held.join(known, "entity").groupBy("doc_id", "th").agg(F.collect_set("entity").alias("entities")), "held")
+    full = base.where("t is not null").select("doc_id", "th", "base", "t").dropDuplicates(["doc_id", "th"])
+    named = held.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("entities").alias("_e"))
+    pairs = full.join(named, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")))
+    pairs = pairs.select("doc_id", "th", "base", F.col("_e").alias("entities"), F.explode(located(F.translate("t", MARKS, "\u0003\u0003"), TERM)).alias("m")).select("doc_id", "th", "base", "entities", "m.start", "m.end", "m.value")
     free = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
-    pairs = materialise(pairs.where(free).select("doc_id", "th", "entity", "start", "end", "value", F.lower("value").alias("term")), "beside")
-    once = pairs.select("entity", "term", "doc_id", "th").distinct()
+    pairs = materialise(pairs.where(free).select("doc_id", "th", "entities", "start", "end", "value", F.lower("value").alias("term")), "terms")
+    once = pairs.select("entities", "term", "doc_id", "th").distinct().select(F.explode("entities").alias("entity"), "term", "doc_id", "th")
     joint = once.groupBy("entity", "term", "th").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("joint"), F.count("*").alias("texts")).where(F.col("texts") >= support)
-    df_entity = base.where("around is not null").select(F.explode(F.array_distinct(F.transform("around", lambda a: a["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
+    df_entity = base.where("entities is not null").select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
     n = base.count()
-    # df_term is at least the documents in which the term stands beside any finding: pairs that fall short even so
+    # df_term is at least the documents in which the term stands with any of these entities: pairs that fall short even so
     # need no count over the corpus. This leaves out nothing that could reach the threshold.
     near = once.groupBy("term", "doc_id", "th").agg(F.lit(1)).groupBy("term").agg(F.count("*").alias("near"))
     most = F.col("joint") * F.pow(n / F.col("df_entity"), F.lit(1 - threshold)) * (1 + 1e-9)
     joint = materialise(joint.join(df_entity, "entity").join(near, "term").where(F.col("near") <= most).drop("near"), "joint")
     wanted = joint.select("term").distinct()
-    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM), F.lit(0)))).alias("term"))
+    found = F.regexp_extract_all(F.translate(F.col(text_col).cast("string"), MARKS, "\u0003\u0003"), F.lit(TERM), F.lit(0))
+    terms = docs.select(F.explode(F.array_distinct(F.transform(found, F.lower))).alias("term"))
     if joint.count() <= small:  # the size is checked: so few terms are sent to the scan
         df_term = terms.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_term"))
     else:  # else counts are summed up before they meet
@@ -136,7 +129,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     known = joint.join(df_term, "term")
     disclosure = F.try_divide(F.ln(F.col("joint") * n / (F.col("df_term") * F.col("df_entity"))), F.ln(n / F.col("df_entity")))
     telling = known.where((F.col("df_entity") < n) & (disclosure >= threshold)).select("entity", "term")
-    more = pairs.join(telling, ["entity", "term"], "left_semi").groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_set(F.struct("start", F.lit(4).alias("rank"), "end", "value")).alias("more"))
+    told = pairs.select("doc_id", "th", "start", "end", "value", "term", F.explode("entities").alias("entity"))
+    more = told.join(telling, ["entity", "term"], "left_semi").groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_set(F.struct("start", F.lit(4).alias("rank"), "end", "value")).alias("more"))
     out = base.join(more, base.doc_id.eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left")
     return out.select("doc_id", "th", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", F.col("more").cast(SPAN)))).alias("spans"))
 
