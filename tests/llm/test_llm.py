@@ -321,6 +321,17 @@ def test_an_entity_in_all_documents_discloses_nothing(spark):
     assert all([x.rank for x in r.spans] == [0] for r in found)
 
 
+def test_secrets_behind_the_first_characters(spark):
+    secret = "ghp_Zk3pQ9xLm2vB7nT5wR8yUaH4cJ6dF1gS0eKo"
+    path = "files.host.example.com/some/folder/with/many/parts/a1/more/of/them/"
+    texts = [f"see {path}{secret} there", f"see {path}readme/of/the/tool.txt there", f"see {path}{secret}/and/behind/it/some/more/parts there"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in op6_secret_scan.scan(df).collect()}
+    assert got == {0: f"learned:4:{len(texts[0]) - 6}", 1: "", 2: f"learned:4:{len(texts[2]) - 6}"}
+    clean = {r.doc_id: r.text for r in op6_secret_scan.redacted(df).collect()}
+    assert secret not in clean[0] + clean[2] and clean[1] == texts[1]
+
+
 def test_candidates_keep_clear_of_base_findings():
     text = " ".join(f'token = "{"0a1b2c3d4e5f" * 3}" plain{i}word{i}plain{i}' for i in range(20))
     base = op6_secret_scan.base_spans(text)
