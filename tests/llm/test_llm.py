@@ -332,6 +332,18 @@ def test_secrets_behind_the_first_characters(spark):
     assert secret not in clean[0] + clean[2] and clean[1] == texts[1]
 
 
+def test_secrets_around_base_findings(spark):
+    """A token behind a commit id in a path, and a mixed secret around a hex part, go whole; the path stays."""
+    commit, secret = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567", "ghp_Zk3pQ9xLm2vB7nT5wR8yUaH4cJ6dF1gS0eKo"
+    mixed = "Zk3pQ9xL0a1b2c3d4e5f60718293a4b5X7nTw"
+    texts = [f"see repo/tree/{commit}/{secret} there", f"see {mixed} there", f"see repo/tree/{commit}/readme.txt there"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in op6_secret_scan.redacted(df).collect()}
+    assert secret not in clean[0] and clean[1] == "see [SECRET] there" and clean[2] == "see repo/tree/[SECRET]/readme.txt there"
+    got = {r.doc_id: r.spans.split(",") for r in op6_secret_scan.scan(df).collect()}
+    assert "hex:14:54" in got[0] and any(x.startswith("learned") for x in got[0]) and "learned:4:41" in got[1] and got[2] == ["hex:14:54"]
+
+
 def test_candidates_keep_clear_of_base_findings():
     text = " ".join(f'token = "{"0a1b2c3d4e5f" * 3}" plain{i}word{i}plain{i}' for i in range(20))
     base = op6_secret_scan.base_spans(text)
