@@ -1,12 +1,18 @@
 """Quality rules by weak supervision: rules vote or abstain, expectation-maximisation weighs them.
 
-Each rule votes good, votes bad or abstains on a document. Documents with the same votes are alike, so the
-corpus is reduced to counts of vote patterns (at most 3 to the number of rules, whatever the corpus size);
-expectation-maximisation on these counts estimates the share of good documents and each rule's accuracy on good
-and on bad ones, and gives each pattern's posterior probability of quality.
-
-Nulls: a null text has no words and fails the base rules; a null id is kept. Repeated rows stay. Empty tables
-give no rows. Texts are read whole.
+Each rule votes good, votes bad or abstains on a document. Measures of the same trait belong to one rule, so that
+rules may be taken as independent within a class: it votes bad if one of its measures is outside of the wide
+range, good if all known ones are inside of the narrow range, and abstains otherwise. Documents with the same
+votes are alike, so the corpus is reduced to counts of vote patterns (at most 3 to the number of rules, whatever
+the corpus size). Expectation-maximisation on these counts estimates the shares of good documents and of each kind of
+junk - a kind begins as what one rule sees, since kinds exclude each other and rules on junk aren't independent -
+and how often each rule votes bad in each class. The posterior probability of the good class alone decides on
+documents that the base rules leave. Shares and rates on junk aren't bounded; what is held is that a rule votes
+bad on at most ALARM of the good documents, so single votes no more frequent than that may be false alarms.
+
+Nulls: a null text has no words and fails the base rules; a null id is kept. Repeated rows stay. Texts with equal
+votes tie and get the same posterior; at exactly `least` a document is kept. Empty tables give no rows. Texts of
+any length are read whole. Extra columns of any name are ignored: only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -24,28 +30,31 @@ from veilspark.llm.common import materialise, small_batches, table
 #: Characters counted as symbols (fixed value).
 SYMBOLS = "#*$%&|<>"
 _SYMBOL_BYTES = frozenset(SYMBOLS.encode())
-#: Each rule's measure with the range in which it votes good and the one outside of which it votes bad.
-RULES = (
-    ("words", (80, 1e12), (50, 1e12)),
-    ("word_length", (3, 10), (2.2, 14)),
-    ("symbols_per_word", (-1, 0.02), (-1, 0.1)),
-    ("dup_line_share", (-1, 0.1), (-1, 0.3)),
-    ("repeat_share", (-1, 0.1), (-1, 0.3)),
-    ("lettered_share", (0.9, 2), (0.7, 2)),
-    ("upper_share", (-1, 0.2), (-1, 0.5)),
-    ("bang_share", (-1, 0.1), (-1, 0.4)),
-    ("marked_share", (-1, 0.02), (-1, 0.2)),
-)
-
-
-def measures(text: str) -> tuple[list[int], list[float | None]]:
-    """[n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words] and the rules' measures (None: abstain)."""
+_ENDS = (b".", b"!", b"?", b"\xe3\x80\x82")
+#: Each rule's measures, with the range in which one is good and the range outside of which it is bad.
+RULES = {
+    "words": {"word_length": ((3, 10), (2.2, 14))},
+    "symbols": {"symbols_per_word": ((0, 0.02), (0, 0.1)), "marked_share": ((0, 0.02), (0, 0.1)), "lettered_share": ((0.9, 1), (0.7, 1))},
+    "repetition": {"dup_char_share": ((0, 0.1), (0, 0.3)), "repeat_share": ((0, 0.1), (0, 0.3))},
+    "shouting": {"upper_share": ((0, 0.2), (0, 0.5)), "bang_share": ((0, 0.1), (0, 0.4))},
+    "sentences": {"words_per_end": ((1.5, 60), (1, 200))},
+}
+#: What is known of rules beforehand: one votes bad on so few good documents at most. Without such a bound classes
+#: are only told apart by what rules do together, and junk that a single rule sees would pass for good.
+ALARM = 0.005
+#: Where expectation-maximisation begins: the share of good documents; how often a rule votes bad on good ones, on junk
+#: of its own kind and on junk of another kind. This counts on as much as so many documents of each class.
+SHARE, START, STRENGTH = 0.5, (ALARM, 0.9, 0.1), 2.0
+
+
+def measures(text: str) -> tuple[list[int], dict[str, float]]:
+    """[n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words] and the measures that the text is long enough for."""
     words = text.encode("utf-8", "surrogatepass").split()
     n = len(words)
     chars = len(text) - sum(text.count(c) for c in " \t\n\x0b\x0c\r")
     symbols = sum(text.count(c) for c in SYMBOLS)
     lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
-    dups = len(lines) - len(set(lines))
+    once = set(lines)
     repeat = 0
     if n >= 3:
         windows = list(zip(words, words[1:], words[2:], strict=False))
@@ -56,49 +65,64 @@ def measures(text: str) -> tuple[list[int], list[float | None]]:
             for k in range(3):
                 cover[k : k + len(hit)] |= hit
             repeat = int(cover.sum())
-    base = [n, chars, symbols, dups, repeat]
+    base = [n, chars, symbols, len(lines) - len(once), repeat]
     if not n:
-        return base, [0, *[None] * (len(RULES) - 1)]
-    ascii_letters = np.frombuffer(b"".join(words), np.uint8)
-    upper, lower = int(((ascii_letters >= 65) & (ascii_letters <= 90)).sum()), int(((ascii_letters >= 97) & (ascii_letters <= 122)).sum())
-    lettered = upper + lower + int((ascii_letters >= 128).sum())
+        return base, {}
+    raw = np.frombuffer(b"".join(words), np.uint8)
+    upper, lower = int(((raw >= 65) & (raw <= 90)).sum()), int(((raw >= 97) & (raw <= 122)).sum())
     marked = sum(not w.isdisjoint(_SYMBOL_BYTES) for w in map(frozenset, words)) if symbols else 0
-    return base, [n, chars / n, symbols / n, dups / len(lines) if len(lines) >= 3 else None, repeat / n if n >= 20 else None, lettered / len(ascii_letters), upper / (upper + lower) if upper + lower >= 20 else None, sum(w.endswith(b"!!") for w in words) / n, marked / n]
-
-
-def votes(m: list[float | None]) -> int:
+    found = {"word_length": chars / n, "symbols_per_word": symbols / n, "marked_share": marked / n, "bang_share": sum(w.endswith(b"!!") for w in words) / n}
+    found["lettered_share"] = (upper + lower + int((raw >= 128).sum())) / len(raw)
+    if n >= 20:
+        found["repeat_share"] = repeat / n
+        found["words_per_end"] = n / max(1, sum(w.endswith(_ENDS) for w in words))
+    if len(lines) >= 3:
+        found["dup_char_share"] = 1 - sum(map(len, once)) / sum(map(len, lines))
+    if upper + lower >= 20:
+        found["upper_share"] = upper / (upper + lower)
+    return base, found
+
+
+def votes(found: dict[str, float]) -> int:
     """The votes as a number in base 3, a digit per rule: 0 bad, 1 abstains, 2 good."""
     out = 0
-    for x, (_, good, bad) in zip(m, RULES, strict=True):
-        v = 1 if x is None else 2 if good[0] <= x <= good[1] else 1 if bad[0] <= x <= bad[1] else 0
-        out = 3 * out + v
+    for ranges in RULES.values():
+        known = [(found[m], good, bad) for m, (good, bad) in ranges.items() if m in found]
+        is_bad = any(not bad[0] <= x <= bad[1] for x, _, bad in known)
+        is_good = known and all(good[0] <= x <= good[1] for x, good, _ in known)
+        out = 3 * out + (0 if is_bad else 2 if is_good else 1)
     return out
 
 
-def posteriors(counts: dict[int, int], rules: int, rounds: int = 50) -> dict[int, float]:
-    """Each pattern's probability of quality: two classes, votes independent within a class, abstaining says nothing.
+def estimated(counts: dict[int, int], rules: int, rounds: int = 500) -> tuple[dict[int, float], float, np.ndarray]:
+    """Each pattern's probability of quality, the share of good documents, and how often each rule that votes on a
+    document votes bad, as [class, rule]: good documents first, then junk of each rule's kind.
 
-    Accuracies start at 0.8 and are held in 0.6 to 0.98, so that classes keep their meaning: a rule's vote never
-    counts against itself.
+    Votes are independent within a class, abstaining says nothing.
     """
+    p = np.vstack([np.full((1, rules), START[0]), np.where(np.eye(rules, dtype=bool), *START[1:])])
+    share = np.array([SHARE, *[(1 - SHARE) / max(rules, 1)] * rules])
     keys = sorted(counts)
     if not keys:
-        return {}
+        return {}, SHARE, p
     v = np.array([[k // 3 ** (rules - 1 - i) % 3 for i in range(rules)] for k in keys])
-    good, bad, n = v == 2, v == 0, np.array([counts[k] for k in keys], float)
-    right = np.full((2, rules), 0.8)  # on good, on bad documents
-    share = 0.8
+    bad, good, n = (v == 0).astype(float), (v == 2).astype(float), np.array([counts[k] for k in keys], float)
+    prior, first, q = STRENGTH * p, STRENGTH * share, np.zeros((len(keys), rules + 1))
     for _ in range(rounds):
-        up = np.log(share) + good @ np.log(right[0]) + bad @ np.log(1 - right[0])
-        down = np.log(1 - share) + bad @ np.log(right[1]) + good @ np.log(1 - right[1])
-        q = 1 / (1 + np.exp(np.clip(down - up, -500, 500)))
-        g, b = n * q, n * (1 - q)
-        strength = 0.02 * n.sum()  # pseudo-votes in favour of the start
-        right[0] = (g @ good + 0.8 * strength) / (g @ (good | bad) + strength)
-        right[1] = (b @ bad + 0.8 * strength) / (b @ (good | bad) + strength)
-        right = np.clip(right, 0.6, 0.98)
-        share = float(np.clip(g.sum() / n.sum(), 0.5, 0.95))
-    return dict(zip(keys, q.tolist(), strict=True))
+        z = np.log(share) + bad @ np.log(p.T) + good @ np.log(1 - p.T)
+        z = np.exp(z - z.max(1, keepdims=True))
+        old, q = q, z / z.sum(1, keepdims=True)
+        weight = (n[:, None] * q).T
+        p = (weight @ bad + prior) / (weight @ (bad + good) + STRENGTH)
+        p[0] = np.minimum(p[0], ALARM)
+        share = (weight.sum(1) + first) / (n.sum() + STRENGTH)
+        if np.abs(q - old).max() < 1e-9:
+            break
+    return dict(zip(keys, q[:, 0].tolist(), strict=True)), float(share[0]), p
+
+
+def posteriors(counts: dict[int, int], rules: int) -> dict[int, float]:
+    return estimated(counts, rules)[0]
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
