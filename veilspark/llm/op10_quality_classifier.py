@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import rows_of, small_batches, table
+from veilspark.llm.common import in_parts, rows_of, table
 
 BUCKETS = 1 << 14
 #: Buckets after the hashed ones, and how often a marker counts.
@@ -150,13 +150,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], keep: list, text_col: str = "text") -> DataFrame:
     """The columns `keep` and score."""
-    small_batches(docs.sparkSession)
     df = docs.select(*keep, F.col(text_col).cast("string").cast("binary").alias("_text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1]), "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(*model)
-        for b in batches:
+        for b in in_parts(batches):
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([s.score(x or b"") for x in b.column(b.num_columns - 1).to_pylist()], pa.float64())], names=[*b.schema.names[:-1], "score"])
 
     return df.mapInArrow(run, schema)

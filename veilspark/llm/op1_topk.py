@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilspark.llm.common import dropped, materialise, small_batches, table
+from veilspark.llm.common import dropped, in_parts, materialise, table
 
 #: Score of "no candidate"; real scores are cut to more than this.
 NONE = -(2**63)
@@ -85,10 +85,9 @@ class TopLists:
 def top_k(queries: DataFrame, candidates: DataFrame, id_col: str = "id", vec_col: str = "embedding", k: int = 10, scale: int = 1024, tile: int = 2048, block_mb: int = 32) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of `queries` its k best rows of `candidates`."""
     spark = queries.sparkSession
-    small_batches(spark, tile)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_parts(batches, tile):
             found = [x for x in vectors(b.column(0), b.column(1), scale) if len(x[1])]
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _, _ in found], pa.int32()), pa.array([i.tobytes() for _, i, _ in found], pa.binary()), pa.array([m.tobytes() for _, _, m in found], pa.binary())], names=["dims", "ids", "v"])
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import dropped, materialise, rows_of, small_batches, table
+from veilspark.llm.common import dropped, in_parts, materialise, rows_of, table
 
 BLOCK = 64
 
@@ -58,12 +58,11 @@ def fingerprint(text: bytes, size: int, seed: int) -> int:
 
 def fingerprints(docs: DataFrame, keep: list, text_col: str = "text", size: int = 4, seed: int = 42) -> DataFrame:
     """The columns `keep` (strings or columns) and fp, the fingerprint as a signed long."""
-    small_batches(docs.sparkSession)
     df = docs.select(*keep, F.col(text_col).cast("string").cast("binary").alias("_text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1]), "fp long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_parts(batches):
             fp = np.array([fingerprint(x or b"", size, seed) for x in b.column(b.num_columns - 1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp.view(np.int64))], names=[*b.schema.names[:-1], "fp"])
 
@@ -211,7 +210,7 @@ def _by_text(df: DataFrame, schema: str, make: Callable[[list[bytes]], tuple]) -
     kinds = [pa.list_(pa.int64()) if isinstance(f.dataType, T.ArrayType) else pa.int64() for f in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_parts(batches, 500):
             made = [make((x or b"").lower().split()) for x in b.column(b.num_columns - 1).to_pylist()]
             more = [pa.array([x[k] for x in made], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *more], names=[*b.schema.names[:-1], *new.names])
@@ -272,7 +271,6 @@ def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Texts of the same words are one node. Close links (`core`), one a node and pair of tiles, are counted before
     the others, so that a large group isn't met in all its pairs: pairs inside what they join are left out.
     """
-    small_batches(docs.sparkSession)
     text = F.col(text_col).cast("string").cast("binary").alias("_text")
 
     def signature(words: list[bytes]) -> tuple:

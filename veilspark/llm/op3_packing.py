@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import materialise, small_batches, table
+from veilspark.llm.common import in_parts, materialise, table
 
 #: Kept per Python worker: tokenizer and ids of words seen, by vocabulary file.
 _STATE: dict = {}
@@ -102,12 +102,11 @@ def tokenizer(path: str | None) -> WordTokenizer:
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2048, end_id: int = 1, path: str | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row per piece."""
-    small_batches(docs.sparkSession, 256)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, part, at = tokenizer(path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], t.kind).tobytes()
-        for b in batches:
+        for b in in_parts(batches, 256):
             ids = [x + end for x in t.ids(b.column(1).to_pylist())]
             n = np.fromiter((len(x) // len(end) for x in ids), np.int64, len(ids))
             before = at + np.cumsum(n) - n
@@ -122,7 +121,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         base[part], at = at, at + total
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_parts(batches, 256):
             part = b.column(4).to_numpy(zero_copy_only=False)
             n, first = b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False) + np.array([base[p] for p in part.tolist()], np.int64)
             rows, starts, crcs = [], [], []

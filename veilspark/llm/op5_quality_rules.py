@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import materialise, small_batches, table
+from veilspark.llm.common import in_parts, materialise, table
 
 #: Characters counted as symbols (fixed value).
 SYMBOLS = "#*$%&|<>"
@@ -128,11 +128,10 @@ def posteriors(counts: dict[int, int], rules: int) -> dict[int, float]:
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """doc_id, the five counts, base_failed, votes, posterior, kept: a row per document."""
     spark = docs.sparkSession
-    small_batches(spark)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_parts(batches):
             found = [measures(x or "") for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([base[k] for base, _ in found], pa.int64()) for k in range(5)], pa.array([votes(m) for _, m in found], pa.int32())], names=["doc_id", *names, "votes"])
 

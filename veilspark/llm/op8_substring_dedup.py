@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import dropped, materialise, small_batches, table
+from veilspark.llm.common import dropped, in_parts, materialise, table
 
 NOTHING = hashlib.sha256(b"").hexdigest()
 #: Columns of what a unit sends, and of what it decides.
@@ -137,12 +137,11 @@ def _pieces(plan: Plan, cells: np.ndarray, *arrays: np.ndarray) -> Iterator[tupl
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13, unit_words: int = 1_000_000) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text: a row per document. kept_text is set only where a part was removed."""
     spark = docs.sparkSession
-    small_batches(spark, 500)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_parts(batches, 100):
             words = [(x or b"").split() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).digest() for w in words])], names=["doc_id", "n_words", "sha"])
 
