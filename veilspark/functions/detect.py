@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilspark.functions.spans import clusters, cut, matches
+
 # Severities from least to most, and each detector's type, category, severity and pattern.
 SEVERITIES = ("low", "medium", "high", "critical")
 PII = (
@@ -57,14 +59,6 @@ DETECTORS = tuple((t, c, s, p) for c, table in (("pii", PII), ("secret", SECRETS
 INTERNAL = r"^(?:10\.|127\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.)"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """start, end, value of each match, in code points."""
-    safe = F.translate(text, "\u0001\u0002", "\u0003\u0003")
-    parts = F.split(F.regexp_replace(safe, pattern, "\u0001$0\u0002"), "[\u0001\u0002]")
-    ends = F.aggregate(parts, F.array().cast("array<bigint>"), lambda a, x: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)).cast("long") + F.length(x)))
-    return F.filter(F.zip_with(parts, ends, lambda v, e: F.struct((e - F.length(v)).alias("start"), e.alias("end"), v.alias("value"))), lambda x, i: i % 2 == 1)
-
-
 def passes_luhn(value: Column) -> Column:
     digits = F.filter(F.split(F.reverse(F.regexp_replace(value, r"\D", "")), ""), lambda d: d != "")
     each = F.transform(digits, lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise(F.pmod(d.cast("int") * 2, F.lit(10)) + (d.cast("int") * 2 / 10).cast("int")))
@@ -97,12 +91,21 @@ def _shaped(text: Column, rank: int, kind: str, category: str, severity: str, pa
 
 
 def without_overlaps(found: Column) -> Column:
-    """The spans that stay when the most severe, then longest, then first detector's, take precedence; by start."""
+    """The spans that stay when the most severe, then longest, then first detector's, take precedence; by start.
+
+    Only spans that hang together by overlapping are compared with each other."""
     weight = lambda x: F.array_position(F.array(*map(F.lit, SEVERITIES)), x["severity"])
-    order = F.array_sort(F.transform(found, lambda x: F.struct((-weight(x)).alias("w"), (x["start"] - x["end"]).alias("n"), x["rank"].alias("k"), x["start"].alias("s"), x.alias("x"))))
-    kept = F.aggregate(order, F.array().cast(FOUND), lambda a, y: F.when(F.exists(a, lambda z: (z["start"] < y["x"]["end"]) & (y["x"]["start"] < z["end"])), a).otherwise(F.array_append(a, y["x"])))
-    by_start = F.array_sort(F.transform(kept, lambda x: F.struct(x["start"].alias("s"), x.alias("x"))))
-    return F.transform(by_start, lambda y: y["x"])
+
+    def resolved(c: Column) -> Column:
+        order = F.array_sort(F.transform(c, lambda x: F.struct((-weight(x)).alias("w"), (x["start"] - x["end"]).alias("n"), x["rank"].alias("k"), x["start"].alias("s"), x.alias("x"))))
+        kept = F.aggregate(order, F.array().cast(FOUND), lambda a, y: F.when(F.exists(a, lambda z: (z["start"] < y["x"]["end"]) & (y["x"]["start"] < z["end"])), a).otherwise(F.array_append(a, y["x"])))
+        return F.when(F.size(c) == 1, c).otherwise(_by_start(kept))
+
+    return F.flatten(F.transform(clusters(_by_start(found)), resolved))
+
+
+def _by_start(found: Column) -> Column:
+    return F.transform(F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("s"), x.alias("x")))), lambda y: y["x"])
 
 
 def masked(x: Column) -> Column:
@@ -121,9 +124,7 @@ def masked(x: Column) -> Column:
 
 def rewritten(text: Column, spans: Column, tag) -> Column:
     """The text with each span (by start, none overlapping) replaced by tag(span)."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    between = lambda a, x: F.substring(text, (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int"))
-    return F.aggregate(spans, start, lambda a, x: F.struct(x["end"].alias("at"), F.concat(a["out"], between(a, x), tag(x)).alias("out")), lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
+    return cut(text, spans, tag)
 
 
 def redacted(text: Column, spans: Column) -> Column:
