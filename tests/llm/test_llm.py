@@ -383,6 +383,52 @@ def test_disclosing_terms_anywhere_in_the_document(spark):
     assert not any(w in clean[i] for i in (None, 0, 1, 2, 3) for w in ("Zebulon", "Bo", "zeb77", "@")) and clean[10] == rows[4][1]
 
 
+def test_telling_terms_go_wherever_they_stand(spark):
+    """Also in documents without the entity, which they tell of as well; nulls, repeats and clashing columns are kept."""
+    rows = [(k, f"all people read the report number {k} sent by zz@corp.example to Zebulon of list {k}") for k in range(12)]
+    rows += [(100 + k, f"all people read the report number {k} of this long list sent to nobody") for k in range(400)]
+    rows += [(900, "Ask Zebulon, all people say"), (None, rows[0][1]), (3, rows[3][1]), (901, None), (902, "")]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, spans int, term int")
+    found = Counter((r.doc_id, tuple((x.rank, x.value) for x in r.spans)) for r in op9_pii.find(df).collect())
+    own = ((0, "zz@corp.example"), (4, "Zebulon"))
+    assert found[None, own] == 1 and found[3, own] == 2 and found[900, ((4, "Zebulon"),)] == 1 and found[901, ()] == found[902, ()] == 1
+    assert sum(n for (_, s), n in found.items() if any(x[0] == 4 for x in s)) == 15
+    clean = op9_pii.sanitised(df)
+    assert clean.columns == df.columns and clean.count() == len(rows)
+    text = {r.doc_id: r.text for r in clean.collect()}
+    assert text[900] == "Ask , all people say" and text[901] is None and text[902] == "" and "[EMAIL] to  of" in text[None]
+    assert op9_pii.sanitised(df.where("false")).count() == 0
+
+
+def test_disclosure_is_that_of_brute_force(spark):
+    """Random names beside addresses: the terms marked are those that counts over different texts give."""
+    r, rows = np.random.default_rng(21), []
+    names = ["Arlo", "Bram", "Cleo", "Dora", "Egon", "Fred"]
+    for k in range(600):
+        who = int(r.integers(12))
+        told = f" by {names[who % 6] if r.random() < (1, 0.9, 0.6)[who % 3] else names[int(r.integers(6))]} at w{who % 6}@corp.example" if who < 6 and k < 200 else ""
+        rows.append((k, f"note {'xyz'[k % 3]}{k % 50}{told} for all people of the town {k % 97}"))
+    rows += rows[:30]
+    found = op9_pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = {t for _, t in rows}
+    held = {t: (set(re.findall(r"w\d@corp.example", t)), set(re.findall(r"[a-z]{4,}|[a-z]+\d+|\b(?:to|of)\b", re.sub(r"\S+@\S+", "", t).lower()))) for t in texts}
+    n, n_e, n_t, joint = len(texts), Counter(), Counter(), Counter()
+    for es, ts in held.values():
+        n_e.update(es)
+        n_t.update(ts)
+        joint.update(itertools.product(es, ts))
+    weighed = [(e, t, j) for (e, t), j in joint.items() if j >= 2 and n_e[e] >= 2]
+    near = {t: sum(t in ts and bool({e for e in es if n_e[e] >= 2}) for es, ts in held.values()) for t in n_t}
+    weighed = [(e, t, j) for e, t, j in weighed if near[t] <= j * (n / n_e[e]) ** 0.1 * (1 + 1e-9)]
+    telling = set()
+    for e, t, j in weighed:
+        mean = n_t[t] * n_e[e] / n
+        if np.log(j / mean) / np.log(n / n_e[e]) >= 0.9 and j * np.log(j / mean) - j + mean >= np.log(len(weighed) / 0.05):
+            telling.add(t)
+    assert telling
+    assert {x.value.lower() for y in found for x in y.spans if x.rank == 4} == telling
+
+
 def test_an_entity_in_all_documents_discloses_nothing(spark):
     rows = [(i, f"mail me at all@corp.example please number {i}") for i in range(5)]
     found = op9_pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()

@@ -3,19 +3,22 @@
 Base findings (email, ip, card, phone) are found with their places by marking matches and splitting at the
 marks. The protected entities are the values so found. A term - a lower-cased run of four or more letters, of
 letters with digits (three or more), or of two or three letters that begin with a capital, outside the findings -
-co-occurs with the entities of its document, wherever both stand. Over all documents,
+co-occurs with the entities of its text, wherever both stand. Over all different texts of the corpus, so that copies
+of one text count once in each of the four counts,
 
     disclosure(term, entity) = PMI(term; entity) / information content of the entity
-                             = ln(joint * n / (df_term * df_entity)) / ln(n / df_entity),
-
-which is 1 when the term occurs nowhere without the entity and 0 when it says nothing about it. A term whose
-disclosure reaches `threshold`, seen with the entity in at least `support` different texts, is reported everywhere
-in the documents that hold the entity (kind "term"). Counts are of documents; support is of different texts, so that copies of
-one text reveal nothing by themselves. In sanitised texts findings are generalised to their kind and such terms
-are removed.
-
-Nulls: a null text is empty; a null id is kept. Repeated rows are found again. Empty tables give no rows. Texts
-are read whole.
+                             = ln(joint * n / (n_term * n_entity)) / ln(n / n_entity),
+
+which is 1 when the term occurs nowhere without the entity and 0 when it says nothing about it. A term is telling
+if its disclosure reaches `threshold` and chance doesn't explain `joint`: were both independent, joint would be
+Poisson with mean n_term * n_entity / n, and Chernoff's bound on reaching it, times the number of pairs weighed,
+must be at most `chance`. A single text proves no association, so `support` is two texts at least. Telling terms
+are reported wherever they stand in the corpus (kind "term"), with their entity or without it, since there they
+tell of it as well. In sanitised texts findings are generalised to their kind and such terms are removed.
+
+Nulls: a null text is empty; a null id is kept. Repeated rows are found again. Ties: findings that begin at the same
+place come in the order of the kinds. Empty tables give no rows. Texts of any length are read whole, at a cost near
+their size. Extra columns of any name are ignored by `find` and kept by `sanitised`.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.functions.spans import INSTEAD, MARKS, clusters, cut, matches
 from veilspark.llm.common import materialise, rows_of, table
 
 #: Kinds in the order in which equal starts are listed (fixed values).
@@ -44,15 +48,6 @@ PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Runs end where letters and digits do, and each is met once, so long ones cost no more than that.
 TERM = r"(?<![\p{L}\p{N}])(?:(?=\p{N}*+\p{L})(?=\p{L}*+\p{N})[\p{L}\p{N}]{3,}+|\p{L}{4,}+|\p{Lu}\p{L}{1,2}+(?![\p{L}\p{N}]))"
 SPAN = "array<struct<start:long,rank:int,end:long,value:string>>"
-MARKS = "\u0001\u0002"
-
-
-def located(text: Column, pattern: str) -> Column:
-    """start, end, value of each match of the pattern in a text without the two marks."""
-    parts = F.split(F.regexp_replace(text, pattern, "\u0001$0\u0002"), "[\u0001\u0002]")
-    ends = F.aggregate(parts, F.array().cast("array<bigint>"), lambda a, x: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)).cast("long") + F.length(x)))
-    pairs = F.zip_with(parts, ends, lambda v, e: F.struct((e - F.length(v)).alias("start"), e.cast("long").alias("end"), v.alias("value")))
-    return F.filter(pairs, lambda x, i: i % 2 == 1)
 
 
 def luhn(value: Column) -> Column:
@@ -78,12 +73,12 @@ def ranked(found: Column, rank: int) -> Column:
 
 def base_spans(text: Column) -> Column:
     """All base findings by start and kind."""
-    safe, found = F.translate(text, MARKS, "\u0003\u0003"), []
+    found = []
     for rank, kind in enumerate(KINDS[:4]):
         hint = text.contains(HINTS[kind]) if HINTS[kind] else text.rlike("[0-9](?:[ -]?[0-9]){13}")
         if kind == "ip":
             hint = hint & text.rlike(r"[0-9]\.[0-9]++\.[0-9]")
-        shaped = ranked(F.filter(located(safe, PATTERNS[kind]), partial(holds, kind)), rank)
+        shaped = ranked(F.filter(matches(text, PATTERNS[kind]), partial(holds, kind)), rank)
         found.append(F.when(hint, shaped).otherwise(F.array().cast(SPAN)))
     return F.array_sort(F.concat(*found))
 
@@ -93,57 +88,64 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat(F.element_at(names, x["rank"] + 1), F.lit(":"), x["start"], F.lit(":"), x["end"])), ",")
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, threshold: float = 0.9, small: int = 100_000) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 2, threshold: float = 0.9, chance: float = 0.05, small: int = 100_000) -> DataFrame:
     """doc_id, th (hash of the text), base, spans: a row per document; both arrays of start, rank, end, value."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), base_spans(text).alias("base"), text.alias("t"))
     entities = F.array_distinct(F.transform("base", lambda x: F.concat_ws(":", x["rank"].cast("string"), F.lower(x["value"]))))
-    base = base.select("doc_id", "th", "base", F.when(F.size("base") > 0, entities).alias("entities"), F.when(F.size("base") > 0, F.col("t")).alias("t"))
-    base = materialise(base, "findings")
-    held = base.where("entities is not null").select("doc_id", "th", F.explode("entities").alias("entity")).distinct()
-    # an entity in fewer different texts than `support` can have no term: what stands in its documents isn't counted
-    known = held.select("entity", "th").distinct().groupBy("entity").agg(F.count("*").alias("texts")).where(F.col("texts") >= support).select("entity")
-    held = materialise(held.join(known, "entity").groupBy("doc_id", "th").agg(F.collect_set("entity").alias("entities")), "held")
-    full = base.where("t is not null").select("doc_id", "th", "base", "t").dropDuplicates(["doc_id", "th"])
-    named = held.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("entities").alias("_e"))
-    pairs = full.join(named, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")))
-    pairs = pairs.select("doc_id", "th", "base", F.col("_e").alias("entities"), F.explode(located(F.translate("t", MARKS, "\u0003\u0003"), TERM)).alias("m")).select("doc_id", "th", "base", "entities", "m.start", "m.end", "m.value")
-    free = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
-    pairs = materialise(pairs.where(free).select("doc_id", "th", "entities", "start", "end", "value", F.lower("value").alias("term")), "terms")
-    once = pairs.select("entities", "term", "doc_id", "th").distinct().select(F.explode("entities").alias("entity"), "term", "doc_id", "th")
-    joint = once.groupBy("entity", "term", "th").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("joint"), F.count("*").alias("texts")).where(F.col("texts") >= support)
-    df_entity = base.where("entities is not null").select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
-    n = base.count()
-    # df_term is at least the documents in which the term stands with any of these entities: pairs that fall short even so
-    # need no count over the corpus. This leaves out nothing that could reach the threshold.
-    near = once.groupBy("term", "doc_id", "th").agg(F.lit(1)).groupBy("term").agg(F.count("*").alias("near"))
-    most = F.col("joint") * F.pow(n / F.col("df_entity"), F.lit(1 - threshold)) * (1 + 1e-9)
-    joint = materialise(joint.join(df_entity, "entity").join(near, "term").where(F.col("near") <= most).drop("near"), "joint")
-    wanted = joint.select("term").distinct()
-    found = F.regexp_extract_all(F.translate(F.col(text_col).cast("string"), MARKS, "\u0003\u0003"), F.lit(TERM), F.lit(0))
-    terms = docs.select(F.explode(F.array_distinct(F.transform(found, F.lower))).alias("term"))
-    if joint.count() <= small:  # the size is checked: so few terms are sent to the scan
-        df_term = terms.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_term"))
-    else:  # else counts are summed up before they meet
-        df_term = terms.groupBy("term").agg(F.count("*").alias("df_term")).join(wanted, "term", "left_semi")
-    known = joint.join(df_term, "term")
-    disclosure = F.try_divide(F.ln(F.col("joint") * n / (F.col("df_term") * F.col("df_entity"))), F.ln(n / F.col("df_entity")))
-    telling = known.where((F.col("df_entity") < n) & (disclosure >= threshold)).select("entity", "term")
-    told = pairs.select("doc_id", "th", "start", "end", "value", "term", F.explode("entities").alias("entity"))
-    more = told.join(telling, ["entity", "term"], "left_semi").groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_set(F.struct("start", F.lit(4).alias("rank"), "end", "value")).alias("more"))
+    base = materialise(base.select("doc_id", "th", "base", F.when(F.size("base") > 0, entities).alias("entities"), F.when(F.size("base") > 0, F.col("t")).alias("t")), "findings")
+    n = base.select("th").distinct().count()
+    full = base.where("t is not null").dropDuplicates(["th"])
+    held = full.select("th", F.explode("entities").alias("entity"))
+    # an entity in fewer different texts than `support` can have no term: what stands in its texts isn't counted
+    known = materialise(held.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support), "entities")
+    held = held.join(known, "entity").select("th", "entity", "n_entity")
+    named = full.join(held.select("th").distinct(), "th", "left_semi").select("th", F.explode(F.array_distinct(F.transform(_terms(F.col("t"), F.col("base")), lambda x: F.lower(x["value"])))).alias("term"))
+    named = materialise(named, "terms")
+    # n_term is at least the texts in which the term stands with any of these entities (near), and joint at most n_entity.
+    # Terms too frequent for all entities of a text are left out before they meet, pairs that fall short even so before
+    # the count over the corpus: that loses nothing that could reach the threshold.
+    near = named.groupBy("term").agg(F.count("*").alias("near"))
+    bound = held.groupBy("th").agg(F.max(F.col("n_entity") * F.pow(n / F.col("n_entity"), F.lit(1 - threshold))).alias("bound"))
+    named = named.join(near, "term").join(bound, "th").where(F.col("near") <= F.col("bound") * (1 + 1e-9)).select("th", "term", "near")
+    joint = named.join(held, "th").groupBy("entity", "term").agg(F.count("*").alias("joint"), F.first("near").alias("near"), F.first("n_entity").alias("n_entity")).where(F.col("joint") >= support)
+    most = F.col("joint") * F.pow(n / F.col("n_entity"), F.lit(1 - threshold)) * (1 + 1e-9)
+    joint = materialise(joint.where((F.col("near") <= most) & (F.col("n_entity") < n)).drop("near"), "joint")
+    wanted, pairs = joint.select("term").distinct(), joint.count()
+    # all texts again, for the terms that are left: how often they stand, and where they will have to be marked
+    runs = F.regexp_extract_all(F.translate(text, MARKS, INSTEAD), F.lit(TERM), F.lit(0))
+    stands = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), F.explode(F.array_distinct(F.transform(runs, F.lower))).alias("term"))
+    stands = stands.join(F.broadcast(wanted) if pairs <= small else wanted, "term", "left_semi")  # sent only if the checked size allows
+    stands = materialise(stands if pairs else stands.where("false"), "stands")
+    known = joint.join(stands.select("term", "th").distinct().groupBy("term").agg(F.count("*").alias("n_term")), "term")
+    expected = F.col("n_term") * F.col("n_entity") / n
+    surprise = F.col("joint") * F.ln(F.col("joint") / expected) - F.col("joint") + expected
+    disclosure = F.ln(F.col("joint") / expected) / F.ln(n / F.col("n_entity"))
+    telling = known.where((disclosure >= threshold) & (F.col("joint") > expected) & (surprise >= F.ln(F.lit(max(pairs, 1) / chance)))).select("term").distinct()
+    told = materialise(stands.join(telling, "term").groupBy("doc_id", "th").agg(F.collect_set("term").alias("told")), "told")
+    there = told.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "told")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("t")).dropDuplicates(["doc_id", "th"])
+    marked = own.join(there, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))).select("doc_id", "th", "t", "told")
+    marked = marked.join(base.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "base").dropDuplicates(["_d", "_t"]), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")))
+    more = marked.select(F.col("_d"), F.col("_t"), ranked(F.filter(_terms(F.col("t"), F.col("base")), lambda x: F.array_contains("told", F.lower(x["value"]))), 4).alias("more"))
     out = base.join(more, base.doc_id.eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left")
     return out.select("doc_id", "th", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", F.col("more").cast(SPAN)))).alias("spans"))
 
 
+def _terms(text: Column, base: Column) -> Column:
+    """Terms with their places, outside of the findings. Without findings all are; a text's findings are few, its terms many."""
+    return F.filter(matches(text, TERM), lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+
+
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with findings generalised to their kind in brackets and disclosing terms removed."""
     found = find(docs, id_col, text_col, **how).where(F.size("spans") > 0).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("spans").alias("_s")).dropDuplicates(["_d", "_t"])
     text, tags = F.col("_text"), F.array(*[F.lit(x) for x in ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "")])
-    start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit("").alias("out"))
-    step = lambda a, x: F.when(x["start"] < a["upto"], a).otherwise(F.struct(x["end"].alias("upto"), F.concat(a["out"], F.substring(text, (a["upto"] + 1).cast("int"), (x["start"] - a["upto"]).cast("int")), F.element_at(tags, x["rank"] + 1)).alias("out")))
-    fresh = F.aggregate("_s", start, step, lambda a: F.concat(a["out"], F.substring(text, (a["upto"] + 1).cast("int"), F.length(text))))
+    # of findings that overlap the first one's tag stands for all
+    joined = F.transform(clusters(F.col("_s")), lambda c: F.struct(c[0]["start"].alias("start"), F.array_max(F.transform(c, lambda x: x["end"])).alias("end"), c[0]["rank"].alias("rank")))
     own = docs.select(rows_of(docs), F.col(id_col).alias("_i"), F.col(text_col).cast("string").alias("_text")).withColumn("_h", F.xxhash64(F.coalesce("_text", F.lit(""))))
     out = own.join(found, F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left")
+    fresh = cut(text, joined, lambda x: F.element_at(tags, x["rank"] + 1))
     return out.select(F.col("_row").withField(text_col, F.when(F.col("_s").isNull(), text).otherwise(fresh)).alias("_row")).select("_row.*")
 
 
