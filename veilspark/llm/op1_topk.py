@@ -1,14 +1,15 @@
 """Exact top-k search: tiled matrix products of query blocks and shards, partial selection per tile, tree merging.
 
 The query set is packed into tiles in the shared folder and visited in blocks of at most `block_mb`; a block,
-and only a block, is sent to the tasks, so what is sent has a fixed bound. Each task multiplies the block with
-tiles of its shard and keeps a top list per query; the lists of all shards meet in two levels (query and salt,
+and only a block, is sent to the tasks, so what is sent has a fixed bound. Each task multiplies tiles of the block's
+queries with tiles of its shard, so a product has at most tile x tile scores, and keeps a top list per query; the lists of all shards meet in two levels (query and salt,
 then query), so no task gathers more than k rows per shard or salt.
 
 Nulls: vectors that are null, or hold a null or non-finite component, and rows without id take no part.
 Vectors are only compared with vectors of the same length. Ties: the smaller id ranks first. Rows with the
 query's id are the query's own and never candidates. Repeated query rows each get a list. Empty tables give no
-rows. Scores outside the long range are cut to its ends.
+rows. Scores outside the long range are cut to its ends. Vectors of any length are taken whole. Extra columns of any
+name are ignored: only the id and the vector are read.
 """
 
 from __future__ import annotations
@@ -58,14 +59,20 @@ def vectors(ids: pa.Array, col: pa.Array, scale: int) -> Iterator[tuple[int, np.
 class TopLists:
     """The k best of what was shown so far, for each query of a block."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
-        self.own, self.q, self.k = ids, q, k
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, tile: int = 2048):
+        self.own, self.q, self.k, self.tile = ids, q, k, tile
         self.score, self.id = np.full((len(q), k), NONE, np.int64), np.zeros((len(q), k), np.int64)
 
     def show(self, ids: np.ndarray, c: np.ndarray) -> None:
-        s = product(self.q, c)
-        s[self.own[:, None] == ids[None, :]] = NONE
-        floor = self.score[:, -1].copy()
+        """A tile of candidates, to one tile of queries after the other."""
+        for at in range(0, len(self.q), self.tile):
+            self._show(slice(at, at + self.tile), ids, c)
+
+    def _show(self, part: slice, ids: np.ndarray, c: np.ndarray) -> None:
+        s = product(self.q[part].astype(np.float64), c)
+        s[self.own[part, None] == ids[None, :]] = NONE
+        best, who_best = self.score[part], self.id[part]  # views
+        floor = best[:, -1].copy()
         reach = (s >= floor[:, None]) & (s != NONE)
         if reach.sum() > 32 * s.shape[0] and s.shape[1] > self.k:  # partial selection: the k-th value of the tile
             floor = np.maximum(floor, np.partition(s, s.shape[1] - self.k, axis=1)[:, -self.k])
@@ -74,24 +81,26 @@ class TopLists:
         if not len(row):
             return
         old = np.repeat(np.arange(len(s)), self.k)
-        row, score, who = np.concatenate([old, row]), np.concatenate([self.score.ravel(), s[row, at]]), np.concatenate([self.id.ravel(), ids[at]])
+        row, score, who = np.concatenate([old, row]), np.concatenate([best.ravel(), s[row, at]]), np.concatenate([who_best.ravel(), ids[at]])
         order = np.lexsort((who, ~score, row))  # ~: descending
         row, score, who = row[order], score[order], who[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
         keep = place < self.k
-        self.score[row[keep], place[keep]], self.id[row[keep], place[keep]] = score[keep], who[keep]
+        best[row[keep], place[keep]], who_best[row[keep], place[keep]] = score[keep], who[keep]
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, id_col: str = "id", vec_col: str = "embedding", k: int = 10, scale: int = 1024, tile: int = 2048, block_mb: int = 32) -> DataFrame:
+def top_k(queries: DataFrame, candidates: DataFrame, id_col: str = "id", vec_col: str = "embedding", k: int = 10, scale: int = 1024, tile: int = 2048, block_mb: int = 64) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of `queries` its k best rows of `candidates`."""
     spark = queries.sparkSession
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_parts(batches, tile):
             found = [x for x in vectors(b.column(0), b.column(1), scale) if len(x[1])]
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _, _ in found], pa.int32()), pa.array([i.tobytes() for _, i, _ in found], pa.binary()), pa.array([m.tobytes() for _, _, m in found], pa.binary())], names=["dims", "ids", "v"])
+            wide = [bool(len(m) and np.abs(m).max(initial=0) > 2**24) for _, _, m in found]  # others are exact in 32 bits
+            body = [m.astype(np.float64 if w else np.float32).tobytes() for (_, _, m), w in zip(found, wide, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _, _ in found], pa.int32()), pa.array([i.tobytes() for _, i, _ in found], pa.binary()), pa.array(body, pa.binary()), pa.array(wide, pa.bool_())], names=["dims", "ids", "v", "wide"])
 
-    tiles = materialise(queries.select(id_col, vec_col).mapInArrow(pack, "dims int, ids binary, v binary"), "topk-queries")
+    tiles = materialise(queries.select(id_col, vec_col).mapInArrow(pack, "dims int, ids binary, v binary, wide boolean"), "topk-queries")
     outs: list[DataFrame] = []
 
     def against(block: list) -> None:
@@ -100,12 +109,12 @@ def top_k(queries: DataFrame, candidates: DataFrame, id_col: str = "id", vec_col
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lists: dict[int, TopLists] = {}
             for d in {x[0] for x in sent.value}:
-                ids = np.concatenate([np.frombuffer(i, np.int64) for e, i, _ in sent.value if e == d])
-                lists[d] = TopLists(ids, np.concatenate([np.frombuffer(v, np.float64).reshape(-1, d) if d else np.zeros((len(i) // 8, 0)) for e, i, v in sent.value if e == d]), k)
-            for b in batches:
+                ids = np.concatenate([np.frombuffer(i, np.int64) for e, i, _, _ in sent.value if e == d])
+                lists[d] = TopLists(ids, np.concatenate([np.frombuffer(v, np.float64 if w else np.float32).reshape(-1, d) if d else np.zeros((len(i) // 8, 0)) for e, i, v, w in sent.value if e == d]), k, tile)
+            for b in in_parts(batches, tile):
                 for d, ids, m in vectors(b.column(0), b.column(1), scale):
-                    for at in range(0, len(ids), tile) if d in lists else ():
-                        lists[d].show(ids[at : at + tile], m[at : at + tile])
+                    if d in lists:
+                        lists[d].show(ids, m)
             shard = TaskContext.get().partitionId()
             for d, t in lists.items():
                 row, at = np.nonzero(t.score != NONE)
@@ -120,7 +129,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, id_col: str = "id", vec_col
 
     block, held = [], 0
     for r in tiles.toLocalIterator():
-        block.append((r.dims, bytes(r.ids), bytes(r.v)))
+        block.append((r.dims, bytes(r.ids), bytes(r.v), r.wide))
         held += len(r.ids) + len(r.v)
         if held >= block_mb << 20:
             against(block)
