@@ -1,8 +1,10 @@
 """Mixing sources to target weights: weighted fair queueing.
 
 Targets: sources in code point order (null last) weigh `weights`, repeating; together they take `share` of all
-words. A target stops at `cap` times its source's words, and the excess goes to the others by weight. Sorted by
-cap over weight, the sources that stop are a prefix, so one pass over the sources' totals finds the level.
+words. A target stops at `cap` times its source's words, and the excess goes to the others by weight: a level, words
+for a unit of weight, is shared out anew among the sources that it doesn't fill until it fills no more (Newton's
+method on a concave line of pieces, a few passes over a row per source, of exact whole numbers). Sources are numbered
+by a prefix sum over ranges, so no step gathers them.
 
 Queueing: each source's documents are put in a hashed order, up to `cap` times over; a copy's virtual finish
 time is its source's words so far over the source's target. All copies are range-sorted by finish time and cut
@@ -10,7 +12,8 @@ where the total is spent. Both sums are two-pass prefix sums, so no source meets
 
 Nulls: a null text has 0 words; null sources form one source, the last; a null id is kept. Repeated rows are
 documents of their own. Ties in finish time go by hash, id and copy. Empty tables give no rows. A source without
-words has target 0. Reruns agree, whatever the number of tasks.
+words has target 0. Reruns agree, whatever the number of tasks. Texts of any length are counted whole. Extra columns
+of any name are ignored by `mix` and kept by `mixed`.
 """
 
 from __future__ import annotations
@@ -23,12 +26,22 @@ from veilspark.llm.common import materialise, rows_of, running_sum, table, word_
 
 def targets(sizes: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
     """source, source_size, target from a row per source with its words."""
-    listed = "array(" + ", ".join(f"{float(w)}D" for w in weights) + ")"
-    ranked = sizes.selectExpr("source", "source_size", f"element_at({listed}, cast((row_number() over (order by source nulls last) - 1) % {len(weights)} + 1 as int)) as w", f"{share}D * sum(source_size) over () as budget", f"cast({cap} * source_size as double) as most")
-    at = "over (order by most / w, source nulls last rows between unbounded preceding and 1 preceding)"
-    level = ranked.selectExpr("*", f"(budget - coalesce(sum(most) {at}, 0D)) / (sum(w) over () - coalesce(sum(w) {at}, 0D)) as level", "row_number() over (order by most / w, source nulls last) as at")
-    found = level.selectExpr("*", "min_by(level, case when level * w <= most then at end) over () as fair")
-    return found.selectExpr("source", "source_size", "coalesce(least(fair * w, most), most) as target")
+    ranked = running_sum(sizes.select("source", "source_size", F.lit(0).alias("all"), F.lit(1).cast("long").alias("one")), "all", ["source"], "one", "sources")
+    ranked = materialise(ranked.select("source", "source_size", (F.col("before") % len(weights)).cast("int").alias("turn")), "weighed")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("turn") + 1)
+    # by turn, at most as many rows as weights: sources that a level leaves unfilled, words, words of those it fills
+    total = sum(r["s"] or 0 for r in ranked.groupBy("turn").agg(F.sum("source_size").alias("s")).collect())
+    level, filled = 0.0, -1
+    while True:
+        open_ = F.col("source_size") * cap > level * weight if filled >= 0 else F.lit(True)
+        found = ranked.groupBy("turn").agg(F.count_if(open_).alias("n"), F.sum(F.when(~open_, F.col("source_size"))).alias("s"), F.count_if(~open_).alias("full")).collect()
+        left = sum(weights[r["turn"]] * r["n"] for r in found)
+        if sum(r["full"] for r in found) == filled or not left:
+            break
+        filled = sum(r["full"] for r in found)
+        level = (share * total - cap * sum(r["s"] or 0 for r in found)) / left
+    most = F.col("source_size").cast("double") * cap
+    return ranked.select("source", "source_size", (F.least(F.lit(level) * weight, most) if left else most).alias("target"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rid_col: str | None = None, **how) -> DataFrame:
