@@ -5,12 +5,15 @@ and three markers: a word repeated at once, a word pair seen before, a line seen
 averaged and a softmax gives the label. The average is linear in the vectors, so a trained model is folded to
 one number per bucket, and a word's sum is computed once and remembered (a bounded memory per worker).
 
-Training takes at most `rows` labelled documents, those with the smallest hash of the id (a documented bound:
-the classifier needs no more); all texts are read whole. The fold crc32(id) mod 4 = 2 never trains.
+Training takes at most `rows` labelled documents, those with the smallest hash of the id, one text for an id and of
+a text its `features` most frequent buckets (documented bounds: the classifier needs no more, and the driver gets at
+most rows x features x 6 bytes); all texts are read and scored whole. The fold crc32(id) mod 4 = 2 never trains.
 
 Nulls: a null text is empty and scores as the label's share; null labels are ignored; a document with several
-labels takes their rounded mean; a null id is scored, held out as false. Repeated rows are scored again. Without
-training rows of both labels each score is their share (0.5 without any). Empty tables give no rows.
+labels takes their rounded mean (a tie is label 1); a null id is scored, held out as false. Repeated rows are scored
+again; of different texts with one id the one with the smallest hash trains. At exactly `least` a document is
+predicted 1. Without training rows of both labels each score is their share (0.5 without any). Empty tables give no
+rows. Extra columns of any name are ignored by `classify` and kept by `accepted`.
 """
 
 from __future__ import annotations
@@ -57,14 +60,16 @@ def markers(words: list[bytes], text: bytes) -> list[int]:
     return [sum(map(eq, words, words[1:])), max(0, len(words) - 1 - len(set(zip(words, words[1:], strict=False)))), len(lines) - len(set(lines))]
 
 
-def counted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and how often the text has each, for training."""
+def counted(text: bytes, features: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent buckets and how often the text has each, for training; markers always."""
     words = text.split()
     if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
     count = np.bincount(grams(words)[0], minlength=BUCKETS + MARKERS)
     count[BUCKETS:] = [WEIGHT * m for m in markers(words, text)]
     at = np.flatnonzero(count)
+    if len(at) > features:
+        at = np.sort(at[np.lexsort((at, -count[at], at < BUCKETS))[:features]])
     return at.astype(np.int32), count[at].astype(np.float32)
 
 
@@ -133,18 +138,19 @@ def held_out(id_col):
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = 5000) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = 5000, features: int = 4096) -> tuple[np.ndarray, float]:
     """A model from at most `rows` labelled documents outside the held-out fold."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     chosen = known.groupBy(F.col(id_col).alias("_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [counted(x or b"") for x in b.column(2).to_pylist()]
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_parts(batches, 100):
+            found = [counted(x or b"", features) for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([i.astype(np.uint16).tobytes() for i, _ in found], pa.binary()), pa.array([n.astype(np.float32).tobytes() for _, n in found], pa.binary())], names=["id", "label", "ids", "n"])
 
-    picked = docs.select(F.col(id_col).alias("_d"), F.col(text_col).cast("string").cast("binary").alias("_t")).join(F.broadcast(chosen), F.col("_d") == F.col("_id")).select(F.col("_id").cast("string").alias("id"), "_label", "_t")
-    got = sorted(picked.mapInArrow(features, "id string, label int, ids binary, n binary").collect(), key=lambda r: (r["id"], bytes(r["ids"])))  # at most `rows` ids
+    picked = docs.select(F.col(id_col).alias("_d"), F.col(text_col).cast("string").cast("binary").alias("_t")).join(F.broadcast(chosen), F.col("_d") == F.col("_id"))
+    picked = picked.groupBy("_id").agg(F.min_by(F.struct("_label", "_t"), F.struct(F.xxhash64("_t"), "_t")).alias("x")).select(F.col("_id").cast("string").alias("id"), "x._label", "x._t")
+    got = sorted(picked.mapInArrow(counts, "id string, label int, ids binary, n binary").collect(), key=lambda r: r["id"])  # a row per id, at most `rows`
     return trained([(np.frombuffer(r["ids"], np.uint16).astype(np.int32), np.frombuffer(r["n"], np.float32)) for r in got], np.array([r["label"] for r in got], np.int64))
 
 
