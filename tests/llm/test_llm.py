@@ -53,6 +53,31 @@ def test_topk(spark):
     assert op1_topk.top_k(e.where("false"), e, "vec_id", "embedding").count() == 0
 
 
+def test_topk_holds_one_tile_of_scores():
+    """65,000 queries, more than a block holds of 64 dimensions, against a tile of candidates."""
+    import tracemalloc
+
+    r = np.random.default_rng(5)
+    q, c = r.integers(-1024, 1024, (65_000, 64)).astype(np.float32), r.integers(-1024, 1024, (2048, 64)).astype(np.float64)
+    lists = op1_topk.TopLists(np.arange(65_000), q, 10)
+    tracemalloc.start()
+    lists.show(np.arange(70_000, 72_048), c)
+    lists.show(np.arange(80_000, 82_048), c[::-1])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6
+    for k in (0, 2047, 2048, 64_999):
+        s = (c @ q[k].astype(np.float64)).astype(int).tolist()
+        both = sorted([(-x, 70_000 + i) for i, x in enumerate(s)] + [(-x, 80_000 + i) for i, x in enumerate(s[::-1])])[:10]
+        assert list(zip((-lists.score[k]).tolist(), lists.id[k].tolist())) == both
+
+
+def test_topk_ignores_other_columns(spark):
+    e = spark.createDataFrame([(i, [float(i), 1.0], i % 3, "x") for i in range(12)], "vec_id long, embedding array<double>, rank int, score string")
+    got = op1_topk.top_k(e.where("vec_id = 0"), e, "vec_id", "embedding", k=20)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"] and [(x.rank, x.vec_id) for x in got.orderBy("rank").collect()] == [(i, i) for i in range(1, 12)]
+
+
 def brute_fingerprint(text):
     import xxhash
 
@@ -107,6 +132,47 @@ def test_near_copies_of_the_pipeline(spark, docs, none):
     assert corpus_pipeline.near_dedup(spark, docs, "").columns == docs.columns and corpus_pipeline.near_dedup(spark, none, "").count() == 0
 
 
+def test_exact_links_are_those_of_sets():
+    r = np.random.default_rng(9)
+    for _ in range(20):
+        pool = np.unique(r.integers(0, 2**63, 200).astype(np.uint64))
+        sets = [np.unique(r.choice(pool, int(r.integers(1, 60)))) for _ in range(25)]
+        sets += [np.unique(np.append(x[1:], r.choice(pool, 1))) for x in sets if len(x) > 1]
+        for a, b in ((sets, None), (sets[:20], sets[20:])):
+            every = a + (b or [])
+            near = [(i, j) for i in range(len(a)) for j in (range(len(a)) if b is None else range(len(a), len(every))) if i != j and len(np.intersect1d(every[i], every[j])) >= 0.8 * len(np.union1d(every[i], every[j]))]
+            child, parent = op2_simhash.exact_links(a, b, 0.8)
+            assert grouped(len(every), near) == grouped(len(every), zip(child.tolist(), parent.tolist()))
+            assert len(child) < len(every)
+
+
+def grouped(n, pairs):
+    group = list(range(n))
+    for i, j in pairs:
+        old, new = max(group[i], group[j]), min(group[i], group[j])
+        group = [new if g == old else g for g in group]
+    return group
+
+
+@pytest.mark.parametrize("block", [100_000, 3_000])
+def test_a_large_group_of_near_copies(spark, block):
+    """Copies that fall short of each other by pairs, but hang together: groups are those of brute force, in one block or many."""
+    r, rows = np.random.default_rng(18), []
+    w = words(150, 3000).split()
+    for k in range(150):
+        x = list(w)
+        for at in r.choice(len(x), 1 + k % 3, replace=False):
+            x[at] = f"changed{k}"
+        rows.append(" ".join(x))
+    rows += [words(40 + k, 5000 + k) for k in range(60)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, rows)]
+    near = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert 500 < len(near) < 11_000
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = {x.doc_id for x in op2_simhash.similar_dedup(df, block=block, tile=32).collect()}
+    assert kept == set(grouped(len(rows), near))
+
+
 def test_simhash_links_many_near_copies():
     r = np.random.default_rng(1)
     base = r.integers(0, 2**63, 40, dtype=np.uint64)
@@ -182,6 +248,37 @@ def test_mixing(spark, docs, none):
     assert op4_mixing.mix(none).count() == 0 and op4_mixing.mixed(none).count() == 0
 
 
+def test_mixing_comes_near_its_targets(spark):
+    """Many sources, a hot one, one that its weight would overfill: taken words are within two documents of the target."""
+    r = np.random.default_rng(31)
+    rows = [(k, words(int(n), k), f"host{0 if k % 3 == 0 else int(h)}") for k, (n, h) in enumerate(zip(r.integers(1, 40, 900), r.integers(1, 25, 900)))]
+    rows += [(1000, "a few words", "aa"), (1001, None, "zz"), (1002, "x y", None)]
+    got = op4_mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    of = {i: s for i, _, s in rows}
+    taken, target, size = Counter(), {}, Counter()
+    for x in got:
+        taken[of[x.doc_id]] += x.taken
+        size[of[x.doc_id]] += x["size"]
+        target[of[x.doc_id]] = x.target
+        assert x.taken in (0, x["size"], 2 * x["size"])
+    assert sum(target.values()) == pytest.approx(1.5 * sum(size.values()))
+    for s, want in target.items():
+        assert abs(taken[s] - want) <= 80 and want <= 2 * size[s] + 1e-9, s
+
+
+@pytest.mark.parametrize("sizes", [[], [0], [5], [1, 1, 1], [100, 1, 1, 50, 3, 0, 0, 900, 2, 2, 2], list(range(40))])
+def test_targets_are_those_of_brute_force(spark, sizes):
+    got = {x.source: x.target for x in op4_mixing.targets(spark.createDataFrame([(f"s{k:03}", n) for k, n in enumerate(sizes)], "source string, source_size long")).collect()}
+    weight, full, level = [(3, 1, 2)[k % 3] for k in range(len(sizes))], set(), 0.0
+    while len(full) < len(sizes):
+        level = (1.5 * sum(sizes) - 2 * sum(sizes[k] for k in full)) / sum(w for k, w in enumerate(weight) if k not in full)
+        more = {k for k in range(len(sizes)) if k not in full and level * weight[k] > 2 * sizes[k]}
+        if not more:
+            break
+        full |= more
+    assert got == pytest.approx({f"s{k:03}": 2.0 * sizes[k] if k in full else level * weight[k] for k in range(len(sizes))})
+
+
 def test_quality_rules(docs, none):
     got = {(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in op5_quality_rules.quality(docs).collect()}
     want = set()
@@ -536,6 +633,8 @@ def test_classifier(spark, docs, none):
     assert np.mean([a == b for a, b in held]) > 0.95
     flipped = labels.withColumn("quality", __import__("pyspark").sql.functions.expr("case when crc32(cast(doc_id as string)) % 4 = 2 then 1 - quality else quality end"))
     assert {(x.doc_id, x.score) for x in op10_quality_classifier.classify(df, flipped).collect()} == {(x.doc_id, x.score) for x in got}
+    twice = df.union(df).union(spark.createDataFrame([(3, "another text")], "doc_id long, text string"))
+    assert len(op10_quality_classifier.classify(twice, labels).collect()) == 601
     odd = op10_quality_classifier.classify(docs, labels).collect()
     assert len(odd) == len(ROWS) and all(0 <= x.score <= 1 for x in odd)
     kept = op10_quality_classifier.accepted(docs, labels)
@@ -544,6 +643,19 @@ def test_classifier(spark, docs, none):
     assert op10_quality_classifier.classify(none, labels).count() == 0
 
 
+def test_training_takes_bounded_bytes(spark):
+    """Labelled texts of 20,000 words, and ids with many texts: what the driver gets has the documented size."""
+    r = np.random.default_rng(14)
+    ids, n = op10_quality_classifier.counted(" ".join("".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(20_000)).encode(), 1000)
+    assert len(ids) == len(n) == 1000 and set(ids[-2:]) <= set(range(op10_quality_classifier.BUCKETS, op10_quality_classifier.BUCKETS + 3)) | set(ids.tolist())
+    few, _ = op10_quality_classifier.counted(b"a b c a b", 1000)
+    assert len(few) < 1000 and (np.diff(few) > 0).all()
+    df = spark.createDataFrame([(k % 4, words(30, k)) for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(4)], "doc_id long, quality int, toxic int")
+    one, two = (op10_quality_classifier.fit(x, labels) for x in (df, df.repartition(7).union(df)))
+    assert (one[0] == two[0]).all() and one[1] == two[1]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import dropped, in_parts, materialise, rows_of, table
+from veilspark.llm.common import dropped, in_parts, materialise, partitions, rows_of, table
 
 BLOCK = 64
 
@@ -207,7 +207,7 @@ def _by_text(df: DataFrame, schema: str, make: Callable[[list[bytes]], tuple]) -
     import pyspark.sql.types as T
 
     new = T.StructType.fromDDL(schema)
-    kinds = [pa.list_(pa.int64()) if isinstance(f.dataType, T.ArrayType) else pa.int64() for f in new]
+    kinds = [pa.binary() if isinstance(f.dataType, T.BinaryType) else pa.int64() for f in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_parts(batches, 500):
@@ -218,58 +218,111 @@ def _by_text(df: DataFrame, schema: str, make: Callable[[list[bytes]], tuple]) -
     return df.mapInArrow(run, T.StructType([*df.schema.fields[:-1], *new.fields]))
 
 
-def near_pairs(nodes: DataFrame, radius: int, wide: int, least: float, tile: int, first: bool) -> DataFrame:
-    """u, v: pairs of nodes (node, fp, fp2, k, core) of different cores whose fingerprints differ in at most `radius`
-    bits, both fingerprints in at most `wide`, and whose counts of shingles k allow a similarity of `least`.
-    With `first`, in each pair of tiles only the first partner of a node."""
-    ones = F.bit_count(F.col("fp")).cast("int")
-    subs = {r["ones"]: -(-r["count"] // tile) for r in nodes.groupBy(ones.alias("ones")).count().collect()}  # 65 rows at most
-    of = F.create_map(*[F.lit(x) for kv in (subs or {0: 1}).items() for x in kv])
-    dealt = nodes.withColumn("p", ones).withColumn("s", F.pmod(F.xxhash64("node", F.lit(7)), of[F.col("p")]).cast("int"))
-    tiles = dealt.groupBy("p", "s").agg(F.collect_list(F.struct("node", "fp", "fp2", "k", "core")).alias("rows"))
+def _tiles(count: list[tuple[int, int, int]], tile: int) -> list[tuple[int, int, int, int]]:
+    """band, first and last population count, number of parts: runs of population counts of one band with at most `tile`
+    rows; a single population count with more is dealt into parts."""
+    out: list[tuple[int, int, int, int]] = []
+    held = 0
+    for band, p, n in sorted(count):
+        if out and out[-1][0] == band and held + n <= tile:
+            out[-1], held = (band, out[-1][1], p, 1), held + n
+        else:
+            out.append((band, p, p, -(-n // tile)))
+            held = n
+    return out
+
+
+def near_forests(nodes: DataFrame, radius: int, wide: int, least: float, tile: int) -> DataFrame:
+    """u, v: a spanning forest, from each pair of tiles, of the nodes (node, fp, fp2, k) whose fingerprints differ in at
+    most `radius` bits, both fingerprints in at most `wide`, and whose counts of shingles k allow a similarity of `least`.
+
+    Bands of k are as wide as `least` allows, so partners lie in the same or the next band; tiles of a band hold runs
+    of population counts, and pairs of tiles whose counts differ by more than the radius are skipped.
+    """
+    spark = nodes.sparkSession
+    band = F.floor(F.log("k") / F.log(F.lit(1 / least)) + 1e-9).cast("int")
+    dealt = nodes.withColumn("band", band).withColumn("ones", F.bit_count("fp").cast("int"))
+    # 65 rows a band at most, and bands grow with the logarithm of the longest text
+    tiles = _tiles([tuple(r) for r in dealt.groupBy("band", "ones").count().collect()], tile)
+    which = [(b, p, t, parts) for t, (b, low, high, parts) in enumerate(tiles) for p in range(low, high + 1)]
+    known = spark.createDataFrame(which, "band int, ones int, t int, parts int")
+    dealt = dealt.join(F.broadcast(known), ["band", "ones"]).withColumn("s", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
+    held = dealt.groupBy("t", "s").agg(F.collect_list(F.struct("node", "fp", "fp2", "k")).alias("rows"))
+    of_band: dict[int, list[int]] = {}
+    for t, x in enumerate(tiles):
+        of_band.setdefault(x[0], []).append(t)
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p, s, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                body, me = np.stack([c.to_numpy(zero_copy_only=False) for c in rows.values.flatten()]).astype(np.int64).tobytes(), (p, s)
-                for q in range(p - radius, p + radius + 1):
-                    for other in ((q, t) for t in range(subs.get(q, 0))):
-                        (p1, s1), (p2, s2) = min(me, other), max(me, other)
-                        yield pa.RecordBatch.from_pydict({"p1": pa.array([p1], pa.int32()), "s1": pa.array([s1], pa.int32()), "p2": pa.array([p2], pa.int32()), "s2": pa.array([s2], pa.int32()), "first": [me <= other], "rows": [body]})
+            for t, s, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                body, me = np.stack([c.to_numpy(zero_copy_only=False) for c in rows.values.flatten()]).astype(np.int64).tobytes(), (t, s)
+                at, low, high, _ = tiles[t]
+                for u in (u for near in (at - 1, at, at + 1) for u in of_band.get(near, ())):
+                    if max(tiles[u][1] - high, low - tiles[u][2]) <= radius:
+                        for other in ((u, part) for part in range(tiles[u][3])):
+                            (t1, s1), (t2, s2) = min(me, other), max(me, other)
+                            yield pa.RecordBatch.from_pydict({"t1": pa.array([t1], pa.int32()), "s1": pa.array([s1], pa.int32()), "t2": pa.array([t2], pa.int32()), "s2": pa.array([s2], pa.int32()), "first": [me <= other], "rows": [body]})
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.frombuffer(x, np.int64).reshape(5, -1) for x in g.sort_values("first", ascending=False)["rows"]]
+        parts = [np.frombuffer(x, np.int64).reshape(4, -1) for x in g.sort_values("first", ascending=False)["rows"]]
+        parts = [x[:, np.argsort(x[3], kind="stable")] for x in parts]
         same, a, b = len(parts) == 1, parts[0], parts[-1]
-        fa, fb, out, met = a[1].view(np.uint64), b[1].view(np.uint64), [], np.zeros(b.shape[1], bool)
+        both, shift = a[0] if same else np.concatenate([a[0], b[0]]), 0 if same else a.shape[1]
+        fa, fb, parent = a[1].view(np.uint64), b[1].view(np.uint64), np.arange(len(both))
         for at in range(0, a.shape[1], 64):
-            low = at if same else 0
-            i, j = np.nonzero(np.bitwise_count(fa[at : at + 64, None] ^ fb[None, low:]) <= radius)
+            upto = min(at + 64, a.shape[1])
+            low, high = np.searchsorted(b[3], [int(least * a[3][at]) - 1, int(a[3][upto - 1] / least) + 2])
+            low = max(low, at) if same else low
+            i, j = np.nonzero(np.bitwise_count(fa[at:upto, None] ^ fb[None, low:high]) <= radius)
             i, j = i + at, j + low
-            ok = np.bitwise_count((fa[i] ^ fb[j])) + np.bitwise_count((a[2][i] ^ b[2][j]).view(np.uint64)) <= wide
-            ok &= (np.minimum(a[3][i], b[3][j]) >= least * np.maximum(a[3][i], b[3][j]) - 1e-9) & (a[4][i] != b[4][j])
+            ok = np.bitwise_count(fa[i] ^ fb[j]).astype(np.int64) + np.bitwise_count((a[2][i] ^ b[2][j]).view(np.uint64)) <= wide
+            ok &= np.minimum(a[3][i], b[3][j]) >= least * np.maximum(a[3][i], b[3][j]) - 1e-9
             if same:
                 ok &= i < j
-            i, j = i[ok], j[ok]
-            if first:
-                j, at_j = np.unique(j, return_index=True)
-                i, new = i[at_j], ~met[j]
-                met[j] = True
-                i, j = i[new], j[new]
-            out.append(np.stack([a[0][i], b[0][j]]))
-        u, v = np.concatenate([np.zeros((2, 0), np.int64), *out], 1)
-        return pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)})
-
-    pairs = tiles.mapInArrow(pair, "p1 int, s1 int, p2 int, s2 int, first boolean, rows binary")
-    return pairs.groupBy("p1", "s1", "p2", "s2").applyInPandas(compare, "u long, v long").distinct()
-
-
-def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, radius: int = 16, wide: int = 32, core: int = 6, tile: int = 16384, small: int = 2_000_000) -> DataFrame:
+            parent = _joined(parent, i[ok], j[ok] + shift)
+        child = np.flatnonzero(parent != np.arange(len(parent)))
+        return pd.DataFrame({"u": both[child], "v": both[parent[child]]})
+
+    pairs = held.mapInArrow(pair, "t1 int, s1 int, t2 int, s2 int, first boolean, rows binary")
+    return pairs.groupBy("t1", "s1", "t2", "s2").applyInPandas(compare, "u long, v long").distinct()
+
+
+def exact_links(a: list[np.ndarray], b: list[np.ndarray] | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (child, parent as places in a, then b) of pairs within a, or between a and b, of sorted sets of
+    hashes whose Jaccard similarity reaches `least`. Elements that two sets or more hold become bits."""
+    sets = [*a, *(b or [])]
+    n, size = len(a), np.array([len(x) for x in sets])
+    every, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    _, number, held = np.unique(every, return_inverse=True, return_counts=True)
+    shared = held > 1
+    number, of = (np.cumsum(shared) - 1)[number[shared[number]]], of[shared[number]]
+    order = np.argsort(number, kind="stable")
+    number, of = number[order], of[order]
+    common = np.zeros((n, len(sets) - n if b is not None else n), np.int32)
+    for at in range(0, int(shared.sum()), 8192):
+        s, e = np.searchsorted(number, [at, at + 8192])
+        bits = np.zeros((len(sets), min(8192, int(shared.sum()) - at + 63) // 64 * 64), bool)
+        bits[of[s:e], number[s:e] - at] = True
+        words = np.packbits(bits, axis=1).view(np.uint64)
+        left, right = words[:n], words[n:] if b is not None else words
+        step = max(1, (1 << 21) // max(1, right.size))
+        for k in range(0, n, step):
+            common[k : k + step] += np.bitwise_count(left[k : k + step, None] & right[None]).sum(2, dtype=np.int32)
+    total = size[:n, None] + (size[n:] if b is not None else size)[None]
+    i, j = np.nonzero(common >= least * (total - common) - 1e-9)
+    parent = _joined(np.arange(len(sets)), i, j + (n if b is not None else 0))
+    child = np.flatnonzero(parent != np.arange(len(parent)))
+    return child, parent[child]
+
+
+def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, radius: int = 18, wide: int = 32, tile: int = 16384, block: int = 100_000, small: int = 2_000_000) -> DataFrame:
     """The rows of docs with one document of each group of near copies, as near_dedup returns them.
 
-    Near copies share at least `least` of the shingles that either has (Jaccard, `size` words). Candidates come from
-    the tiled comparison, wide enough for that, and from a second fingerprint; each link is then counted exactly.
-    Texts of the same words are one node. Close links (`core`), one a node and pair of tiles, are counted before
-    the others, so that a large group isn't met in all its pairs: pairs inside what they join are left out.
+    Near copies share at least `least` of the shingles that either has (Jaccard, `size` words). Texts of the same words
+    are one node. The tiled comparison, wide enough for that and with a second fingerprint, joins nodes that may be
+    near copies to clusters, returning a forest; within a cluster every pair is counted exactly, again returning a
+    forest. Clusters with more than `block` shingles are dealt into blocks that meet pair by pair, small ones share
+    tasks, so neither the pairs of a group are emitted nor a group gathered in one task.
     """
     text = F.col(text_col).cast("string").cast("binary").alias("_text")
 
@@ -282,24 +335,37 @@ def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     base = materialise(_by_text(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), text), "wh long, fp long, fp2 long, k long", signature), "signatures")
     nodes = materialise(base.groupBy("wh").agg(F.min("th").alias("node"), *[F.min(c).alias(c) for c in ("fp", "fp2", "k")]), "nodes")
-    told = nodes.where("k > 0").select("node", "fp", "fp2", "k", F.col("node").alias("core"))
-
-    def exact(pairs: DataFrame) -> DataFrame:
-        """The pairs that are near copies."""
-        pairs = materialise(pairs, "pairs")
-        wanted = materialise(pairs.select(F.explode(F.array("u", "v")).alias("th")).distinct(), "wanted")
-        if wanted.count() <= small:  # the size is checked: texts stay where they are
-            wanted = F.broadcast(wanted)
-        own = docs.select(F.xxhash64(text_col).alias("th"), text).join(wanted, "th", "left_semi")
-        sets = materialise(_by_text(own.select("th", "_text"), "sh array<long>", lambda w: (np.unique(shingle_hashes(w, size, 42)).view(np.int64),)).dropDuplicates(["th"]), "shingles")
-        both = pairs.join(sets.select(F.col("th").alias("u"), F.col("sh").alias("a")), "u").join(sets.select(F.col("th").alias("v"), F.col("sh").alias("b")), "v")
-        both = both.select("u", "v", (F.size("a") + F.size("b")).alias("n"), F.size(F.array_intersect("a", "b")).alias("common"))
-        return materialise(both.where(F.col("common") >= least * (F.col("n") - F.col("common")) - 1e-9).select("u", "v"), "links")
-
-    close = exact(near_pairs(told, core, wide, least, tile, True))
-    joined = components(close)
-    cored = told.drop("core").join(joined.withColumnRenamed("u", "node"), "node", "left").select("node", "fp", "fp2", "k", F.coalesce("v", "node").alias("core"))
-    roots = components(close.union(exact(near_pairs(cored, radius, wide, least, tile, False))))
+    joined = components(near_forests(nodes.where("k > 0").select("node", "fp", "fp2", "k"), radius, wide, least, tile))
+    member = joined.union(joined.select(F.col("v").alias("u"), "v").distinct()).select(F.col("u").alias("node"), F.col("v").alias("cluster"))
+    member = member.join(nodes.select("node", "k"), "node")
+    blocks = member.groupBy("cluster").agg(F.ceil(F.sum("k") / block).cast("int").alias("blocks"))
+    member = materialise(member.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")), "members")
+    count, shingles = member.agg(F.count("*"), F.coalesce(F.sum("k"), F.lit(0))).first()
+    units = max(4 * partitions(docs.sparkSession), -(-int(shingles) // block))
+    wanted = member.select(F.col("node").alias("th"), "cluster", "blocks", "own")
+    if count <= small:  # the size is checked: texts stay where they are
+        wanted = F.broadcast(wanted)
+    shingled = _by_text(docs.select(F.xxhash64(text_col).alias("th"), text).join(wanted, "th").select("th", "cluster", "blocks", "own", "_text"), "sh binary", lambda w: (np.unique(shingle_hashes(w, size, 42)).tobytes(),))
+    sets = materialise(shingled.dropDuplicates(["th"]), "shingles")
+    # a cluster in one block goes to a unit shared with others; else a block meets each block of its cluster
+    unit = F.struct(F.pmod(F.xxhash64("cluster", F.lit(9)), F.lit(units)).cast("long").alias("of"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.col("cluster").alias("of"), F.least(x, "own").alias("i"), F.greatest(x, "own").alias("j")))
+    sent = sets.select("cluster", "th", "sh", "own", F.explode(F.when(F.col("blocks") > 1, meets).otherwise(F.array(unit))).alias("x")).select("x.*", "cluster", "th", "sh", "own")
+
+    def verify(g: pd.DataFrame) -> pd.DataFrame:
+        u, v = [], []
+        cross = g.i.iloc[0] != g.j.iloc[0]
+        for _, c in g.groupby("cluster"):
+            c = c.sort_values("own", kind="stable")
+            ids, held = c.th.to_numpy(), [np.frombuffer(x, np.uint64) for x in c.sh]
+            n = int((c.own == c.own.iloc[0]).sum()) if cross else len(c)
+            if n < len(c) or not cross:
+                child, parent = exact_links(held[:n], held[n:] if cross else None, least)
+                u.append(ids[child])
+                v.append(ids[parent])
+        return pd.DataFrame({"u": np.concatenate([np.zeros(0, np.int64), *u]), "v": np.concatenate([np.zeros(0, np.int64), *v])})
+
+    roots = components(sent.groupBy("of", "i", "j").applyInPandas(verify, "u long, v long"))
     named = nodes.select("wh", "node").join(roots.withColumnRenamed("u", "node"), "node", "left").select("wh", F.coalesce("v", "node").alias("g"))
     return _firsts(docs, base.join(named, "wh").select("g", "doc_id", "th"), id_col, text_col)
 
