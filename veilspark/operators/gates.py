@@ -18,9 +18,12 @@ PARAMS = r"(?i)(?:param(?:eter)?s?|input|argument|accepts?|takes?|requires?|expe
 APART = r"(?i)do not use when|avoid (?:this )?when|not (?:intended|designed) for|prefer .+? instead|use .+? instead(?:\b|[.,])"
 FILLER_FIX = (r"^(fix|update|change|modify) (the|this) (code|file|issue)\.?$", "^consider (fixing|updating|changing)", "^TODO")
 FIX_WORDS = {
-    "credential": "env secret key credential password token environ", "path_traversal": "path resolve relative directory traversal sanitize", "sql_injection": "parameterize placeholder prepared bind sql query",
-    "truncation": "limit truncat max bound pagina", "read_only": "read only readonly write delete insert update",
-}
+    "credential": ("env", "secret", "key", "credential", "password", "token", "environ"),
+    "path_traversal": ("path", "resolve", "relative", "directory", "traversal", "sanitize"),
+    "sql_injection": ("parameterize", "placeholder", "prepared", "bind", "sql", "query"),
+    "truncation": ("limit", "truncat", "max", "bound", "pagina"),
+    "read_only": ("read", "only", "readonly", "write", "delete", "insert", "update"),
+}
 
 
 def _criteria(text: Column) -> dict[str, tuple[Column, float]]:
@@ -90,7 +93,7 @@ def gated_fixes(fixes: DataFrame) -> DataFrame:
     kept = F.size(F.array_intersect(lines(original), lines(code))) / F.size(lines(original))
     compared = (code != "") & (original != "")
     low = F.lower(told)
-    fits = F.coalesce(*[F.when(F.col("category") == c, low.rlike("|".join(ws.split()))) for c, ws in FIX_WORDS.items()], F.lit(False))
+    fits = F.coalesce(*[F.when(F.col("category") == c, low.rlike("|".join(ws))) for c, ws in FIX_WORDS.items()], F.lit(False))
     reason = (
         F.when(F.trim(told) == "", "empty suggestion")
         .when(reduce(Column.__or__, [F.trim(told).rlike("(?i)" + x) for x in FILLER_FIX]), "generic filler suggestion")

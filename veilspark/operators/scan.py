@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import ast
+import copy
+import re
+import string
 from functools import reduce
 
 import pandas as pd
@@ -10,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions import patterns as p
-from veilspark.functions.detect import matches
+from veilspark.functions.spans import matches
 from veilspark.functions.scoring import clamp
 
 #: category, severity, pattern and the sources meant: all, py (not scripts) or js (scripts alone).
@@ -40,8 +43,6 @@ def line_number(text: Column, start: Column) -> Column:
 
 def _validated(rest: pd.Series) -> pd.Series:
     """Whether the body of a function, whose text after the match is given, checks its input: indentation decides where it ends."""
-    import re
-
     wanted, quotes = re.compile(VALIDATES), ('"""', "'''")
 
     def body(text: str) -> str:
@@ -164,41 +165,41 @@ def reported_issues(reports: DataFrame) -> DataFrame:
     return shaped.groupBy("path", "line", "category").agg(F.min_by(F.struct("severity", "message"), F.struct("severity", "message")).alias("x")).select("path", "line", "category", "x.*")
 
 
-def _called(node: ast.Call) -> str:
-    """The dotted name of what is called; a call inside the chain stands for its last name."""
-    names, at = [], node.func
-    while isinstance(at, ast.Attribute):
-        names.append(at.attr)
-        at = at.value
-    if isinstance(at, ast.Name):
-        names.append(at.id)
-    elif names and isinstance(at, ast.Call):
-        inner = _called(at).rsplit(".", 1)[-1]
-        names += [inner] if inner else []
-    return ".".join(reversed(names))
-
-
-def _roles(tree: ast.AST) -> tuple[list[str], list[str], list[str]]:
-    """Labels of sources, sinks and destructive calls anywhere below a node, each once, in the order met."""
-    found: tuple[dict, dict, dict] = ({}, {}, {})
-    environ = lambda x: isinstance(x, ast.Attribute) and x.attr == "environ" and isinstance(x.value, ast.Name) and x.value.id == "os"
-
-    def visit(node: ast.AST) -> None:
-        if isinstance(node, ast.Call):
-            name = _called(node)
-            for into, calls in zip(found, (p.CALL_SOURCES, p.CALL_SINKS, p.CALL_DESTRUCTIVE)):
-                key = next((k for k in calls if name == k or name.endswith("." + k)), None)
-                if key:
-                    into[calls[key] or f"{key}()"] = None
-        elif isinstance(node, ast.Subscript) and environ(node.value):
-            found[0]["os.environ[]"] = None
-        elif environ(node):
-            found[0]["os.environ"] = None
-        for child in ast.iter_child_nodes(node):
-            visit(child)
-
-    visit(tree)
-    return tuple(map(list, found))  # type: ignore[return-value]
+class _NoArguments(ast.NodeTransformer):
+    """Calls without what they are given, so that their text is the chain of names alone."""
+
+    def visit_Call(self, node: ast.Call) -> ast.Call:
+        return ast.Call(func=self.visit(node.func), args=[], keywords=[])
+
+
+def _name(func: ast.expr) -> str:
+    """Dotted name of what is called, at its end; of a call within, like the first in Path(x).unlink(), only the last name counts."""
+    chain = re.sub(r"(?:\w+\.)*(\w+)\(\)", r"\1", ast.unparse(_NoArguments().visit(copy.deepcopy(func))))
+    return chain[len(chain.rstrip(string.ascii_letters + string.digits + "_.")) :].strip(".")
+
+
+def _labels(name: str, rows: tuple[tuple[str, str], ...]) -> list[str]:
+    """The label of the first row that is the whole name or its end after a dot."""
+    ends = {name, *(name[k + 1 :] for k, c in enumerate(name) if c == ".")}
+    return [label for call, label in rows if call in ends][:1]
+
+
+def _roles(tree: ast.AST) -> tuple[list[str], ...]:
+    """Labels of sources, sinks and destructive calls anywhere below a node, each once, by their places."""
+    met: tuple[list, ...] = ([], [], [])
+    for node in ast.walk(tree):
+        place = (getattr(node, "lineno", 0), getattr(node, "col_offset", 0), -getattr(node, "end_lineno", 0), -getattr(node, "end_col_offset", 0))
+        if isinstance(node, ast.Call) and (name := _name(node.func)):
+            for into, rows in zip(met, (p.CALL_SOURCES, p.CALL_SINKS, p.CALL_DESTRUCTIVE), strict=True):
+                into += [(place, label) for label in _labels(name, rows)]
+        elif isinstance(node, ast.Subscript | ast.Attribute):
+            met[0].extend((place, label) for text, label in (("os.environ", "os.environ"), ("os.environ[]", "os.environ[]")) if text == _plain(node))
+    return tuple(list(dict.fromkeys(label for _, label in sorted(x))) for x in met)
+
+
+def _plain(node: ast.expr) -> str:
+    """The text of a name with dots, with [] for any subscript of one."""
+    return ast.unparse(node.value) + "[]" if isinstance(node, ast.Subscript) else ast.unparse(node)
 
 
 def function_flows(files: DataFrame) -> DataFrame:
