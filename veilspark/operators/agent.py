@@ -38,9 +38,11 @@ def verified(skills: DataFrame, pins: DataFrame) -> DataFrame:
 
 
 def look_alikes(names: DataFrame, targets: DataFrame, most: int = 2) -> DataFrame:
-    """Names at 1 to `most` edits from a target; targets are a short fixed list."""
+    """Names at 1 to `most` edits from a target. Both meet by the length of the name; which side is sent is left to sizes."""
     near = F.levenshtein("skill_name", "target", most)
-    return names.join(F.broadcast(targets), F.abs(F.length("skill_name") - F.length("target")) <= most).withColumn("distance", near).where("distance between 1 and 2").select("skill_name", "target", "distance")
+    reach = targets.select("target", F.explode(F.sequence(F.length("target") - most, F.length("target") + most)).alias("_n"))
+    met = names.withColumn("_n", F.length("skill_name")).join(reach, "_n").withColumn("distance", near)
+    return met.where(F.col("distance").between(1, most)).select("skill_name", "target", "distance")
 
 
 def _stands(low: Column, phrase: str) -> Column:
@@ -137,13 +139,22 @@ def coded(findings: DataFrame, column: str, ignored: list[str] | None = None) ->
     return out.where(~F.coalesce(F.col(column).isin(*names), F.lit(False))) if names else out
 
 
-def verdict_counts(scanned: DataFrame, key: str) -> DataFrame:
-    """Per agent its skills by verdict, and the exit code of a check: 2 if tampered, 1 if malicious, else 0."""
+def verdict_counts(scanned: DataFrame, key: str, strict: bool = False) -> DataFrame:
+    """Per agent its skills by verdict, and the exit code of a check: 2 if tampered, 1 if malicious (strict: or suspicious), else 0."""
     n = lambda v: F.count_if(F.col("verdict") == v)
-    code = F.when(n("tampered") > 0, 2).when(n("malicious") > 0, 1).otherwise(0)
+    bad = n("malicious") + n("suspicious") if strict else n("malicious")
+    code = F.when(n("tampered") > 0, 2).when(bad > 0, 1).otherwise(0)
     return scanned.groupBy(key).agg(F.count("*").alias("skills"), n("safe").alias("safe"), n("suspicious").alias("suspicious"), n("malicious").alias("malicious"), code.alias("exit_code"))
 
 
+def exit_codes(results: DataFrame, threshold: float | None = None, strict: bool = False) -> DataFrame:
+    """results (score, tampered, critical, findings) with exit_code: 2 if tampered; 1 if anything critical was found, in strict
+    mode anything at all, or the score is below the threshold; else 0."""
+    low = F.col("score") < threshold if threshold is not None else F.lit(False)
+    bad = (F.col("critical") > 0) | (F.lit(strict) & (F.col("findings") > 0)) | low
+    return results.withColumn("exit_code", F.when(F.col("tampered") > 0, 2).when(F.coalesce(bad, F.lit(False)), 1).otherwise(0))
+
+
 def current_pins(changes: DataFrame) -> DataFrame:
     """skill_name, hash, pinned_at: the last change (skill_name, hash, pinned_at) of each skill, those unpinned (null hash) left out."""
     last = changes.groupBy("skill_name").agg(F.max_by(F.struct("hash", "pinned_at"), "pinned_at").alias("x"))

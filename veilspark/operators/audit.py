@@ -32,8 +32,9 @@ def top(log: DataFrame, column: str, k: int = 10, seen: str = "call_id") -> Data
     return counts.orderBy(F.desc("n"), "first_seen").limit(k).select("key", "n")
 
 
-def tail(log: DataFrame, k: int, order: str) -> DataFrame:
-    return log.orderBy(F.desc(order)).limit(k)
+def tail(log: DataFrame, k: int, *order: str) -> DataFrame:
+    """The last k rows, the last one first."""
+    return log.orderBy(*[F.desc(c) for c in order]).limit(k)
 
 
 def sessions(calls: DataFrame) -> DataFrame:
@@ -44,6 +45,31 @@ def sessions(calls: DataFrame) -> DataFrame:
     return per_tool.groupBy("session_id").agg(F.sum("calls").alias("total_calls"), F.sum("allow").alias("allow_count"), F.sum("deny").alias("deny_count"), F.sum("escalate").alias("escalate_count"), F.count("*").alias("unique_tools"), worst.alias("top_denied_tool"), F.min("a").alias("started_at"), F.max("b").alias("ended_at"))
 
 
+def counters(decided: DataFrame) -> DataFrame:
+    """One row: what an adapter counts over all its calls."""
+    count = lambda d: F.count_if(F.col("decision") == d).alias(d)
+    return decided.agg(F.count("*").alias("total"), count("allow"), count("deny"), count("escalate"))
+
+
+def hourly(decided: DataFrame) -> DataFrame:
+    """Per hour and session: calls and denials."""
+    hour = F.date_trunc("hour", F.col("ts")).cast(decided.schema["ts"].dataType)
+    return decided.groupBy(hour.alias("hour"), "session_id").agg(F.count("*").alias("total_calls"), F.count_if(F.col("decision") == "deny").alias("deny_count"))
+
+
+def first_seen(calls: DataFrame, key: str, tool: str, order: str) -> DataFrame:
+    """key, tool, first_seen, position: each tool of a session once, in the order in which they were first called."""
+    first = calls.groupBy(key, tool).agg(F.min(order).alias("first_seen"))
+    return first.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy("first_seen")).cast("long"))
+
+
+def session_windows(calls: DataFrame, key: str, gap: str = "30 minutes") -> DataFrame:
+    """key, started, calls: runs of calls with no gap above `gap`; the same expression as in a stream."""
+    kind = calls.schema["ts"].dataType
+    w = calls.select(key, F.col("ts").cast("timestamp").alias("ts")).groupBy(key, F.session_window("ts", gap)).agg(F.min("ts").alias("started"), F.count("*").alias("calls"))
+    return w.select(key, F.col("started").cast(kind).alias("started"), "calls")
+
+
 def numbered(calls: DataFrame) -> DataFrame:
     return calls.withColumn("call_index", F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "call_id")))
 

@@ -107,3 +107,33 @@ def gated_fixes(fixes: DataFrame) -> DataFrame:
     hints = [(code == "", "code"), (~low.rlike("before|after"), "before and after"), (is_("credential") & ~low.contains("env"), "environment variable"), (is_("sql_injection") & ~code.rlike("[?$]"), "parameterized query"), (is_("path_traversal") & ~F.lower(code).contains("resolve"), "path resolution")]
     out = fixes.withColumn("rejected", reason)
     return out.withColumn("confidence", F.when(F.col("rejected").isNull(), F.bround(F.least(F.lit(1.0), sure), 2))).withColumn("hints", F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in hints])))
+
+
+def confirmed_keywords(tools: DataFrame, rules: DataFrame) -> DataFrame:
+    """server, tool_name, keyword, value: rules (keyword, signals, value) whose keyword stands in a tool's name and one of whose
+    signals stands in a name of the same server; the first rule of a tool by its order (rule_order). Rules are a short list:
+    names and signals meet inside of a server's own collected names."""
+    low = tools.select("server", "tool_name", F.lower("tool_name").alias("_low"))
+    listed = rules.select("rule_order", "keyword", "signals", "value").orderBy("rule_order").collect()
+    all_names = low.groupBy("server").agg(F.array_join(F.array_sort(F.collect_set("_low")), " ").alias("_names"))  # a server's tools
+    holds = lambda r: F.col("_low").contains(r["keyword"]) & reduce(Column.__or__, [F.col("_names").contains(x) for x in r["signals"]], F.lit(False))
+    none = F.lit(None).cast("struct<keyword:string,value:string>")
+    first = F.coalesce(*[F.when(holds(r), F.struct(F.lit(r["keyword"]).alias("keyword"), F.lit(r["value"]).alias("value"))) for r in listed], none)
+    return low.join(all_names, "server").select("server", "tool_name", first.alias("_r")).where("_r is not null").select("server", "tool_name", "_r.*")
+
+
+def patched(sources: DataFrame) -> DataFrame:
+    """sources (content, tool_name, original, rewritten) with the proposed content and patched: the first place of the original
+    description behind the tool's name, or else its only place, takes the rewritten one, with quotes, backslashes and line
+    ends escaped where the original stands in quotes. Nothing is written in place; other contents stay."""
+    content, old = F.col("content"), F.col("original")
+    at_name = F.call_function("instr", content, F.col("tool_name"))
+    behind = F.call_function("locate", old, content, F.greatest(at_name, F.lit(1)))
+    once = (F.length(content) - F.length(F.replace(content, old, F.lit("")))) == F.length(old)
+    place = F.when((at_name > 0) & (behind > 0), behind).when(once, F.call_function("instr", content, old))
+    place = F.when(F.coalesce(F.length(old) > 0, F.lit(False)), place)
+    quote = F.substring(content, place - 1, F.lit(1))
+    plain = F.replace(F.replace(F.col("rewritten"), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    shaped = F.when(quote == '"', F.replace(plain, F.lit('"'), F.lit('\\"'))).when(quote == "'", F.replace(plain, F.lit("'"), F.lit("\\'"))).otherwise(F.col("rewritten"))
+    new = F.concat(F.left(content, place - 1), shaped, F.substring(content, place + F.length(old), F.length(content)))
+    return sources.withColumn("patched", place.isNotNull()).withColumn("proposed", F.when(place.isNotNull(), new).otherwise(content))

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 @dataclass(frozen=True)
@@ -74,18 +75,72 @@ def decide(calls: DataFrame, rules: tuple[Rule, ...], dry_run: bool = False) ->
     return out
 
 
-def decide_by_table(calls: DataFrame, rules: DataFrame, key: str = "call_id") -> DataFrame:
-    """The same for rules in a table (rule_order, name, action, tool_pattern): their number is that of a policy file."""
-    hit = calls.join(F.broadcast(rules), F.expr("tool_name rlike tool_pattern"))
-    first = hit.groupBy(key).agg(F.min_by(F.struct("action", "name"), "rule_order").alias("hit"))
-    return calls.join(first, key, "left").select(calls["*"], F.coalesce("hit.action", F.lit("allow")).alias("decision"), F.col("hit.name").alias("policy_matched"))
+def decide_by_table(calls: DataFrame, rules: DataFrame, key: str = "call_id", compiled: int = 1000) -> DataFrame:
+    """The same for rules in a table (rule_order, name, action, tool_pattern). Up to `compiled` rules become one
+    expression without a join; more are joined with the different tool names, of which there are fewer than calls."""
+    listed = rules.orderBy("rule_order").limit(compiled + 1).collect()
+    if len(listed) <= compiled:
+        shape = lambda r: F.struct(F.lit(r["action"]).alias("action"), F.lit(r["name"]).alias("name"))
+        none = F.lit(None).cast("struct<action:string,name:string>")
+        out = calls.withColumn("hit", F.coalesce(*[F.when(F.col("tool_name").rlike(r["tool_pattern"]), shape(r)) for r in listed], none))
+    else:
+        names = calls.select("tool_name").distinct().join(rules, F.expr("tool_name rlike tool_pattern"))
+        first = names.groupBy("tool_name").agg(F.min_by(F.struct("action", "name"), "rule_order").alias("hit"))
+        out = calls.join(first, "tool_name", "left")
+    return out.select(*[F.col(c) for c in calls.columns], F.coalesce("hit.action", F.lit("allow")).alias("decision"), F.col("hit.name").alias("policy_matched"))
+
+
+def server_rules(calls: DataFrame, rules: DataFrame) -> DataFrame:
+    """calls with the action of the first rule (o, p, action) that is their tool's name, or ends in * and begins it; null
+    without one. Different tool names meet rules by equal texts: the name, and each of its beginnings with a star."""
+    names = calls.select("tool_name").distinct().where("tool_name is not null")
+    begin = F.transform(F.sequence(F.lit(0), F.length("tool_name")), lambda n: F.concat(F.left(F.col("tool_name"), n), F.lit("*")))
+    asked = names.select("tool_name", F.explode(F.array_append(begin, F.col("tool_name"))).alias("p"))
+    first = asked.join(rules, "p").groupBy("tool_name").agg(F.min_by("action", "o").alias("action"))
+    return calls.join(first, "tool_name", "left").select(*[F.col(c) for c in calls.columns], "action")
+
+
+def as_of(calls: DataFrame, scores: DataFrame, ttl_hours: int) -> DataFrame:
+    """calls (tool_name, ts) with the score, and whatever else scores (tool_name, fetched_at, score) hold as `found`, that
+    was fetched last before them and isn't older than the ttl.
+
+    Both sides meet by tool and hour: inside of an hour a window finds the last one, and of the hours before only their
+    last scores count, so a tool with many calls or scores is spread over its hours. At equal times the score comes first;
+    of scores with one time the largest row holds.
+    """
+    hour = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / 3600)
+    s = scores.select("tool_name", hour("fetched_at").alias("_h"), F.col("fetched_at").cast("timestamp").alias("_at"), F.struct("fetched_at", *[c for c in scores.columns if c not in ("tool_name", "fetched_at")]).alias("_s"))
+    c = calls.select("tool_name", hour("ts").alias("_h"), F.col("ts").cast("timestamp").alias("_at"), F.struct(*[F.col(f"`{x}`") for x in calls.columns]).alias("_c"))
+    none = lambda kind: F.lit(None).cast(kind)
+    both = s.withColumn("_c", none(c.schema["_c"].dataType)).unionByName(c.withColumn("_s", none(s.schema["_s"].dataType)))
+    inside = Window.partitionBy("tool_name", "_h").orderBy("_at", F.col("_c").isNotNull(), "_s").rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumn("_in", F.last("_s", ignorenulls=True).over(inside)).where("_c is not null").select("tool_name", "_h", "_c", "_in")
+    # a row per tool and hour that has scores or calls
+    hours = both.groupBy("tool_name", "_h").agg(F.max("_s").alias("_s"))
+    earlier = Window.partitionBy("tool_name").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select("tool_name", "_h", F.last("_s", ignorenulls=True).over(earlier).alias("_before")).where("_before is not null")
+    out = rows.join(hours, ["tool_name", "_h"], "left").select("_c", F.coalesce("_in", "_before").alias("found"))
+    young = F.col("_c.ts") < F.col("found.fetched_at") + F.expr(f"interval {ttl_hours} hours")
+    return out.select("_c.*", F.when(young, F.col("found")).alias("found"))
 
 
 def trust_gate(calls: DataFrame, scores: DataFrame, mode: str = "balanced", ttl_hours: int = 24) -> DataFrame:
-    """calls (tool_name, ts) with the latest score not older than the ttl: malicious or below 3 blocks, unknown blocks in strict mode."""
-    c = calls.withColumn("_id", F.monotonically_increasing_id())
-    seen = (F.col("fetched_at") <= F.col("ts")) & (F.col("ts") < F.col("fetched_at") + F.expr(f"interval {ttl_hours} hours"))
-    found = c.alias("c").join(scores.withColumnRenamed("tool_name", "_tool"), (F.col("tool_name") == F.col("_tool")) & seen, "left")
-    latest = found.groupBy("_id").agg(*[F.first(F.col(f"c.{x}")).alias(x) for x in calls.columns], F.max_by("score", "fetched_at").alias("score"))
-    bad = F.when(F.col("score") < 3, "block").when(F.col("score").isNull() & F.lit(mode == "strict"), "block")
-    return latest.select(*calls.columns, "score", F.coalesce(bad, F.lit("allow")).alias("gate"))
+    """calls (tool_name, ts, and if there: decision of the policy, secret_found) with the latest score not older than the
+    ttl and the gate: block, redact or allow.
+
+    A malicious tool (verdict of scores, if there) or a score below 3 blocks, as does a denied call; an escalated one and a
+    tool without a score block in strict mode only. Secrets among the arguments block in strict mode, else are redacted.
+    """
+    strict = F.lit(mode == "strict")
+    named = calls.where("tool_name is not null")
+    found = as_of(named, scores, ttl_hours).unionByName(calls.where("tool_name is null").withColumn("found", F.lit(None).cast(as_of(named, scores, ttl_hours).schema["found"].dataType)))
+    known = F.col("found").isNotNull()
+    bad = F.col("found.score") < 3
+    bad = bad | (F.col("found.verdict") == "malicious") if "verdict" in scores.columns else bad
+    cases = [(bad, "block"), (~known & strict, "block")]
+    if "decision" in calls.columns:
+        cases += [(F.col("decision") == "deny", "block"), ((F.col("decision") == "escalate") & strict, "block")]
+    if "secret_found" in calls.columns:
+        cases += [(F.col("secret_found") & strict, "block"), (F.col("secret_found"), "redact")]
+    gate = F.coalesce(*[F.when(c, F.lit(x)) for c, x in cases], F.lit("allow"))
+    return found.select(*calls.columns, F.col("found.score").alias("score"), gate.alias("gate"))

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veilspark.functions import scoring
 
@@ -84,3 +85,34 @@ def documents(servers: DataFrame) -> DataFrame:
     cap = F.when(F.col("hard_constraint").isNull(), 10.0).when(grade == "F", 2.0).when(grade == "D", 4.9).otherwise(10.0)
     layers = F.struct("description", "security", "metadata")
     return base.select("server", F.to_json(F.struct("server", F.least("_overall", cap).alias("overall"), grade.alias("grade"), "hard_constraint", layers.alias("layers"), "tool_count", "license")).alias("rating"))
+
+
+def local_overall(description: Column, security: Column, architecture: Column) -> Column:
+    """A scan's own score of three layers; the architecture's bonus counts with security, up to 10."""
+    lifted = F.least(F.lit(10.0), security + scoring.architecture_bonus(architecture))
+    return F.bround(description * 0.35 + lifted * 0.35 + architecture * 0.30, 1)
+
+
+def worst_tools(scores: DataFrame, k: int = 3) -> DataFrame:
+    """server, tool_name, overall_score, place: the k tools of a server with the lowest scores, ties by name."""
+    w = Window.partitionBy("server").orderBy("overall_score", "tool_name")
+    return scores.select("server", "tool_name", "overall_score", F.row_number().over(w).alias("place")).where(F.col("place") <= k)
+
+
+def rewrite_gain(rewrites: DataFrame) -> DataFrame:
+    """target, before, after, gain: mean scores of a target's descriptions before and after their rewrites, to one place."""
+    mean = lambda c: F.bround(F.avg(c), 1).alias(c)
+    per = rewrites.groupBy("target").agg(mean("before"), mean("after"))
+    return per.withColumn("gain", F.bround(F.col("after") - F.col("before"), 1))
+
+
+def slug(target: Column) -> Column:
+    """owner and repo of owner/repo, @scope/name or an address at the code host; null fields where it's none of these."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(target, "^(?:https?://)?github[.]com/", ""), "/+$", ""), "[.]git$", "")
+    part = lambda k: F.nullif(F.regexp_extract(bare, "^@?([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+)$", k), F.lit(""))
+    return F.struct(part(1).alias("owner"), part(2).alias("repo"))
+
+
+def coverage(documents: DataFrame, target: str, flag: Column, measure: str) -> DataFrame:
+    """Per target how many documents have a flag, and the mean of a measure to three places."""
+    return documents.groupBy(F.col(target).alias("target")).agg(F.count_if(flag).alias("flagged"), F.bround(F.avg(measure), 3).alias("mean"))

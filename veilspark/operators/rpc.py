@@ -62,3 +62,22 @@ def cached(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """requests (version, tool_name, description, model) with the latest cached rewrite of their key (cache: key, rewritten, cached_at), null without one."""
     latest = cache.groupBy("key").agg(F.max_by("rewritten", "cached_at").alias("rewritten"))
     return requests.withColumn("key", cache_key(F.col("version"), F.col("tool_name"), F.col("description"), F.col("model"))).join(latest, "key", "left")
+
+
+def after_calls(results: DataFrame, types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """What is recorded after calls (session_id, call_index, tool_name, ts, result): a row of the audit log for each, with the
+    kinds found in the result, and a row of the dataset's guard_events for those with any."""
+    kinds = F.array_sort(F.array_distinct(F.transform(detect.without_overlaps(detect.findings(F.col("result"), types)), lambda x: x["type"])))
+    found = results.withColumn("pii_detected", F.explode(F.array(kinds)))
+    log = found.select(F.col("ts").cast("string").alias("timestamp"), F.lit("after_call").alias("phase"), "session_id", "tool_name", "call_index", "pii_detected")
+    events = found.where(F.size("pii_detected") > 0).select("session_id", "tool_name", F.lit("after_call").alias("phase"), F.col("pii_detected").alias("pii_types"), F.col("ts").alias("recorded_at"))
+    return log, events
+
+
+def outgoing(messages: DataFrame, action: str = "redact") -> DataFrame:
+    """messages (decision, text) of a server's side with forwarded and warning: denied ones are kept back, escalated ones go on
+    with a warning, and what goes on is acted on; log_only leaves the text and counts."""
+    spans = messages.withColumn("_f", F.explode(F.array(detect.without_overlaps(detect.findings(F.col("text"))))))
+    sent = F.col("decision") != "deny"
+    shaped = spans.withColumn("finding_count", F.size("_f")).withColumn("text", F.when(sent, detect.acted(F.col("text"), F.col("_f"), action))).drop("_f")
+    return shaped.withColumn("forwarded", sent).withColumn("warning", F.when(F.col("decision") == "escalate", F.concat(F.lit("approval wanted: "), F.coalesce("reason", F.lit("")))) if "reason" in messages.columns else F.when(F.col("decision") == "escalate", F.lit("approval wanted")))

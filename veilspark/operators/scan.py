@@ -85,7 +85,7 @@ def issues(files: DataFrame, text_col: str = "content", rules=RULES) -> DataFram
     held = F.flatten(F.array(*[F.when(meant[scope] & may(c), F.array_compact(F.array(*[F.when(text.rlike(x), F.lit(i)) for i, x in xs]))).otherwise(none) for (c, scope), xs in groups.items()]))
     table = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(s).alias("severity"), F.lit(x).alias("pattern"), F.lit(scope).alias("scope")) for c, s, x, scope in used])
     hit = files.withColumn("_low", F.lower(text)).withColumn("_i", F.explode(held)).drop("_low").withColumn("_r", F.element_at(table, F.col("_i") + 1))
-    hit = hit.withColumn("_m", F.explode(matches(text, F.col("_r.pattern"))))
+    hit = hit.withColumn("_m", F.explode(F.coalesce(*[F.when(F.col("_i") == i, matches(text, x)) for i, _, x, _ in numbered])))  # each pattern is compiled once
     start, end = F.col("_m.start").cast("int"), F.col("_m.end").cast("int")
     cut = lambda a, n: F.substring(text, (a + 1).cast("int"), n.cast("int"))
     last_line = lambda c: F.element_at(F.split(c, "\n"), -1)
@@ -230,3 +230,19 @@ def function_flows(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "function", "flow", "sources", "targets"])
 
     return files.select("path", "content").mapInPandas(batches, schema)
+
+
+def without_suppressed(reported: DataFrame, files: DataFrame) -> DataFrame:
+    """reported issues (path, line, category) less those beside a harmless form: in the six lines before, the own one or the
+    23 after it. Issues of files that aren't there stay."""
+    lines = files.select("path", F.split("content", "\n").alias("_lines"))
+    first = F.greatest(F.col("line") - 6, F.lit(1))
+    around = F.array_join(F.slice("_lines", first, F.col("line") + 24 - first), "\n")
+    any_of = lambda xs: "(?i)" + "|".join(f"(?:{x})" for x in xs)
+    harmless = F.coalesce(*[F.when(F.col("category") == c, around.rlike(any_of(xs))) for c, xs in p.HARMLESS.items()], F.lit(False))
+    return reported.join(lines, "path", "left").where(~F.coalesce(harmless, F.lit(False))).drop("_lines")
+
+
+def in_scope(reported: DataFrame, kept: DataFrame) -> DataFrame:
+    """reported issues whose file is among those that a scan keeps (path)."""
+    return reported.join(kept.select("path").distinct(), "path", "left_semi")

@@ -12,17 +12,6 @@ from veilspark.functions.scoring import clamp, step
 from veilspark.functions.spans import let
 from veilspark.operators import agent
 
-# Tool declarations by file extension.
-TOOLS = {
-    "py": r"@(?:\w+\.)?tool(?:\([^)]*\))?\s+(?:async\s+)?def\s+(\w+)",
-    "ts": r"\.(?:tool|registerTool)\(\s*[\"'`]([\w-]+)[\"'`]",
-    "js": r"\.(?:tool|registerTool)\(\s*[\"'`]([\w-]+)[\"'`]",
-    "go": r"NewTool\(\s*\"([\w-]+)\"",
-    "rs": r"#\[tool[^\]]*\]\s*(?:pub\s+)?(?:async\s+)?fn\s+(\w+)",
-    "java": r"@Tool(?:\([^)]*\))?\s+(?:public\s+)?[\w<>]+\s+(\w+)\s*\(",
-    "rb": r"tool_name\s+[\"']([\w-]+)[\"']",
-}
-
 #: What a text must hold in lower case, one of them, for a pattern to be able to match: a cheap test before the pattern.
 HINTS = {
     "base64_pipe_bash": ("base64",), "curl_pipe_bash": ("|",), "known_c2_ip": ("91.92",), "reverse_shell": ("-", "mkfifo", "tcpclient", "socat"), "credential_theft": ("~/", ".ssh", ".env", ".npmrc", ".pypirc", "%userprofile%"),
@@ -106,13 +95,6 @@ def scanned(skills: DataFrame, ignored: tuple[str, ...] = ()) -> DataFrame:
     return found.select("skill_name", "hits", verdict.alias("verdict"))
 
 
-def extracted_tools(files: DataFrame) -> DataFrame:
-    """path, tool_name: tools declared in sources (path, ext, content), each name once per file."""
-    none = F.array().cast("array<string>")
-    found = F.coalesce(*[F.when(F.col("ext") == e, F.regexp_extract_all("content", F.lit(p), F.lit(1))) for e, p in TOOLS.items()], none)
-    return files.select("path", F.explode(F.array_distinct(found)).alias("tool_name"))
-
-
 def agent_score(findings: DataFrame, key: str = "agent") -> DataFrame:
     """Per agent 10 less 3, 2, 1 or 0.25 for each finding (severity, or verdict: malicious, tampered, suspicious), 0 to 10."""
     s = F.col("severity")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -39,6 +40,30 @@ def latencies(before: DataFrame, after: DataFrame, late: str = "1 hour") -> Data
     return b.join(a, on).drop("_s", "_i")
 
 
+def batched(events: DataFrame, most: int = 20) -> DataFrame:
+    """body, events: JSON arrays of up to `most` events each, for an upload; a micro-batch's rows, or a table's."""
+    rows = events.select(F.to_json(F.struct("*")).alias("row"))
+
+    def run(batches):
+        held = []
+        for b in batches:
+            for row in b.column(0).to_pylist():
+                held.append(row)
+                if len(held) == most:
+                    yield pa.RecordBatch.from_arrays([pa.array(["[" + ",".join(held) + "]"]), pa.array([len(held)], pa.int32())], names=["body", "events"])
+                    held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(["[" + ",".join(held) + "]"]), pa.array([len(held)], pa.int32())], names=["body", "events"])
+
+    return rows.mapInArrow(run, "body string, events int")
+
+
+def uploads(events: DataFrame, folder: str, checkpoint: str, most: int = 20, every: str | None = "30 seconds") -> StreamingQuery:
+    """Writes batches of up to `most` events by the `every` of a clock, or what is there and ends; failed writes are left to a restart."""
+    w = batched(events, most).writeStream.format("json").option("path", folder).option("checkpointLocation", checkpoint)
+    return w.trigger(processingTime=every).start() if every else w.trigger(availableNow=True).start()
+
+
 def run_available(out: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Processes what is there in micro-batches into parquet files, exactly once, and ends."""
     q = out.writeStream.outputMode(mode).format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
