@@ -431,6 +431,41 @@ def test_substring_dedup(docs, none, unit_words):
     assert op8_substring_dedup.removals(none).count() == 0
 
 
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_sketches_lose_no_repeated_window(depth):
+    """Merged, they never count a window less often than texts hold it; few others reach two."""
+    r = np.random.default_rng(12)
+    words_of = [[b"w%d" % x for x in r.integers(0, 4000, 400)] for _ in range(60)]
+    for k in range(0, 60, 3):
+        words_of[k][50:90] = words_of[k + 1][100:140]
+    plan = op8_substring_dedup.Plan(24_000, 5_000, 13, depth)
+    of = [op8_substring_dedup.keys(op8_substring_dedup.word_hashes(w), 13) for w in words_of]
+    held = [Counter() for _ in range(depth)]
+    for at in range(0, 60, 7):  # units
+        for row, _, body in plan.sketch(of[at : at + 7]):
+            steps, many = op8_substring_dedup.got(body)
+            cells = np.cumsum(op8_substring_dedup.unsqueezed(steps, np.uint64), dtype=np.uint64)
+            held[row].update(dict(zip(cells.tolist(), 1 + np.unpackbits(np.frombuffer(many, np.uint8), count=len(cells)).astype(int))))
+    true = Counter(tuple(w[k : k + 13]) for w in words_of for k in range(len(w) - 12))
+    false = total = 0
+    for w, key in zip(words_of, of):
+        assert len(key) == len(w) - 12 and len(np.unique(key)) < 0.4 * len(key)
+        estimate = np.min([[held[row][c] for c in plan.cells(key, row).tolist()] for row in range(depth)], axis=0)
+        for k, n in enumerate(estimate.tolist()):
+            assert n >= min(2, true[tuple(w[k : k + 13])])
+            false, total = false + (n > 1 and true[tuple(w[k : k + 13])] == 1), total + 1
+    assert false < 0.12 * total
+
+
+def test_substring_dedup_wants_whole_numbers(spark):
+    df = spark.createDataFrame([("a", words(20, 1)), ("b", words(20, 1))], "doc_id string, text string")
+    with pytest.raises(TypeError):
+        op8_substring_dedup.removals(df)
+    few = spark.createDataFrame([(2, words(20, 1)), (1, words(20, 1)), (3, "x y " + words(20, 1)), (3, words(20, 1) + " z")], "doc_id int, text string")
+    got = {(r.doc_id, r.n_words): r.n_removed for r in op8_substring_dedup.removals(few).collect()}
+    assert got == {(1, 20): 0, (2, 20): 20, (3, 22): 20, (3, 21): 20}
+
+
 def test_windows_are_of_whole_runs():
     h = op8_substring_dedup.word_hashes([b"a", b"b", b"c", b"d"] * 12)
     for size in (1, 2, 5, 13):
