@@ -1,6 +1,7 @@
 """Tools declared in sources of ten languages, with their descriptions, and from readmes where no source declares any.
 
-Forms of declarations are data: short templates, compiled to patterns. In a template
+Forms of declarations are data: short templates, compiled to patterns. Arguments of decorators are read to three brackets
+deep, with up to 99 bracketed ones at each depth (a matcher's stack is bounded). In a template
 
     'NAME' "NAME" NAME    the tool's name in either quotes, in double quotes, or bare
     'TEXT' "TEXT" `TEXT` TEXT    its description in either quotes, double quotes, backticks, or any of the three
@@ -29,7 +30,7 @@ TOKENS = {
     '"""TEXT"""': (r'"""([\s\S]*?)"""', "d"), "'''TEXT'''": (r"'''([\s\S]*?)'''", "d"), "'TEXT'+": (r"([\"'][^\"']*[\"'](?:\s*\+\s*[\"'][^\"']*[\"'])*)", "d"), '"TEXT"..': (r'"([^"]*(?:"\s*\n\s*"[^"]*)*)"', "d"),
     "'TEXT'": (r"[\"']([^\"']+)[\"']", "d"), '"TEXT"': (r'"([^"]+)"', "d"), "`TEXT`": (r"`([^`]+)`", "d"), "''TEXT''": (r"'([^']*)'", "d"), '""TEXT""': (r'"([^"]*)"', "d"),
     "KEY": (r"(\w+)", "k"), "WORD": (r"(\w+)", "w"), "NAME": (r"(\w+)", "n"), "TEXT": (r"(?:'([^']*)'|\"([^\"]*)\"|`([^`]*)`)", "ddd"),
-    "->": ("->", ""),     " ": (r"\s*", ""), "·": (r"\s+", ""), "(~)": (r"[^)]*?", ""), "{~}": (r"[^}]*?", ""), "~": (r"[\s\S]*?", ""), "#ARGS#": (r"[^()]*?(?:\((?:[^()]*+(?:\((?:[^()]*+(?:\([^()]*+\)[^()]*+)*+)\)[^()]*+)*+)\)[^()]*?)*?", ""), "#QUOTED#": (r'"[^"]*"', ""), "#QUOTELESS#": (r"[^\"']*?", ""), "#TYPE#": (r"[\w<>\[\]]+", ""), "#UPTO:#": (r"[^:]+", ""), "#ATTRIBUTES#": (r"(?:\[[\w\(\)\"=,\s]*\]\s*)*", ""), "#DECORATORS#": (r"(?:@[\w.]+(?:\([^)]*\))?\s*)*", ""), "#SERVER#": (r"\w*(?:mcp|server|app|fastmcp)\w*", ""),
+    "->": ("->", ""),     " ": (r"\s*", ""), "·": (r"\s+", ""), "(~)": (r"[^)]*?", ""), "{~}": (r"[^}]*?", ""), "~": (r"[\s\S]*?", ""), "#ARGS#": (r"[^()]*?(?:\((?:[^()]*+(?:\((?:[^()]*+(?:\([^()]*+\)[^()]*+){0,99}+)\)[^()]*+){0,99}+)\)[^()]*?){0,99}?", ""), "#QUOTED#": (r'"[^"]*"', ""), "#QUOTELESS#": (r"[^\"']*?", ""), "#TYPE#": (r"[\w<>\[\]]+", ""), "#UPTO:#": (r"[^:]+", ""), "#ATTRIBUTES#": (r"(?:\[[\w\(\)\"=,\s]*\]\s*)*", ""), "#DECORATORS#": (r"(?:@[\w.]+(?:\([^)]*\))?\s*)*", ""), "#SERVER#": (r"\w*(?:mcp|server|app|fastmcp)\w*", ""),
 }
 _SPLIT = re.compile("|".join([r"~\d+", r"\{~\d+\}", r">\?", "[<>|]", *map(re.escape, sorted(TOKENS, key=len, reverse=True))]))
 

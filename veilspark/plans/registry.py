@@ -6,6 +6,8 @@ an argument, value the tokens spent; odd event ids are results of the call befor
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -71,20 +73,6 @@ def guard_rule_table(spark, d):
     return policy.decide_by_table(calls(spark, d), rules).select("call_id", "decision", "policy_matched")
 
 
-@query("select * from (values ('balanced', 1, 'deny'), ('balanced', 2, 'deny'), ('balanced', 3, 'escalate'), ('balanced', 4, 'allow'), ('balanced', 5, 'allow'), ('strict', 1, 'deny'), ('strict', 2, 'deny'), ('strict', 3, 'deny'), ('strict', 4, 'escalate'), ('strict', 5, 'deny'), ('permissive', 1, 'allow'), ('permissive', 2, 'allow'), ('permissive', 3, 'allow'), ('permissive', 4, 'allow'), ('permissive', 5, 'allow')) p(preset, call_id, decision)")
-def guard_presets(spark, d):
-    rows = [(1, "read_file", {"path": "/srv/.env"}, 0), (2, "run_command", {"command": "rm -rf /"}, 0), (3, "execute_sql", {"query": "drop table t"}, 0), (4, "write_file", {"path": "a"}, 0), (5, "list", {}, 60000)]
-    c = spark.createDataFrame([(*r, []) for r in rows], "call_id int, tool_name string, arguments map<string,string>, token_spent long, call_chain array<string>")
-    parts = [policy.decide(c, rules).select(F.lit(name).alias("preset"), "call_id", "decision") for name, rules in policy.PRESETS.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
-@query("with s as (select event_type as tool, ts as fetched_at, value / 10 as score from events where event_id % 7 = 0) select e.event_id as call_id, x.score, case when x.score < 3 or x.score is null then 'block' else 'allow' end as gate from events e left join (select e.event_id, arg_max(s.score, s.fetched_at) as score from events e join s on s.tool = e.event_type and s.fetched_at <= e.ts and e.ts < s.fetched_at + interval 2 hours group by 1) x using (event_id)")
-def trust_gate(spark, d):
-    scores = t(spark, d, "events").where("event_id % 7 = 0").select(F.col("event_type").alias("tool_name"), F.col("ts").alias("fetched_at"), (F.col("value") / 10).alias("score"))
-    return policy.trust_gate(calls(spark, d).select("call_id", "tool_name", "ts"), scores, "strict", 2).select("call_id", "score", "gate")
-
-
 @query(f"select count_if(phase = 'before_call') as total_calls, count_if(phase = 'before_call' and decision = 'allow') as allowed, count_if(phase = 'before_call' and decision = 'deny') as denied, count_if(phase = 'before_call' and decision = 'escalate') as escalated, count_if(phase = 'after_call' and pii_count > 0) as pii_detections from ({L})")
 def audit_stats(spark, d):
     return audit.stats(log(spark, d))
@@ -102,11 +90,6 @@ def audit_filter_last_hours(spark, d):
     return audit.filtered(rows, as_of=F.col("as_of"), last_hours=48, tool_name="c", decision="deny").select("call_id", "decision")
 
 
-@query(f"select call_id, decision from ({L}) where phase = 'before_call' order by ts desc, call_id desc limit 20")
-def audit_tail(spark, d):
-    return audit.filtered(log(spark, d), phase="before_call").orderBy(F.desc("ts"), F.desc("call_id")).limit(20).select("call_id", "decision")
-
-
 @query(f"with x as (select session_id, tool_name, count_if(decision = 'deny') as n from ({D}) group by 1, 2), w as (select session_id, tool_name, row_number() over (partition by session_id order by n desc, tool_name) as r from x where n > 0) select d.session_id, count(*) as total_calls, count_if(decision = 'allow') as allow_count, count_if(decision = 'deny') as deny_count, count_if(decision = 'escalate') as escalate_count, count(distinct d.tool_name) as unique_tools, any_value(w.tool_name) as top_denied_tool, min(ts) as started_at, max(ts) as ended_at from ({D}) d left join w on w.session_id = d.session_id and r = 1 group by 1")
 def session_summary(spark, d):
     return audit.sessions(policy.decide(calls(spark, d), RULES))
@@ -128,12 +111,6 @@ def timeline_deltas(spark, d):
     return dataset.timeline(t(spark, d, "orders").withColumn("score", F.floor("o_totalprice") / 10), "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderkey", "score")
 
 
-@query("select o_orderkey, coalesce(n, 0) as issues from orders left join (select l_orderkey, count(*) as n from lineitem where l_returnflag = 'R' group by 1) on l_orderkey = o_orderkey")
-def issue_count_per_scan(spark, d):
-    n = t(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    return t(spark, d, "orders").join(n, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("o_orderkey", F.coalesce("n", F.lit(0)).alias("issues"))
-
-
 @query("select case when s >= 9 then 'A' when s >= 7 then 'B' when s >= 5 then 'C' when s >= 3 then 'D' else 'F' end as rating, count(*) as n from (select (o_orderkey * 7 % 100) / 10.0 as s from orders) group by 1")
 def rating_distribution(spark, d):
     s = t(spark, d, "orders").select(((F.col("o_orderkey") * 7 % 100) / 10).alias("s"))
@@ -247,32 +224,14 @@ def dlp_block(spark, d):
     return _acted(spark, d, "block")
 
 
-@query("select doc_id, case when length(v) <= 12 then '****' else left(v, 4) || '****' || right(v, 4) end as preview from (select doc_id, regexp_extract(text, '[a-z]+ = \"[0-9a-f]{32,}\"') as v from documents) where v <> ''")
-def dlp_edge_profile(spark, d):
-    v = t(spark, d, "documents").select("doc_id", F.regexp_substr("text", F.lit('[a-z]+ = "[0-9a-f]{32,}"')).alias("v")).where("v is not null")
-    return v.select("doc_id", F.when(F.length("v") <= 12, "****").otherwise(F.concat(F.left("v", F.lit(4)), F.lit("****"), F.right("v", F.lit(4)))).alias("preview"))
-
-
 # RE2 has no lookahead: a line holds a credential if it assigns one and names no placeholder after that
 CREDENTIAL = "regexp_matches({0}, '(?i)^[^#]*(?:api_key|token|secret|password)\\s*=\\s*[\"''][^\"'']{{8,}}') and not regexp_matches({0}, '(?i)(?:api_key|token|secret|password)\\s*=\\s*[\"''].*(?:example|placeholder|your_|changeme|xxxxxx|<[A-Z_]+>)')"
 
 
-@query(f"select page_id, count(*) as n from (select page_id, unnest(string_split(regexp_replace(replace(html, '&quot;', '\"'), '<[^>]*>', ' ', 'g'), chr(10))) as s from pages) where {CREDENTIAL.format('s')} group by 1")
-def hardcoded_credential(spark, d):
-    pages = t(spark, d, "pages").select("page_id", F.regexp_replace(F.replace("html", F.lit("&quot;"), F.lit('"')), "<[^>]*>", " ").alias("content"))
-    return scan.issues(pages, rules=[r for r in scan.RULES if r[0] == "hardcoded_credential"]).groupBy("page_id").agg(F.count("*").alias("n"))
-
-
 @query(f"with l as (select doc_id, unnest(string_split(text, chr(10))) as s, generate_subscripts(string_split(text, chr(10)), 1) as line from documents) select doc_id, cast(line as int) as line, 'hardcoded_credential' as category from l where {CREDENTIAL.format('s')}")
 def scan_issue_lines(spark, d):
     docs = t(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
-    return scan.issues(docs).where("category = 'hardcoded_credential'").select("doc_id", "line", "category").distinct()
-
-
-@query()
-def scan_all_issues(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", F.col("text").alias("content"), F.when(F.col("doc_id") % 2 == 0, "py").otherwise("ts").alias("ext"))
-    return scan.issues(docs).groupBy("category", "severity", "confidence").agg(F.count("*").alias("n"))
+    return scan.issues(docs, rules=[r for r in scan.RULES if r[0] == "hardcoded_credential"]).select("doc_id", "line", "category").distinct()
 
 
 TOK = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[ \\t\\n\\x0b\\f\\r]+'), lambda w: length(w) > 2))"
@@ -308,11 +267,6 @@ def intent_rank(spark, d):
     return tools.ranked(docs, t(spark, d, "benchmark").select(F.col("item_id").alias("tool_id"), F.col("text").alias("description")))
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderkey % 13 = 0)")
-def allowlist_anti(spark, d):
-    return agent.not_allowed(t(spark, d, "customer").select("c_custkey"), t(spark, d, "orders").where("o_orderkey % 13 = 0").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
-
-
 @query("select p_partkey as skill_name, case when p_partkey % 3 = 0 then 'unknown' when p_partkey % 5 = 0 then 'tampered' else 'safe' end as status from part")
 def pin_verify(spark, d):
     p = t(spark, d, "part")
@@ -348,26 +302,6 @@ def tool_risk_class(spark, d):
     return t(spark, d, "part").select(name.alias("tool_name"), agent.risk_class(name, F.col("p_partkey") % 3 == 0, F.col("p_size") % 10)[1].alias("action"))
 
 
-@query("select case when regexp_matches(url, '^https?://[^/]*(?:test)') then 'test' else 'runtime' end as kind, count(*) as n, count_if(regexp_matches(html, '(?im)^[^#\n]*[\"'']https?://[^/\\s\"'']*:[^/\\s@\"'']+@[^/\\s\"'']+')) as basic_auth from pages group by 1")
-def page_checks(spark, d):
-    auth = next(x for c, _, x, _ in scan.RULES if c == "basic_auth_in_url")
-    return t(spark, d, "pages").groupBy(F.when(F.col("url").rlike("^https?://[^/]*(?:test)"), "test").otherwise("runtime").alias("kind")).agg(F.count("*").alias("n"), F.count_if(F.col("html").rlike(auth)).alias("basic_auth"))
-
-
-@query("select conv_id, turn, regexp_matches(text, '(?is)(?:ignore|disregard|forget)\\s+(?:all\\s+)?(?:previous|prior|all|above|your)\\s+(?:instructions?|prompts?|rules?|constraints?|guidelines?)') as injected from conversations")
-def prompt_injection(spark, d):
-    return t(spark, d, "conversations").select("conv_id", "turn", (F.size(detect.findings(F.col("text"), ["ignore_instructions"])) > 0).alias("injected"))
-
-
-@query("select * from (values ('c', 'gateway.bind', 'critical', true), ('c', 'gateway.no_auth', 'critical', true), ('c', 'sandbox.not_configured', 'high', true), ('c', 'tools.full_no_deny', 'high', true), ('c', 'channels.open_dm', 'high', true), ('x', 'config.parse_error', 'medium', false), ('ok', 'logging.redact_off', 'medium', true)) c(agent, check_id, severity, fixable)")
-def config_checks(spark, d):
-    rows = [
-        ("c", '{"gateway": {"bind": "0.0.0.0"}, "tools": {"profile": "full"}, "channels": {"a": {"dmPolicy": "pairing"}, "b": {"dmPolicy": "open", "allowFrom": ["*"]}}}'), ("x", "{nope"),
-        ("ok", '{"gateway": {"auth": {"mode": "token", "token": "0123456789abcdef0123"}}, "agents": {"defaults": {"sandbox": {"mode": "all"}}}, "logging": {"redactSensitive": false}}'),
-    ]
-    return agent.config_findings(spark.createDataFrame(rows, "agent string, config string"))
-
-
 @query()
 def sarif_export(spark, d):
     e = t(spark, d, "events").select(F.col("user_id").alias("target"), F.col("event_type").alias("rule_id"), F.when(F.col("value") > 80, "critical").otherwise("low").alias("severity"), F.col("props").alias("message"))
@@ -379,33 +313,6 @@ def json_export(spark, d):
     return dataset.export_json({n: t(spark, d, n) for n in ("nation", "region", "supplier")})
 
 
-@query(f"select time_bucket(interval 1 hour, ts) as hour, session_id, count(*) as total_calls, count_if(decision = 'deny') as deny_count from ({D}) group by 1, 2")
-def hourly_sessions(spark, d):
-    rows = policy.decide(calls(spark, d), RULES)
-    return rows.groupBy(F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("hour"), "session_id").agg(F.count("*").alias("total_calls"), F.count_if(F.col("decision") == "deny").alias("deny_count"))
-
-
-WHOLE = ("known_c2_ip", "malicious_domain", "password_protected_archive", "pastebin_exfil")
-HITS = {n: x for n, _, x in patterns.SKILL_HITS}
-
-
-@query("select page_id as skill_name, " + ", ".join(f"regexp_matches(html, '(?i){HITS[n]}') as {n}" for n in WHOLE) + " from pages")
-def skill_hits(spark, d):
-    rows = t(spark, d, "pages").select(F.col("page_id").alias("skill_name"), F.col("html").alias("content"))
-    return skills.scanned(rows).select(F.col("skill_name").cast("long").alias("skill_name"), *[F.array_contains("hits", n).alias(n) for n in WHOLE])
-
-
-@query()
-def skill_verdicts(spark, d):
-    return skills.scanned(t(spark, d, "documents").select(F.col("doc_id").alias("skill_name"), F.col("text").alias("content"))).groupBy("verdict").agg(F.count("*").alias("n"))
-
-
-@query("select * from (values ('a.py', 'read_it'), ('a.py', 'write_it'), ('b.ts', 'fetch-url')) x(path, tool_name)")
-def tool_extraction(spark, d):
-    rows = [("a.py", "py", "@mcp.tool()\nasync def read_it(x):\n  pass\n@tool\ndef write_it():\n  pass\n@tool\ndef write_it():\n  pass"), ("b.ts", "ts", 'server.tool("fetch-url", {})'), ("c.txt", "txt", "tool")]
-    return skills.extracted_tools(spark.createDataFrame(rows, "path string, ext string, content string"))
-
-
 @query()
 def template_rewrites(spark, d):
     x = t(spark, d, "part").select(F.concat_ws("_", F.lit("get"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_")))).alias("name"), F.col("p_name").alias("description"))
@@ -454,38 +361,6 @@ def rpc_calls(spark, d):
     return rpc.parsed_calls(e.select("event_id", line.alias("line"))).where("tool_name is not null").select("event_id", "tool_name", F.col("arguments")["k"].alias("k"))
 
 
-@query("select doc_id from documents where regexp_matches(text, '[0-9]') and contains(text, 'token = \"')")
-def redacted_payloads(spark, d):
-    """Documents whose assignments of tokens are redacted inside a map."""
-    docs = t(spark, d, "documents").where("contains(text, 'token = \"')").select("doc_id", F.create_map(F.lit("path"), F.lit("a"), F.lit("body"), F.col("text")).alias("arguments"))
-    return rpc.redacted_arguments(docs, ["generic_secret"]).where("argument_findings > 0 and contains(arguments['body'], '[REDACTED:generic_secret]')").select("doc_id")
-
-
-@query()
-def hardening(spark, d):
-    docs = t(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.col("text").alias("content"))
-    return scan.hardening(docs, read_only=True).select("path", "category")
-
-
-@query("select * from (values ('a.py', 'f', 'exfiltration'), ('a.py', '<module>', 'destructive')) x(path, function, flow)")
-def function_flows(spark, d):
-    rows = [("a.py", "import os, requests\ndef f():\n    requests.post('u', data=open('x').read())\nos.remove(os.environ['P'])\n"), ("b.py", "def g(:\n")]
-    return scan.function_flows(spark.createDataFrame(rows, "path string, content string")).select("path", "function", "flow")
-
-
-@query("select source as target, count_if(regexp_matches(text, '(?i)error')) as errors, round_even(avg(n_chars), 3) as mean_chars from documents group by 1")
-def target_coverage(spark, d):
-    return t(spark, d, "documents").groupBy(F.col("source").alias("target")).agg(F.count_if(F.col("text").rlike("(?i)error")).alias("errors"), F.bround(F.avg("n_chars"), 3).alias("mean_chars"))
-
-
-@query("with r as (select * from (values (1, 'view', 'allow'), (2, 'cl*', 'escalate'), (3, '*', 'deny')) r(o, p, action)) select e.event_id as call_id, arg_min(action, o) as action from events e join r on e.event_type = r.p or (r.p like '%*' and starts_with(e.event_type, replace(r.p, '*', ''))) group by 1")
-def server_policy(spark, d):
-    """Exact or prefix rules, the first that fits; a policy's rules are few."""
-    rules = spark.createDataFrame([(1, "view", "allow"), (2, "cl*", "escalate"), (3, "*", "deny")], "o int, p string, action string")
-    fits = "tool_name = p or (endswith(p, '*') and startswith(tool_name, replace(p, '*', '')))"
-    return calls(spark, d).join(F.broadcast(rules), F.expr(fits)).groupBy("call_id").agg(F.min_by("action", "o").alias("action"))
-
-
 @query("select c.name as pattern, c.code, count(*) as n from events join (values ('error', 'typosquat', 'TS-W007'), ('purchase', 'reverse_shell', 'TS-E004'), ('signup', 'gateway.bind', 'TS-C004'), ('click', 'odd', null)) c(type, name, code) on c.type = event_type group by 1, 2")
 def issue_codes(spark, d):
     """Findings with their codes, less those ignored, one by code."""
@@ -514,38 +389,16 @@ def current_pins(spark, d):
     return agent.current_pins(e).select("skill_name", "hash")
 
 
-@query("with g as (select 's' || (p_partkey % 20) as server, 'get_' || p_partkey as n, p_partkey from part) select server, count(*) as rules from g group by 1")
-def generated_policies(spark, d):
-    x = t(spark, d, "part").select(F.concat(F.lit("s"), (F.col("p_partkey") % 20).cast("string")).alias("server"), F.concat(F.lit("get_"), F.col("p_partkey").cast("string")).alias("tool_name"), F.lit(False).alias("critical"), F.lit(9.0).alias("score"))
-    return agent.generated_policies(x).select("server", F.size(F.regexp_extract_all("policy", F.lit("- tool: "), F.lit(0))).cast("long").alias("rules"))
-
-
-@query("select left(sha256(string_agg(event_type, '|' order by event_type)), 16) as pattern_set_hash from (select distinct event_type from events)")
-def pattern_set_hash(spark, d):
-    names = t(spark, d, "events").select("event_type").distinct().agg(F.array_join(F.array_sort(F.collect_set("event_type")), "|").alias("names"))
-    return names.select(F.left(F.sha2("names", 256), F.lit(16)).alias("pattern_set_hash"))
-
-
-@query("select page_id, regexp_extract(url, '^https?://([^/]+)', 1) as owner, regexp_replace(regexp_extract(url, '([^/]+)/?$', 1), '[.]git$', '') as repo from pages")
-def slug_parse(spark, d):
-    return t(spark, d, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("owner"), F.regexp_replace(F.regexp_extract("url", "([^/]+)/?$", 1), "[.]git$", "").alias("repo"))
-
-
-@query("select user_id, event_type, min(event_id) as first_seen, row_number() over (partition by user_id order by min(event_id)) as position from events group by 1, 2")
-def first_seen_tools(spark, d):
-    first = t(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_seen"))
-    return first.withColumn("position", F.row_number().over(Window.partitionBy("user_id").orderBy("first_seen")).cast("long"))
-
-
-@query("with g as (select *, case when ts <= lag(ts) over w + interval 30 minutes then 0 else 1 end as new from events window w as (partition by user_id order by ts, event_id)), s as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as n from g) select user_id, min(ts) as started, count(*) as calls from s group by user_id, n")
-def session_windows(spark, d):
-    e = t(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    w = e.groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.min("ts").cast("timestamp_ntz").alias("started"), F.count("*").alias("calls"))
-    return w.select("user_id", "started", "calls")
-
-
 def _scratch(spark) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="veilspark-")
+    """A folder below spark.checkpoint.dir. Where that is unset: one of our own in local mode, gone at exit, and an error on a cluster."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        own = tempfile.mkdtemp(prefix="veilspark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        shared = "file://" + own
+        spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared}/streams/{uuid.uuid4().hex}"
 
 

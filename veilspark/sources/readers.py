@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,8 +113,7 @@ def skills(spark: SparkSession, folder: str) -> DataFrame:
     there hold none.
     """
     files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="SKILL.md").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
-    root = F.lit(folder.removeprefix("file:").rstrip("/"))
-    inner = F.substring_index(F.col("path"), F.concat(root, F.lit("/")), -1)
+    inner = F.substring_index("path", re.sub("^[a-z]+:/*", "", folder).rstrip("/") + "/", -1)
     own = files.where(inner.rlike("^(?:workspace/)?skills/(?:[^/]+/)?SKILL[.]md$"))
     parent = F.element_at(F.split("path", "/"), -2)
     return own.select(F.when(parent == "skills", "SKILL").otherwise(parent).alias("skill_name"), "path", "content")
