@@ -349,3 +349,74 @@ def test_reported_issues_are_scoped_and_suppressed(spark):
 def test_patches(spark, content, original, rewritten, proposed):
     df = spark.createDataFrame([(content, "tool", original, rewritten)], "content string, tool_name string, original string, rewritten string")
     assert gates.patched(df).first().proposed == proposed
+
+
+def brute_flags(text):
+    first = (text.split() or [""])[0].lower()
+    stems = {first, *([first[:-2]] if first.endswith("es") else []), *([first[:-1]] if first.endswith("s") else []), *([first[:-3], first[:-3] + "e"] if first.endswith("ing") else [])}
+    has = lambda p: re.search(p, text, re.A) is not None
+    return {
+        "has_action_verb": bool(stems & set(tools.VERBS)), "has_scenario_trigger": has(tools.SCENARIO), "has_param_docs": has(tools.PARAMS) or has("`[a-z][a-z0-9_]*`") or has(r"--\w+"),
+        "has_return_docs": has(tools.RETURNS), "has_param_examples": has(tools.EXAMPLES), "has_error_guidance": has(tools.ERRORS),
+    }
+
+
+def test_scores_of_a_servers_tools_equal_brute_force(spark):
+    """Criteria, density, length, and the largest overlap above a half with another tool, all by all."""
+    r, some = random.Random(8), ["Reads", "file", "from", "disk", "use this when", "returns data", "e.g. x", "`path`", "fails if", "param: a", "quick", "slow", "remote", "local", "the", "lists", "entries", "of", "table"]
+    rows = [(f"s{k % 3}", f"t{k}", None if k == 7 else " ".join(r.choice(some) for _ in range(r.randint(0, 12)))) for k in range(45)] + [("alone", "t", "Reads a file")]
+    rows += [("s0", "copy", rows[0][2])]
+    got = {(x.server, x.tool_name): x for x in tools.scored(spark.createDataFrame(rows, "server string, tool_name string, description string")).collect()}
+    for server in {x[0] for x in rows}:
+        own = {n: d or "" for s, n, d in rows if s == server}
+        sets = {n: set(d.lower().split()) for n, d in own.items()}
+        df = {w: sum(w in x for x in sets.values()) for x in sets.values() for w in x}
+        left = {n: {w for w in x if len(w) > 2 and df[w] <= max(1, len(own) // 2)} for n, x in sets.items()}
+        for name, text in own.items():
+            apart = 0.5 if len(own) == 1 else 1.0
+            for other, words_ in left.items():
+                if other != name and left[name] and words_:
+                    share = len(left[name] & words_) / min(len(left[name]), len(words_))
+                    apart = min(apart, 1 - share) if share > 0.5 else apart
+            x, flags = got[server, name], brute_flags(text)
+            assert {k: x[k] for k in flags} == flags, text
+            assert abs(x.disambiguation_score - round(apart, 2)) < 0.011
+            found = re.findall(r"[a-zA-Z_]\w*", text.lower(), re.A)
+            long = {w for w in found if len(w) > 1}
+            share = min(len(long - set(tools.FILLERS)) / len(long), len(set(found)) / len(found)) if long else 0
+            density = 1.0 if len(found) < 3 else 0.3 if not long else 1.0 if share >= 0.4 else 0.7 if share >= 0.25 else 0.3
+            step = next(w for top, w in ((20, 0.2), (50, 0.5), (80, 0.7), (501, 1.0), (10**9, 0.7)) if len(text) < top)
+            points = sum(w for k, w in tools.WEIGHTS.items() if flags[k]) + apart + step * 0.5
+            assert abs(x.overall_score - min(10.0, points * density)) < 0.0501
+
+
+def test_summaries_of_tools(spark):
+    names = ("has_action_verb", "has_scenario_trigger", "has_param_docs", "has_param_examples", "has_error_guidance", "has_return_docs")
+    rows = [("s", True, False, False, True, True, True), ("s", True, False, True, True, False, True), ("s", False, False, False, True, True, True)]
+    df = spark.createDataFrame(rows, "server string, " + ", ".join(f"{n} boolean" for n in names))
+    assert [tuple(x) for x in tools.missing_criteria(df).orderBy(F.desc("n")).collect()] == [("s", "has_scenario_trigger", 3), ("s", "has_param_docs", 2)]
+    choices = spark.createDataFrame([("s", "before", "a", "a"), ("s", "before", "b", "a"), ("s", "before", "b", "a"), ("s", "after", "a", "a")], "server string, side string, selected string, expected string")
+    assert tuple(tools.accuracy(choices).first()) == ("s", 33.3, 100.0, 66.7)
+
+
+def test_caches_and_maps(spark):
+    asked = spark.createDataFrame([("1", "t", "d", "m"), ("1", "u", "d", "m")], "version string, tool_name string, description string, model string")
+    key = asked.select(rpc.cache_key(*[F.col(c) for c in asked.columns]).alias("key")).first().key
+    cache = spark.createDataFrame([(key, "old", 1), (key, "new", 2)], "key string, rewritten string, cached_at int")
+    assert {x.tool_name: x.rewritten for x in rpc.cached(asked, cache).collect()} == {"t": "new", "u": None}
+    df = spark.createDataFrame([({"a": "x@y.co", "b": "z", "c": None}, ["x@y.co", None, ""])], "m map<string,string>, v array<string>")
+    x = df.select(rpc.acted_map(F.col("m")).alias("m"), rpc.acted_array(F.col("v")).alias("v")).first()
+    assert x.m == {"a": "[REDACTED:email]", "b": "z", "c": None} and x.v == ["[REDACTED:email]", None, ""]
+
+
+def test_an_event_counts_once_in_a_stream(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:01:00"), (2, "2024-01-01 00:02:00")], "id int, ts string").select("id", F.col("ts").cast("timestamp").alias("ts"))
+    rows.write.parquet(f"{tmp_path}/in")
+    jobs.run_available(jobs.once(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), "id"), f"{tmp_path}/out", f"{tmp_path}/state")
+    assert sorted(x.id for x in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2]
+
+
+def test_exports_hold_every_row(spark):
+    a, b = spark.range(30).withColumn("x", F.lit("y")), spark.createDataFrame([(1, None)], "k int, v string")
+    got = [(x.name, json.loads(x.row)) for x in dataset.export_json({"b": b, "a": a}).collect()]
+    assert sorted(r["id"] for n, r in got if n == "a") == list(range(30)) and [r for n, r in got if n == "b"] == [{"k": 1}]
