@@ -541,7 +541,7 @@ def test_disclosure_is_that_of_brute_force(spark):
         told = f" by {names[who % 6] if r.random() < (1, 0.9, 0.6)[who % 3] else names[int(r.integers(6))]} at w{who % 6}@corp.example" if who < 6 and k < 200 else ""
         rows.append((k, f"note {'xyz'[k % 3]}{k % 50}{told} for all people of the town {k % 97}"))
     rows += rows[:30]
-    found = op9_pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = op9_pii.find(spark.createDataFrame(rows, "doc_id long, text string"), support=2).collect()
     texts = {t for _, t in rows}
     held = {t: (set(re.findall(r"w\d@corp.example", t)), set(re.findall(r"[a-z]{4,}|[a-z]+\d+|\b(?:to|of)\b", re.sub(r"\S+@\S+", "", t).lower()))) for t in texts}
     n, n_e, n_t, joint = len(texts), Counter(), Counter(), Counter()
@@ -691,6 +691,86 @@ def test_training_takes_bounded_bytes(spark):
     assert (one[0] == two[0]).all() and one[1] == two[1]
 
 
+CONTRACTS = {
+    "op1_exact_topk": "query_id bigint, rank int, vec_id bigint, score bigint",
+    "op2_simhash_near_dedup": "doc_id bigint, fingerprint string, component_id bigint",
+    "op3_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+    "op4_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    "op5_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+    "op6_secret_scan": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
+    "op7_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op8_substring_dedup": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
+    "op9_pii": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
+    "op10_quality_classifier": "doc_id bigint, held_out boolean, score double, predicted int",
+}
+
+
+@pytest.fixture(scope="module")
+def folders(spark, docs, tmp_path_factory):
+    """Tables with nulls, empty and very long texts, ties, repeated rows and clashing columns; and the same without rows."""
+    labels = spark.createDataFrame([(1, 1, 0, 5), (2, 1, 0, 5), (5, 0, 0, 5), (6, 1, None, 5), (None, 0, 0, 5), (9, None, 1, 5), (1, 0, 0, 5), (77, 1, 0, 5)], "doc_id long, quality int, toxic int, score int")
+    vectors = spark.createDataFrame([(100 * k % 700 if k < 9 else k, [0.5, float(k % 3)], 1, 2) for k in range(30)] + [(None, [1.0, 1.0], 1, 2), (300, None, 1, 2), (400, [None, 1.0], 1, 2), (500, [float("inf"), 1.0], 1, 2)], "vec_id long, embedding array<double>, rank int, score int")
+    out = []
+    for name, some in (("odd", "true"), ("none", "false")):
+        at = str(tmp_path_factory.mktemp(name))
+        for table, df in (("documents", docs), ("labels", labels), ("embeddings", vectors)):
+            df.where(some).write.parquet(f"{at}/{table}.parquet")
+        out.append(at)
+    return out
+
+
+@pytest.mark.parametrize("name", CONTRACTS)
+def test_registered_queries_on_odd_tables(spark, folders, name):
+    from veilspark.llm import queries
+
+    before = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for at, rows in zip(folders, (len(ROWS), 0)):
+        got = queries.QUERIES[name](spark, at)
+        kinds = dict(got.dtypes)
+        assert {c: kinds.get(c) for c in (x.split()[0] for x in CONTRACTS[name].split(", "))} == dict(x.split() for x in CONTRACTS[name].split(", "))
+        found = got.collect()
+        if name == "op1_exact_topk":
+            assert bool(found) == bool(rows) and all(r.query_id % 100 == 0 and r.vec_id != r.query_id for r in found)
+        elif name == "op3_packing":
+            assert Counter(r.doc_id for r in found if r.start == 0) == Counter(i for i, _, _ in ROWS[:rows])
+        else:
+            assert Counter(r.doc_id for r in found) == Counter(i for i, _, _ in ROWS[:rows])
+    assert before == (dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+
+
+def test_shards_are_nearly_equal_in_bytes(spark):
+    """What is placed equals best-fit-decreasing by brute force over bins, and loads are near equal."""
+    rows = [(k, words(int(n), 70 + k)) for k, n in enumerate(np.random.default_rng(17).integers(1, 60, 400))]
+    rows += [(1000 + k, rows[k % 7][1]) for k in range(60)]
+    got = op7_sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=8).collect()
+    loads, of = Counter(), {}
+    for r in got:
+        loads[r.shard] += r["size"]
+        of.setdefault(dict(rows)[r.doc_id], set()).add(r.shard)
+    assert len(loads) == 8 and max(loads.values()) - min(loads.values()) <= 0.05 * max(loads.values())
+    assert all(len(x) == 1 for x in of.values())
+
+
+def test_pipeline_on_odd_tables(spark, folders):
+    import corpus_pipeline
+
+    odd, none = folders
+    before = spark.read.parquet(f"{odd}/documents.parquet")
+    docs = before
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, odd)
+        assert docs.columns == before.columns, name
+        docs = docs.cache()
+    assert {r.doc_id for r in docs.collect()} <= {i for i, _, _ in ROWS}
+    pieces = corpus_pipeline.run(spark, odd).collect()
+    assert Counter(p.doc_id for p in pieces if p.start == 0) == Counter(r.doc_id for r in docs.collect())
+    assert corpus_pipeline.run(spark, none).count() == 0
+    again = spark.read.parquet(f"{none}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        again = stage(spark, again, none)
+        assert again.columns == before.columns and again.count() == 0, name
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

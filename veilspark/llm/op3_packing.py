@@ -6,7 +6,8 @@ pass cuts at fixed windows of `width` ids: a document that crosses a border give
 Sequences are full but for the last one.
 
 Nulls: a null text is empty and gives the end id alone; a null id stays null. Repeated rows are packed again.
-Empty tables give no rows. Texts of any length are tokenized whole.
+Empty tables give no rows. Texts of any length are tokenized whole. There are no ties: documents follow one another as
+the tasks read them. Extra columns of any name are ignored: only the id and the text are read.
 """
 
 from __future__ import annotations

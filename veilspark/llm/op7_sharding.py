@@ -9,7 +9,8 @@ Rows of one group are numbered by task and place in the task, so that a group of
 
 Nulls: a null text is empty; a null id is kept. Repeated rows are rows of their own, in one shard. A group
 larger than a shard's share has a shard of its own as far as possible. Ties go by group hash. Empty tables give
-no rows.
+no rows. Texts of any length are measured and hashed whole. Extra columns of any name are ignored: only the id and
+the text are read.
 """
 
 from __future__ import annotations
