@@ -420,3 +420,19 @@ def test_exports_hold_every_row(spark):
     a, b = spark.range(30).withColumn("x", F.lit("y")), spark.createDataFrame([(1, None)], "k int, v string")
     got = [(x.name, json.loads(x.row)) for x in dataset.export_json({"b": b, "a": a}).collect()]
     assert sorted(r["id"] for n, r in got if n == "a") == list(range(30)) and [r for n, r in got if n == "b"] == [{"k": 1}]
+
+
+def test_evaluation_before_and_after(spark):
+    scenarios = spark.createDataFrame([("s", "1", "read the file", "read_file"), ("s", "2", "send mail now", "send-mail")], "server string, intent_id string, intent string, expected string")
+    kind = "server string, tool_name string, description string, position int"
+    before = spark.createDataFrame([("s", "tool_a", "x", 0), ("s", "read_file", "reads", 1)], kind)
+    after = spark.createDataFrame([("s", "tool_a", "x", 0), ("s", "read_file", "reads", 1), ("s", "send-mail", "send mail", 2)], kind)
+    assert tuple(tools.evaluated(scenarios, before, after).first()) == ("s", 50.0, 100.0, 50.0)
+
+
+def test_session_windows_in_a_stream(spark, tmp_path):
+    rows = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:10:00"), (1, "2024-01-01 02:00:00"), (2, "2024-01-03 00:00:00")]
+    spark.createDataFrame(rows, "k int, ts string").select("k", F.col("ts").cast("timestamp").alias("ts")).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("k int, ts timestamp").parquet(f"{tmp_path}/in")
+    jobs.run_available(jobs.session_windows(stream, "k"), f"{tmp_path}/out", f"{tmp_path}/state")
+    assert sorted((x.k, x.calls) for x in spark.read.parquet(f"{tmp_path}/out").collect()) == [(1, 1), (1, 2)]

@@ -11,6 +11,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veilspark.functions import patterns as p
 from veilspark.functions.spans import matches
@@ -246,3 +247,10 @@ def without_suppressed(reported: DataFrame, files: DataFrame) -> DataFrame:
 def in_scope(reported: DataFrame, kept: DataFrame) -> DataFrame:
     """reported issues whose file is among those that a scan keeps (path)."""
     return reported.join(kept.select("path").distinct(), "path", "left_semi")
+
+
+def worst_issues(found: DataFrame, key: str, k: int = 15) -> DataFrame:
+    """The k most severe issues of each target, by severity, then file, line and category."""
+    rank = F.coalesce(*[F.when(F.col("severity") == s, i) for i, s in enumerate(WEIGHTS)], F.lit(len(WEIGHTS)))
+    w = Window.partitionBy(key).orderBy(rank, "path", "line", "category")
+    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)

@@ -374,3 +374,9 @@ def patched_sources(spark, d):
     content = F.when(k % 4 == 0, F.concat(F.lit('a("'), name, F.lit('") t("'), name, F.lit('")'))).when(k % 4 == 1, F.concat(F.lit("t('"), name, F.lit("')"))).when(k % 4 == 2, F.concat(F.lit("x "), name)).otherwise("nothing")
     s = t(spark, d, "part").select("p_partkey", content.alias("content"), F.lit("t(").alias("tool_name"), name.alias("original"), F.concat(F.lit('new "'), k.cast("string"), F.lit('"')).alias("rewritten"))
     return gates.patched(s).select("p_partkey", "patched", "proposed")
+
+
+@query("select p_brand as target, path, line, severity, cast(place as int) as place from (select *, row_number() over (partition by p_brand order by case severity when 'critical' then 0 when 'high' then 1 when 'medium' then 2 else 3 end, path, line) as place from (select p_brand, p_name as path, p_partkey as line, ['low', 'medium', 'high', 'critical'][cast(p_size % 4 + 1 as int)] as severity from part)) where place <= 15")
+def worst_issues(spark, d):
+    found = t(spark, d, "part").select(F.col("p_brand").alias("target"), F.col("p_name").alias("path"), F.col("p_partkey").alias("line"), of(("low", "medium", "high", "critical"), F.col("p_size")).alias("severity"), F.lit("x").alias("category"))
+    return scan.worst_issues(found, "target").drop("category")

@@ -28,6 +28,12 @@ def session_counters(decided: DataFrame, late: str = "1 hour") -> DataFrame:
     return decided.withWatermark("ts", late).groupBy(F.window("ts", "1 hour"), "session_id").agg(F.count("*").alias("total_calls"), *[count(d).alias(f"{d}_count") for d in ("allow", "deny", "escalate")])
 
 
+def session_windows(calls: DataFrame, key: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """key, started, calls: runs of calls without a longer gap; a watermark closes them and lets go of their state."""
+    w = calls.withWatermark("ts", late).groupBy(key, F.session_window("ts", gap)).agg(F.min("ts").alias("started"), F.count("*").alias("calls"))
+    return w.select(key, "started", "calls")
+
+
 def once(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
