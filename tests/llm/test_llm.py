@@ -591,6 +591,24 @@ def test_secrets_around_base_findings(spark):
     assert "hex:14:54" in got[0] and any(x.startswith("learned") for x in got[0]) and "learned:4:41" in got[1] and got[2] == ["hex:14:54"]
 
 
+def test_base_findings_equal_the_plain_patterns(spark):
+    """Random texts of what the patterns are made of, against the contract's own words."""
+    r = np.random.default_rng(41)
+    bits = ["password", "passwd", "SECRET", "token", "api_key", "apikey", "api-key", '"', "'", " ", "  ", ":", "=", "abc", "abcdef", "x1/y_z.w-", "AKIA", "ABCDEFGHIJ", "0123456789", "0a1b2c3d4e5f", "é", "\n", "ſ", "K"]
+    texts = ["".join(r.choice(bits) for _ in range(int(r.integers(0, 40)))) for _ in range(300)]
+    want = {}
+    for k, text in enumerate(texts):
+        found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 6]
+        found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+        names = ",".join(f"{('assign', 'access', 'hex')[b]}:{a}:{c}" for a, b, c in sorted(found))
+        want[k] = (*(sum(x[1] == b for x in found) for b in range(3)), hashlib.sha256(names.encode()).hexdigest(), set(names.split(",")) - {""})
+    for x in op6_secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        a, b, c, digest, names = want[x.doc_id]
+        assert (x.n_assign, x.n_access, x.n_hex, x.base_sha256) == (a, b, c, digest) and names <= set(x.spans.split(","))
+        assert all(y.split(":")[0] == "learned" for y in set(x.spans.split(",")) - names - {""}) and x.held_out_recall > 0.9
+
+
 @pytest.fixture(scope="module")
 def net():
     return op6_secret_scan.learn([])
