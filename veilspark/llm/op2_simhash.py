@@ -9,8 +9,10 @@ forest of its links, at most one row per fingerprint, never all pairs of a group
 iteration joins the forests into components.
 
 Nulls: a null text has no words (fingerprint zero). Rows without id are fingerprinted and may bridge others, but
-give no component id; a component without any id has a null one. Repeated rows stay repeated. Empty tables give
-no rows. Texts of any length are read whole.
+give no component id; a component without any id has a null one. Repeated rows stay repeated, but where one document of
+a component is kept only one of them stays: ties of the smallest id go to the smallest text hash. Empty tables give no
+rows. Texts of any length are read whole. Extra columns of any name are ignored where documents are compared and kept
+where documents are returned.
 """
 
 from __future__ import annotations
@@ -167,7 +169,7 @@ def components(edges: DataFrame) -> DataFrame:
         dropped(old)
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = 4, tile: int = 16384) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = 4, tile: int = 65536) -> DataFrame:
     """doc_id, th (hash of the text), fp, component_id: a row per document."""
     base = materialise(fingerprints(docs, [F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th")], text_col, size), "fingerprints")
     per = materialise(base.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
