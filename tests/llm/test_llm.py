@@ -542,15 +542,18 @@ def test_disclosure_is_that_of_brute_force(spark):
         rows.append((k, f"note {'xyz'[k % 3]}{k % 50}{told} for all people of the town {k % 97}"))
     rows += rows[:30]
     found = op9_pii.find(spark.createDataFrame(rows, "doc_id long, text string"), support=2).collect()
-    texts = {t for _, t in rows}
-    held = {t: (set(re.findall(r"w\d@corp.example", t)), set(re.findall(r"[a-z]{4,}|[a-z]+\d+|\b(?:to|of)\b", re.sub(r"\S+@\S+", "", t).lower()))) for t in texts}
-    n, n_e, n_t, joint = len(texts), Counter(), Counter(), Counter()
-    for es, ts in held.values():
+    held = [(t, set(re.findall(r"w\d@corp.example", t)), set(re.findall(r"[a-z]{4,}|[a-z]+\d+|\b(?:to|of)\b", re.sub(r"\S+@\S+", "", t).lower()))) for _, t in rows]
+    n, n_e, n_t, joint, texts, of = len(rows), Counter(), Counter(), Counter(), {}, {}
+    for text, es, ts in held:
         n_e.update(es)
         n_t.update(ts)
         joint.update(itertools.product(es, ts))
-    weighed = [(e, t, j) for (e, t), j in joint.items() if j >= 2 and n_e[e] >= 2]
-    near = {t: sum(t in ts and bool({e for e in es if n_e[e] >= 2}) for es, ts in held.values()) for t in n_t}
+        for e in es:
+            of.setdefault(e, set()).add(text)
+            for t in ts:
+                texts.setdefault((e, t), set()).add(text)
+    weighed = [(e, t, j) for (e, t), j in joint.items() if len(texts[e, t]) >= 2]
+    near = {t: sum(t in ts and any(len(of[e]) >= 2 for e in es) for _, es, ts in held) for t in n_t}
     weighed = [(e, t, j) for e, t, j in weighed if near[t] <= j * (n / n_e[e]) ** 0.1 * (1 + 1e-9)]
     telling = set()
     for e, t, j in weighed:

@@ -3,8 +3,7 @@
 Base findings (email, ip, card, phone) are found with their places by marking matches and splitting at the
 marks. The protected entities are the values so found. A term - a lower-cased run of four or more letters, of
 letters with digits (three or more), or of two or three letters that begin with a capital, outside the findings -
-co-occurs with the entities of its text, wherever both stand. Over all different texts of the corpus, so that copies
-of one text count once in each of the four counts,
+co-occurs with the entities of its text, wherever both stand. Over all documents, which all four counts are of,
 
     disclosure(term, entity) = PMI(term; entity) / information content of the entity
                              = ln(joint * n / (n_term * n_entity)) / ln(n / n_entity),
@@ -12,7 +11,8 @@ of one text count once in each of the four counts,
 which is 1 when the term occurs nowhere without the entity and 0 when it says nothing about it. A term is telling
 if its disclosure reaches `threshold` and chance doesn't explain `joint`: were both independent, joint would be
 Poisson with mean n_term * n_entity / n, and Chernoff's bound on reaching it, times the number of pairs weighed,
-must be at most `chance`. A single text proves no association, so `support` is two texts at least. Telling terms
+must be at most `chance`. Below `support` different texts an association isn't weighed: a single text proves none, and
+two are mostly near copies of each other, which share all their rare words. Telling terms
 are reported wherever they stand in the corpus (kind "term"), with their entity or without it, since there they
 tell of it as well. In sanitised texts findings are generalised to their kind and such terms are removed.
 
@@ -88,44 +88,51 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat(F.element_at(names, x["rank"] + 1), F.lit(":"), x["start"], F.lit(":"), x["end"])), ",")
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 2, threshold: float = 0.9, chance: float = 0.05, small: int = 100_000) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, threshold: float = 0.9, chance: float = 0.05, small: int = 300_000) -> DataFrame:
     """doc_id, th (hash of the text), base, spans: a row per document; both arrays of start, rank, end, value."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), base_spans(text).alias("base"), text.alias("t"))
     entities = F.array_distinct(F.transform("base", lambda x: F.concat_ws(":", x["rank"].cast("string"), F.lower(x["value"]))))
     base = materialise(base.select("doc_id", "th", "base", F.when(F.size("base") > 0, entities).alias("entities"), F.when(F.size("base") > 0, F.col("t")).alias("t")), "findings")
-    n = base.select("th").distinct().count()
-    full = base.where("t is not null").dropDuplicates(["th"])
-    held = full.select("th", F.explode("entities").alias("entity"))
+    n = base.count()
+    # texts with findings, each once, with its number of documents
+    full = base.where("t is not null").groupBy("th").agg(F.first("base").alias("base"), F.first("entities").alias("entities"), F.first("t").alias("t"), F.count("*").alias("w"))
+    held = full.select("th", "w", F.explode("entities").alias("entity"))
     # an entity in fewer different texts than `support` can have no term: what stands in its texts isn't counted
-    known = materialise(held.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support), "entities")
+    known = materialise(held.groupBy("entity").agg(F.sum("w").alias("n_entity"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts"), "entities")
     held = held.join(known, "entity").select("th", "entity", "n_entity")
-    named = full.join(held.select("th").distinct(), "th", "left_semi").select("th", F.explode(F.array_distinct(F.transform(_terms(F.col("t"), F.col("base")), lambda x: F.lower(x["value"])))).alias("term"))
+    named = full.join(held.select("th").distinct(), "th", "left_semi").select("th", "w", F.explode(F.array_distinct(F.transform(_terms(F.col("t"), F.col("base")), lambda x: F.lower(x["value"])))).alias("term"))
     named = materialise(named, "terms")
-    # n_term is at least the texts in which the term stands with any of these entities (near), and joint at most n_entity.
+    # n_term is at least the documents in which the term stands with any of these entities (near), and joint at most n_entity.
     # Terms too frequent for all entities of a text are left out before they meet, pairs that fall short even so before
     # the count over the corpus: that loses nothing that could reach the threshold.
-    near = named.groupBy("term").agg(F.count("*").alias("near"))
+    near = named.groupBy("term").agg(F.sum("w").alias("near"))
     bound = held.groupBy("th").agg(F.max(F.col("n_entity") * F.pow(n / F.col("n_entity"), F.lit(1 - threshold))).alias("bound"))
-    named = named.join(near, "term").join(bound, "th").where(F.col("near") <= F.col("bound") * (1 + 1e-9)).select("th", "term", "near")
-    joint = named.join(held, "th").groupBy("entity", "term").agg(F.count("*").alias("joint"), F.first("near").alias("near"), F.first("n_entity").alias("n_entity")).where(F.col("joint") >= support)
+    named = named.join(near, "term").join(bound, "th").where(F.col("near") <= F.col("bound") * (1 + 1e-9)).select("th", "w", "term", "near")
+    joint = named.join(held, "th").groupBy("entity", "term").agg(F.sum("w").alias("joint"), F.count("*").alias("texts"), F.first("near").alias("near"), F.first("n_entity").alias("n_entity")).where(F.col("texts") >= support)
     most = F.col("joint") * F.pow(n / F.col("n_entity"), F.lit(1 - threshold)) * (1 + 1e-9)
-    joint = materialise(joint.where((F.col("near") <= most) & (F.col("n_entity") < n)).drop("near"), "joint")
-    wanted, pairs = joint.select("term").distinct(), joint.count()
-    # all texts again, for the terms that are left: how often they stand, and where they will have to be marked
-    runs = F.regexp_extract_all(F.translate(text, MARKS, INSTEAD), F.lit(TERM), F.lit(0))
-    stands = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), F.explode(F.array_distinct(F.transform(runs, F.lower))).alias("term"))
-    stands = stands.join(F.broadcast(wanted) if pairs <= small else wanted, "term", "left_semi")  # sent only if the checked size allows
-    stands = materialise(stands if pairs else stands.where("false"), "stands")
-    known = joint.join(stands.select("term", "th").distinct().groupBy("term").agg(F.count("*").alias("n_term")), "term")
+    joint = materialise(joint.where((F.col("near") <= most) & (F.col("n_entity") < n)).drop("near", "texts"), "joint")
+    pairs = joint.count()
+    terms = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.translate(text, MARKS, INSTEAD), F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
+
+    def standing(wanted: DataFrame) -> DataFrame:
+        """The terms of all documents that are wanted; these are sent to the scan only if their checked number allows, about 100 bytes each."""
+        wanted = materialise(wanted, "wanted")
+        size = wanted.count()
+        found = terms.join(F.broadcast(wanted) if size <= small else wanted, "term", "left_semi")
+        return found if size else found.where("false")
+
+    n_term = standing(joint.select("term").distinct()).groupBy("term").agg(F.count("*").alias("n_term"))
+    known = joint.join(n_term, "term")
     expected = F.col("n_term") * F.col("n_entity") / n
     surprise = F.col("joint") * F.ln(F.col("joint") / expected) - F.col("joint") + expected
     disclosure = F.ln(F.col("joint") / expected) / F.ln(n / F.col("n_entity"))
     telling = known.where((disclosure >= threshold) & (F.col("joint") > expected) & (surprise >= F.ln(F.lit(max(pairs, 1) / chance)))).select("term").distinct()
-    told = materialise(stands.join(telling, "term").groupBy("doc_id", "th").agg(F.collect_set("term").alias("told")), "told")
+    # all texts once more, for the few terms that tell: where they will have to be marked
+    told = materialise(standing(telling).groupBy("doc_id", "th").agg(F.collect_set("term").alias("told")), "told")
     there = told.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "told")
-    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("t")).dropDuplicates(["doc_id", "th"])
-    marked = own.join(there, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))).select("doc_id", "th", "t", "told")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("t"))
+    marked = own.join(there, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))).select("doc_id", "th", "t", "told").dropDuplicates(["doc_id", "th"])
     marked = marked.join(base.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "base").dropDuplicates(["_d", "_t"]), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")))
     more = marked.select(F.col("_d"), F.col("_t"), ranked(F.filter(_terms(F.col("t"), F.col("base")), lambda x: F.array_contains("told", F.lower(x["value"]))), 4).alias("more"))
     out = base.join(more, base.doc_id.eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left")
