@@ -645,6 +645,71 @@ def test_secrets_of_each_format_at_any_place_of_long_runs(net, kind):
     assert met >= 27 and np.mean(rest) < 0.1
 
 
+def secret_lines(n, seed):
+    r = np.random.default_rng(seed)
+    return [f"see token = {''.join(r.choice(list('0123456789abcdef'), 32))} and {''.join(r.choice(list('stuvwxyz'), 9))}.host{k}.example.com for it" for k in range(n)]
+
+
+def test_every_labelled_window_trains_the_network(spark):
+    """More documents than were taken before, and more findings in one of them; copies count once, in any order of rows."""
+    lines = secret_lines(2300, 3)
+    texts = ["\n".join(lines[:60]), *lines[60:], None, ""]
+    want = set()
+    for text in texts:
+        base = op6_secret_scan.base_spans(text or "")
+        assert len(base) == 2 * (text or "").count("token")  # an assignment, and the hex value in it
+        want |= {(1, op6_secret_scan.window(text, s + 8 * (k == 0), e)) for s, k, e in base}
+        want |= {(0, op6_secret_scan.window(text, s, e)) for s, e in op6_secret_scan.candidates(text or "", base)}
+    assert len(want) == 4600
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [sorted(op6_secret_scan.shards(op6_secret_scan.findings(x)).collect(), key=lambda r: r.k) for x in (df, df.repartition(7).union(df))]
+    assert got[0] == got[1] and [r.k for r in got[0]] == [0, 1, 2]
+    seen, parts = Counter(), Counter()
+    for r in got[0]:
+        x, y, part = op6_secret_scan.arrays((r.windows, r.labels, r.parts))
+        assert len(x) == len(y) == len(part) >= 8000
+        seen.update(z for z in zip(y.tolist(), (w.tobytes() for w in x)) if z in want)
+        parts.update(part.tolist())
+    assert set(seen) == want and set(seen.values()) == {1} and min(parts[k] for k in range(4)) > 0.2 * sum(parts.values())
+    used = set()
+
+    class Noted(list):
+        def __getitem__(self, k):
+            used.add(k)
+            return super().__getitem__(k)
+
+    for n in (1, 2, 7, 500):
+        used.clear()
+        op6_secret_scan.generated(Noted([bytes(op6_secret_scan.WIDTH)] * n), op6_secret_scan.EACH * n)
+        assert used == set(range(n))
+
+
+def test_late_findings_of_a_document_reach_the_threshold(spark):
+    """The 20th finding changes: so does what was learned. The same rows dealt otherwise don't change it."""
+    lines = secret_lines(30, 4)
+    other = [*lines[:20], lines[20].replace("token", "passwd"), *lines[21:]]
+    df, changed = (spark.createDataFrame([(1, "\n".join(x)), (2, "nothing")], "doc_id long, text string") for x in (lines, other))
+    one, again, two = (op6_secret_scan.scan(x).where("doc_id = 1").first() for x in (df, df.repartition(3), changed))
+    assert one == again and one.threshold != two.threshold and min(one.held_out_recall, two.held_out_recall) > 0.9
+
+
+def test_counts_of_outputs_calibrate_like_single_ones():
+    """Thresholds and rates of summed counts against the plain definition on one value a window."""
+    r = np.random.default_rng(8)
+    for size in (3, 50, 4000):
+        y = np.append(r.integers(0, 2, size - 2), [0, 1])
+        z = np.rint(r.normal(4.0 * y - 2, 2) * (4 if size > 50 else op6_secret_scan.GRID)).astype(np.int64)
+        rows, n = np.unique(np.stack([y, z], 1), axis=0, return_counts=True)
+        net = op6_secret_scan.CharNet()
+        net.calibrate(rows[:, 1], rows[:, 0], n, 0.9)
+        q = 1 / (1 + np.exp(-(net.scale * z / op6_secret_scan.GRID + net.shift)))
+        found = np.sort(q[y == 1])
+        assert np.isclose(net.threshold, found[int((1 - 0.9) * len(found))], rtol=1e-12)
+        net.examined(rows[:, 1], rows[:, 0], n)
+        hit = q >= net.threshold - 1e-12
+        assert np.isclose(net.recall, hit[y == 1].mean()) and np.isclose(net.false, hit[y == 0].mean()) and net.recall >= 0.9
+
+
 def test_pieces_reach_every_character():
     r = np.random.default_rng(6)
     for n in (16, 56, 57, 90, 400, 3000):
